@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, decontam, mixing
+from larder.llm import chat, decontam, media, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,12 +78,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")), payload=False)
+    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("bigint")
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+  o AS (SELECT digest, max(page_id) AS owner FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM p LEFT JOIN o USING (digest)
+"""
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = media.attach(docs, media.read_back(media.store(docs)))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
     "op6_decontaminate": op6_decontaminate,
+    "op8_warc": op8_warc,
+    "op10_media": op10_media,
 }
 SQL = {
     "op2_chat_format": OP2_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op8_warc": OP8_SQL,
 }
