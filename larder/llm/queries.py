@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, decontam, media, mixing, warc
+from larder.llm import chat, decontam, media, mixing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ FROM p LEFT JOIN o USING (digest)
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = media.attach(docs, media.read_back(media.store(docs)))
@@ -105,6 +110,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op6_decontaminate": op6_decontaminate,
     "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
     "op10_media": op10_media,
 }
 SQL = {
