@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, decontam, media, mixing, simhash, warc
+from larder.llm import chat, decontam, html, langid, media, mixing, quality, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,17 @@ FROM t GROUP BY conv_id
 """
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder("doc_id", 5) == 0
+    find = langid.predictor(docs, langid.fit(docs.where(~held_out)))
+    return docs.select("doc_id", held_out.alias("held_out"), find("text").alias("found")).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -78,6 +89,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")), payload=False)
     number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("bigint")
@@ -108,7 +124,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
+    "op3_main_text": op3_main_text,
+    "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_media": op10_media,
