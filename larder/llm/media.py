@@ -7,8 +7,9 @@ reads whole members.
 A text becomes an 8-bit greyscale PNG: its UTF-8 bytes, with bytes 255 up to a positive multiple of ``WIDTH``, are the
 samples, row by row; PNG keeps them losslessly.
 
-Copies: a task sends a payload on once however often it meets it, so a text that a third of the rows share reaches the
-shard's task at most once a task. Shards hold the payloads of one partition of digests; the index is a written table.
+Copies: a task stores a payload once however often it meets it, so a text that a third of the rows share is stored once
+a task at most. Of the copies that different tasks stored the index, a written table, names one for all rows: keeping
+those few bytes is cheaper than shuffling every payload to find them.
 Nulls: a null text is an empty text (one row of bytes 255); null and repeated ids are rows like any other. No rows give
 no shard. Other columns are ignored.
 """
@@ -87,51 +88,36 @@ def features(samples: np.ndarray) -> str:
 
 
 def store(docs: DataFrame, folder: str | None = None, level: int = 6) -> DataFrame:
-    """digest, shard, offset, length: one row for each distinct payload of docs' ``text`` (a written table)."""
+    """digest (binary), shard, offset, length: one row for each distinct payload of docs' ``text`` (a written table)."""
     folder = folder or shared_dir(docs.sparkSession, "media")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.select(F.sha2(payload_of(F.col("text")), 256).alias("digest"), payload_of(F.col("text")).alias("payload"))
-
-    def convert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[str] = set()
-        for b in batches:
-            digests, media, size = [], [], 0
-            for digest, payload in zip(b.column("digest").to_pylist(), b.column("payload"), strict=True):
-                if digest in met:
-                    continue
-                met.add(digest)
-                digests.append(digest)
-                media.append(encode(payload.as_py(), level))
-                size += len(media[-1])
-                if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pydict({"digest": digests, "media": pa.array(media, pa.binary())})
-                    digests, media, size = [], [], 0
-            if digests:
-                yield pa.RecordBatch.from_pydict({"digest": digests, "media": pa.array(media, pa.binary())})
+    payload = payload_of(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.unhex(F.sha2(payload, 256)).alias("digest"), payload.alias("payload"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, last, index = f"{folder}/{attempt_name('.tar')}", None, []
+        path, met = f"{folder}/{attempt_name('.tar')}", set()
         batches = (b for b in batches if b.num_rows)
-        if (first := next(iter(batches), None)) is None:
+        if (batch := next(iter(batches), None)) is None:
             return
         with open_write(path) as out:
-            tar, batch = tarfile.open(fileobj=out, mode="w|", format=tarfile.PAX_FORMAT), first
+            tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.USTAR_FORMAT)
             while batch is not None:
-                for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
-                    if digest == last:  # sorted: equal digests follow one another
+                index: list[tuple[bytes, str, int, int]] = []
+                for digest, content in zip(batch.column("digest").to_pylist(), batch.column("payload"), strict=True):
+                    if digest in met:
                         continue
-                    last, info, data = digest, tarfile.TarInfo(f"{digest}.png"), media.as_py()
+                    met.add(digest)
+                    data, info = encode(content.as_py(), level), tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(data)
-                    index.append((digest, tar.offset + 512, len(data)))  # a short name has a head of one block
+                    index.append((digest, path, tar.offset + tarfile.BLOCKSIZE, len(data)))  # behind the member's head
                     tar.addfile(info, io.BytesIO(data))
+                if index:
+                    yield pa.RecordBatch.from_pydict(dict(zip(("digest", "shard", "offset", "length"), map(list, zip(*index, strict=True)), strict=True)))
                 batch = next(batches, None)
             tar.close()
-        for i in range(0, len(index), 10_000):
-            d, o, n = zip(*index[i : i + 10_000], strict=True)
-            yield pa.RecordBatch.from_pydict({"digest": list(d), "shard": [path] * len(d), "offset": list(o), "length": list(n)})
 
-    media = rows.mapInArrow(convert, "digest string, media binary").repartition("digest").sortWithinPartitions("digest")
-    return saved(media.mapInArrow(write, "digest string, shard string, offset bigint, length bigint"), "media-index")
+    members = saved(rows.mapInArrow(write, "digest binary, shard string, offset bigint, length bigint"), "media-members")
+    one = members.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m"))
+    return saved(one.select("digest", "m.shard", "m.offset", "m.length"), "media-index")
 
 
 def spread(index: DataFrame) -> DataFrame:
@@ -153,10 +139,10 @@ def with_metadata(index: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_pylist(got, schema=b.schema.append(pa.field("width", pa.int64())).append(pa.field("height", pa.int64())).append(pa.field("depth", pa.int64())))
 
-    return spread(index.select("digest", "shard", "offset", "length")).mapInArrow(fill, "digest string, shard string, offset bigint, length bigint, width bigint, height bigint, depth bigint")
+    return spread(index.select("digest", "shard", "offset", "length")).mapInArrow(fill, "digest binary, shard string, offset bigint, length bigint, width bigint, height bigint, depth bigint")
 
 
-READ = "digest string, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+READ = "digest binary, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
 def read_back(index: DataFrame) -> DataFrame:
@@ -188,5 +174,5 @@ def media_columns(docs: DataFrame, folder: str | None = None, level: int = 6) ->
 def attach(docs: DataFrame, by_digest: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, digest and the columns of ``by_digest`` for each row of docs."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded_length(F.col("text")).cast("long").alias("payload_bytes"), F.sha2(payload_of(F.col("text")), 256).alias("digest"))
+    keys = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded_length(F.col("text")).cast("long").alias("payload_bytes"), F.unhex(F.sha2(payload_of(F.col("text")), 256)).alias("digest"))
     return keys.join(by_digest, "digest")
