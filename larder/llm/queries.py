@@ -116,7 +116,7 @@ FROM p LEFT JOIN o USING (digest)
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
