@@ -1,0 +1,24 @@
+from __future__ import annotations
+
+from larder.streaming.replay import replay_stream
+
+SCHEMA = "req_id long, arrival timestamp, key string, outcome string, body double"
+
+
+def batch(spark, folder, rows):
+    spark.createDataFrame(rows, SCHEMA.replace("arrival timestamp", "arrival string")).selectExpr("req_id", "timestamp(arrival) arrival", "key", "outcome", "body").coalesce(1).write.mode("append").parquet(folder)
+
+
+def run(spark, folder, out, marks):
+    stream = replay_stream(spark.readStream.schema(SCHEMA).parquet(folder)).writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out)
+    stream.awaitTermination()
+
+
+def test_state_outlives_the_run(spark, tmp_path):
+    folder, out, marks = (f"file://{tmp_path}/{x}" for x in ("in", "out", "marks"))
+    batch(spark, folder, [(2, "2020-01-01 00:00:02", "k", "ok", 2.0), (1, "2020-01-01 00:00:01", "k", "ok", 1.0), (3, "2020-01-01 00:00:03", "j", "rejected", None)])
+    run(spark, folder, out, marks)
+    batch(spark, folder, [(4, "2020-01-01 00:00:00", "k", "rejected", None), (5, "2020-01-01 00:00:04", "j", "not_ok", 5.0)])
+    run(spark, folder, out, marks)
+    got = {r.req_id: (r.cached, r.served) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (None, 1.0), 2: (1.0, 1.0), 3: (None, None), 4: (2.0, 2.0), 5: (None, 5.0)}
