@@ -148,14 +148,15 @@ def forest(members: np.ndarray, first: int, chains: Chains) -> Iterator[tuple[in
     """Edges (places) of a spanning forest of the links among members that share segment ``first``."""
     if len(members) <= FEW:
         root = list(range(len(members)))
-        for i, j in zip(*(x.tolist() for x in chains.pairs(members, first)), strict=True):
+        for a, b in zip(*(x.tolist() for x in chains.pairs(members, first)), strict=True):
+            i, j = a, b
             while root[i] != i:
                 i = root[i]
             while root[j] != j:
                 j = root[j]
             if i != j:
                 root[j] = i
-                yield i, j
+                yield a, b
         return
     left, place = members, np.arange(len(members))
     while len(left) > 1:
