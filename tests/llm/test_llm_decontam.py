@@ -1,0 +1,68 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from larder.llm import decontam
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(docs, items, size=10):
+    windows = set()
+    for item, text in items:
+        w = words(text)
+        for s in range(max(1, len(w) - size + 1)) if w else ():
+            windows.add((str(item) if item is not None else "", tuple(w[s : s + size])))
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = words(text), set(), set()
+        for item, win in windows:
+            for s in range(len(w) - len(win) + 1):
+                if tuple(w[s : s + len(win)]) == win:
+                    hit.update(range(s, s + len(win)))
+                    found.add(item)
+        out.append((doc_id, len(w), len(hit), ",".join(sorted(found)), bool(hit)))
+    return sorted(out, key=str)
+
+
+def run(spark, docs, items, **how):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    clash = {c: F.lit("x") for c in ("hash", "w", "word", "pos", "span", "n", "items")}
+    got = decontam.decontaminate(d.withColumns(clash), b.withColumns(clash), **how)
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
+    return sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got.collect()), key=str)
+
+
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_random_texts(spark, block):
+    draw = random.Random(3)
+    text = lambda n: " ".join(draw.choice(["A", "b", "c", "É", "4x"]) for _ in range(n))
+    items = [(i, text(draw.choice([1, 3, 4, 6]))) for i in range(4)]
+    docs = [(i, text(draw.randrange(40))) for i in range(40)]
+    assert run(spark, docs, items, size=4, block_windows=block) == brute(docs, items, 4)
+
+
+def test_hostile_rows(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    items = [(1, passage), (1, passage), (None, "solo"), (2, None), (3, "--- !!"), (10, passage.upper()), (4, "repeat " * 12)]
+    docs = [(1, None), (2, ""), (3, passage), (3, passage), (None, "x solo, solo y"), (4, "pre " + passage.replace(" ", "\n-") + " post"), (5, "repeat " * 50), (6, "word " * 100_000 + passage), (7, passage.replace("five", "5"))]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items)
+    assert [r for r in got if r[0] == 3] == [(3, 11, 11, "1,10", True)] * 2
+
+
+def test_empty_tables(spark):
+    assert run(spark, [], [(1, "a")]) == []
+    assert run(spark, [(1, "a b"), (2, None)], []) == [(1, 2, 0, "", False), (2, 0, 0, "", False)]
+
+
+def test_query_equals_sql(spark, compare):
+    assert compare(spark, "op6_decontaminate", "sf0.01")["contaminated"].any()

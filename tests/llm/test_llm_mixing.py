@@ -1,0 +1,89 @@
+from __future__ import annotations
+
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from larder.llm import mixing
+
+DOCS = "doc_id long, source string, text string"
+
+
+def targets(sizes, weights, budget, most):
+    """By hand: share by weight, hold what is above its cap, share the rest again."""
+    total, held = budget * sum(sizes.values()), {}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    while True:
+        free = [s for s in names if s not in held]
+        left = total - sum(held.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = [s for s in free if share[s] > most * sizes[s] + 1e-9]
+        if not above:
+            return held | share
+        held |= {s: most * sizes[s] for s in above}
+
+
+def sainte_lague(votes, seats):
+    got = dict.fromkeys(votes, 0)
+    for _ in range(seats):
+        best = max(votes, key=lambda s: votes[s] / (2 * got[s] + 1))
+        got[best] += 1
+    return got
+
+
+def documents(spark, n=400):
+    rows = []
+    for i in range(n):
+        source = ["a", "b", "b", "b", "c", None, "é"][i % 7]
+        rows.append((i, source, " ".join(["w"] * (i * 37 % 97))))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_targets_quotas_and_selection(spark):
+    docs = documents(spark)
+    got = mixing.mix_sources(docs, block_tokens=16, shard_tokens=1000).toPandas()
+    got["source"] = got["source"].where(got["source"].notna(), "")
+    sizes = got.groupby("source")["size"].sum().to_dict()
+    want = targets({s or None: n for s, n in sizes.items()}, (3, 1, 2), 1.5, 2.0)
+    for s, part in got.groupby("source"):
+        assert part["target"].iloc[0] == pytest.approx(want[s or None])
+        assert (part["source_size"] == sizes[s]).all()
+        assert abs(part["taken"].sum() - want[s or None]) <= 16 + 1
+    assert (got["taken"] <= 2 * got["size"]).all()
+    blocks = round(sum(want.values()) / 16)
+    quotas = sainte_lague({s: v for s, v in want.items()}, blocks)
+    assert got.groupby("source")["source_blocks"].first().to_dict() == {s or "": n for s, n in quotas.items()}
+    # Whole rounds of a shard differ by at most one between its documents, cut documents aside.
+    rounds = got[got["size"] > 0].assign(r=lambda x: x["taken"] / x["size"])
+    assert all(part["r"].max() - part["r"].min() <= 1 for _, part in rounds.groupby(["source", "shard"]))
+
+
+def test_reruns_agree(spark):
+    docs = documents(spark, 150)
+    a, b = (sorted(map(tuple, mixing.mix_sources(d, shard_tokens=500).select("doc_id", "taken").collect())) for d in (docs, docs.repartition(7)))
+    assert a == b
+
+
+def test_hostile_rows(spark):
+    rows = [(1, "a", None), (None, "a", "x y"), (2, None, ""), (3, None, " \t\n"), (4, "a", "x y"), (4, "a", "x y"), (5, "long", "w " * 200_000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("size", "taken", "target", "sid", "shard", "rank")})
+    got = mixing.mix_sources(docs).select("doc_id", "size", "taken").collect()
+    assert len(got) == 7
+    assert sorted(r["size"] for r in got) == [0, 0, 0, 2, 2, 2, 200_000]
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_no_rows_and_no_words(spark):
+    assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
+    got = mixing.mix_sources(spark.createDataFrame([(1, "a", None), (2, "b", "")], DOCS)).collect()
+    assert [(r["taken"], r["target"]) for r in got] == [(0, 0.0), (0, 0.0)]
+
+
+def test_hot_source_is_cut_into_shards(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit("a b c d e").alias("text"))
+    got = mixing.mix_sources(docs, shard_tokens=1000).toPandas()
+    by_shard = defaultdict(int) | got.groupby("shard")["size"].sum().to_dict()
+    assert len(by_shard) == 15 and max(by_shard.values()) < 2000
+    assert abs(got["taken"].sum() - 1.5 * 15_000) <= 64

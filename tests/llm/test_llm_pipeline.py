@@ -1,0 +1,62 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from larder.llm import decontam
+from larder.llm.common import saved
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = [(10_001, None), (10_002, "12345 67890"), (10_003, docs.where("length(text) > 500").orderBy("doc_id").first().text)]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    out = [("input", docs.toPandas())]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = saved(stage(spark, docs, DATA), name)
+        out.append((name, docs.toPandas()))
+    return out
+
+
+def test_stages_keep_the_columns_and_only_remove_rows(stages):
+    for (_, before), (name, after) in zip(stages[:-2], stages[1:-1], strict=True):
+        assert list(after.columns) == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert set(after["doc_id"]) <= set(before["doc_id"]) and len(after) <= len(before)
+
+
+def test_language_rejects_what_has_none(stages):
+    gone = set(stages[0][1]["doc_id"]) - set(stages[1][1]["doc_id"])
+    assert gone == {10_001, 10_002}
+
+
+def test_copies_leave_the_smallest_id(stages):
+    before, after = stages[2][1], stages[3][1]
+    assert 10_003 not in set(after["doc_id"])
+    assert not after["text"].duplicated().any()
+    assert set(before.groupby("text")["doc_id"].min()) >= set(after["doc_id"])
+
+
+def test_decontamination_equals_a_plain_search(spark, stages):
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    words = lambda t: spark.createDataFrame([(x,) for x in t], "t string").select(decontam.words_of(F.col("t")).alias("w")).toPandas()["w"].map(list)
+    windows = {tuple(w[i : i + 10]) for w in words(items) for i in range(max(1, len(w) - 9)) if len(w)}
+    sizes = {len(w) for w in windows}
+    before, after = stages[3][1], stages[4][1]
+    hit = {d for d, w in zip(before["doc_id"], words(before["text"]), strict=True) if any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))}
+    assert set(before["doc_id"]) - set(after["doc_id"]) == hit
+
+
+def test_mix(stages):
+    before, after = stages[4][1], stages[5][1]
+    assert (after["taken"] > 0).all() and (after["taken"] <= 2 * after["size"]).all()
+    sizes = before["text"].map(lambda t: len(t.split())).sum()
+    assert abs(after["taken"].sum() - 1.5 * sizes) <= 64 * after["source"].nunique()
+
+
+def test_run(spark):
+    got = corpus_pipeline.run(spark, DATA)
+    assert got.count() > 0 and "taken" in got.columns
