@@ -9,8 +9,8 @@ rarity, is its rarest word. Documents meet windows on that word alone; then
 * exact check: the words there equal the window's.
 
 Rarity is the count of the word in all documents; it decides the work, never the result.
-The windows are broadcast in blocks of at most ``block_windows`` rows of bounded size (a pass over the documents for each
-block), so a benchmark of any size works. Windows with equal words are one row that lists its items.
+The windows are broadcast in blocks of about ``block_windows`` rows and ``BLOCK_BYTES`` at most, a pass over the documents
+for each block, so a benchmark of any size works. Windows with equal words are one row that lists its items.
 
 Nulls: a null or wordless text has no words and no hits; null item_ids count as the item ''. Repeated document rows give
 equal output rows; repeated items are one. An empty benchmark gives every document 0 hits. Other columns are ignored.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import ascii_lower, saved
 
+#: Most bytes of window words in a broadcast block.
+BLOCK_BYTES = 32 << 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,7 +46,8 @@ def find_windows(docs: DataFrame, items: DataFrame, size: int = 10, block_window
     spark = docs.sparkSession
     text = docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("hash"))
     windows = saved(windows_of(items, size), "windows")
-    n_blocks = max(1, -(-windows.count() // block_windows))
+    n, size_ = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("win", " "))), F.lit(0))).first()
+    n_blocks = max(1, -(-n // block_windows), -(-size_ // BLOCK_BYTES))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(n_blocks)))
 
     parts = []

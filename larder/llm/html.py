@@ -2,9 +2,9 @@
 
 A page is cut into blocks at block-level tags. First pass, each block alone:
 
-* bad: inside a menu, header, footer, sidebar, notice, advert, form or comment section (by element, role, class or id), or
-  mostly link text;
-* good: inside the page's article or main element, or long with many stop words;
+* bad: inside a menu, header, footer, sidebar, notice, advert, form or comment section (by element, role, class or id),
+  hidden, or mostly link text;
+* good: inside the page's article, or long with many stop words;
 * otherwise bad if it has few stop words, else ambiguous: ``near`` (fairly long) or ``short``.
 
 Second pass: ambiguous blocks inherit the label of their nearest decided neighbours; where these differ, ``near`` blocks
@@ -35,9 +35,9 @@ CONTAINERS = frozenset("article aside body blockquote details dialog div dl fiel
 BAD_ELEMENTS = frozenset("aside dialog footer form menu nav select button".split())
 RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|canvas|audio|video|head"
 # Words of class, id and role that name what is not the article.
-BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification outbrain paywall popup promo promoted promotion recommended related respond reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar widget widgets".split())
+BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification outbrain paywall popup promo promoted promotion recommended related respond reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar widget widgets".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
-MAIN_WORDS = frozenset("article articlebody".split())
+MAIN_WORDS = frozenset("article articlebody content entry post story".split())
 # Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be been but by can could do for from had has have he her his how if in into is it its more my no not of on one or our out she so some than that the their them then there they this to up was we were what when which who will with would you your "
@@ -49,6 +49,9 @@ STOP_WORDS = frozenset(
 PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+#: How surely an element holds the article: by element, main element, or name.
+ARTICLE, MAIN, NAMED, NONE = 3, 2, 1, 0
 
 SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.1, 0.3
 
@@ -56,7 +59,7 @@ SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.1, 0.3
 class Block:
     __slots__ = ("text", "link", "bad", "main", "heading", "label")
 
-    def __init__(self, text: str, link: float, bad: bool, main: bool, heading: bool) -> None:
+    def __init__(self, text: str, link: float, bad: bool, main: int, heading: bool) -> None:
         self.text, self.link, self.bad, self.main, self.heading, self.label = text, link, bad, main, heading, ""
 
 
@@ -68,17 +71,22 @@ def named(attrs: str) -> set[str]:
     return words
 
 
+def spoilt(attrs: str) -> bool:
+    """Whether an element is named like what is not the article, or hidden."""
+    return bool(named(attrs) & BAD_WORDS) or bool(HIDDEN.search(attrs))
+
+
 def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = [0, 0]  # link characters, all characters
-    stack: list[tuple[str, bool, bool]] = []  # name, bad, main
-    in_link, heading, at = 0, False, 0
+    stack: list[tuple[str, bool, int]] = []  # name, bad, main
+    in_link, heading, alone_bad, at = 0, False, False, 0
 
     def flush() -> None:
         if parts:
             if text := " ".join("".join(parts).split()):
-                found.append(Block(text, linked[0] / max(1, linked[1]), any(x[1] for x in stack), any(x[2] for x in stack), heading))
+                found.append(Block(text, linked[0] / max(1, linked[1]), alone_bad or any(x[1] for x in stack), max((x[2] for x in stack), default=NONE), heading))
             parts.clear()
             linked[:] = 0, 0
 
@@ -103,6 +111,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCKS or name == "button":
             flush()
             in_link, heading = 0, not m["end"] and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            alone_bad = name not in CONTAINERS and not m["end"] and bool(m["attrs"]) and spoilt(m["attrs"])
         if name in CONTAINERS or name == "button":
             if m["end"]:
                 at_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -111,8 +120,9 @@ def blocks_of(page: str) -> list[Block]:
             elif not m["attrs"].endswith("/"):
                 words = named(m["attrs"]) if "=" in m["attrs"] else set()
                 inside = any(x[2] for x in stack)
-                bad = name in BAD_ELEMENTS or (bool(words & BAD_WORDS) and name != "body") or (not inside and (name == "header" or bool(words & HEADER_WORDS)))
-                stack.append((name, bad, not bad and (name in ("article", "main") or bool(words & MAIN_WORDS) and name != "body")))
+                bad = name in BAD_ELEMENTS or name != "body" and spoilt(m["attrs"]) or not inside and (name == "header" or bool(words & HEADER_WORDS))
+                main = ARTICLE if name == "article" else MAIN if name == "main" else NAMED if words & MAIN_WORDS and name != "body" else NONE
+                stack.append((name, bad, NONE if bad else main))
     say(page[at:])
     flush()
     return found
@@ -120,10 +130,10 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(blocks: list[Block]) -> None:
     """Sets ``label`` of each block to good or bad."""
-    whole = any(b.main and not b.bad for b in blocks)
+    whole = max((b.main for b in blocks if not b.bad), default=NONE)
     for b in blocks:
         words = b.text.lower().split()
-        if b.bad or whole and not b.main:
+        if b.bad or b.main < whole:
             b.label = "bad"
         elif b.link > LINKS and not (b.main and b.heading):
             b.label = "bad"

@@ -22,6 +22,12 @@ def test_article_is_kept_and_the_rest_goes():
     assert main_text(page) == "The énd & more\nOnetwo A three four\nShort.\nitem\na b"
 
 
+def test_article_before_main_before_name():
+    assert main_text("<div class=content><p>a</p><main><p>b</p><article><p>c</p></article></main></div>") == "c"
+    assert main_text("<div class=content><p>a</p><main><p>b</p></main></div>") == "b"
+    assert main_text(f"<p>{LONG}</p><div id=post-7><p>a</p><p class=notice>n</p><p hidden>h</p><div style='display: none'>d</div><h2>t</h2><p>b</p></div>") == "a\nt\nb"
+
+
 def test_density_rules_without_an_article():
     page = f"<div><a href=a>one</a> | <a href=b>two</a></div><h2>Heading</h2><p>{LONG}</p><p>Tiny.</p><p>{LONG}</p><div>Copyright 2020 Example Corp Trademarks Registered Worldwide Offices Zurich Geneva Basel Bern</div><div>Zip</div>"
     text = LONG.strip()
