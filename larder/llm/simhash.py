@@ -11,6 +11,10 @@ keep within each budget; the last budget is the full Hamming check. With most =
 chain must be equal, so all links are found. For wide fingerprints chains that start with an unequal segment are missed
 at that start; their budgets get ``slack`` deviations on top, and a pair within ``most`` has many starts to be found at.
 
+``paired`` keys hold the next segment too, in all forms within its budget of one bit: 70 keys of 25 bits a fingerprint in
+place of 5 of 13, the same links. They cost a larger shuffle and save comparisons, which grow with the square of the
+number of fingerprints; ``near_duplicates`` uses them from ``PAIRED_FROM`` fingerprints on.
+
 Within a meeting place a search over the members not yet reached yields a spanning forest, never all pairs, so a dense
 group costs one edge a member. Places of over ``block`` members are dealt out as pairs of blocks. Copies share one
 fingerprint and are one row before anything is compared. Only edges that close a cycle are left out.
@@ -35,6 +39,7 @@ from larder.llm.graph import components
 SEED = 42
 #: Shingles whose bits are counted at once: 255 fit an 8-bit sum.
 RUN, CHUNK = 255, 255 * 64
+PAIRED_FROM = 1 << 28
 PER_WORD = 5
 
 
@@ -176,17 +181,30 @@ def unpacked(column: pa.Array, wide: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, wide)
 
 
-def links(fps: DataFrame, most: int = 4, wide: int = 1, slack: float = 0.0, block: int = 20_000) -> DataFrame:
+def segment(x: np.ndarray, i: int) -> np.ndarray:
+    """The bits of the i-th segment of each fingerprint."""
+    shift, width = segments()[i % PER_WORD]
+    return ((x[:, i // PER_WORD] >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def links(fps: DataFrame, most: int = 4, wide: int = 1, slack: float = 0.0, block: int = 20_000, paired: bool = False) -> DataFrame:
     """Edges a, b between distinct fingerprints (column fp) whose components are those of all links found."""
     chains = Chains(wide, most, slack)
+    if paired and chains.steps[0][0][2] != 1:
+        raise ValueError("paired keys are for a second segment within one bit")
+    below = 2 * WIDTH if paired else WIDTH
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, fp = unpacked(b.column("fp"), wide), b.column("fp")
             for i in range(PER_WORD * wide):
-                shift, width = segments()[i % PER_WORD]
-                value = (x[:, i // PER_WORD] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array((i << WIDTH) + value.astype(np.int64)), fp], ["place", "fp"])
+                place = (i << WIDTH) + segment(x, i)
+                flips = [0]
+                if paired:
+                    place = (place << WIDTH) + segment(x, (i + 1) % (PER_WORD * wide))
+                    flips += [1 << b for b in range(segments()[(i + 1) % PER_WORD][1])]
+                for flip in flips:
+                    yield pa.RecordBatch.from_arrays([pa.array(place ^ flip), fp], ["place", "fp"])
 
     keys = fps.select("fp").mapInArrow(deal, "place bigint, fp binary")
     crowded = saved(keys.groupBy("place").count().where(F.col("count") > block).select("place", F.ceil(F.col("count") / block).alias("blocks")), "crowded")
@@ -217,7 +235,7 @@ def links(fps: DataFrame, most: int = 4, wide: int = 1, slack: float = 0.0, bloc
         found: list[tuple[bytes, bytes]] = []
         for where, members in grouped(batches):
             raw = members.astype(">u8")
-            found.extend((raw[i].tobytes(), raw[j].tobytes()) for i, j in forest(members, where >> WIDTH, chains))
+            found.extend((raw[i].tobytes(), raw[j].tobytes()) for i, j in forest(members, where >> below, chains))
             if len(found) >= 20_000:
                 yield batch(found)
                 found = []
@@ -233,7 +251,8 @@ def links(fps: DataFrame, most: int = 4, wide: int = 1, slack: float = 0.0, bloc
 def grouped_fingerprints(rows: DataFrame, most: int, wide: int, slack: float) -> DataFrame:
     """fp, root, least (doc_id), n of each fingerprint that several rows or a link share (a written table)."""
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fps")
-    roots = components(links(distinct, most, wide, slack))
+    paired = wide == 1 and most == 4 and distinct.count() >= PAIRED_FROM
+    roots = components(links(distinct, most, wide, slack, paired=paired))
     groups = distinct.join(roots, distinct.fp == roots.node, "left").where("n > 1 OR root IS NOT NULL")
     return saved(groups.select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "groups")
 

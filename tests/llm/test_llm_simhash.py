@@ -73,9 +73,8 @@ def test_hostile_rows(spark):
     assert run(spark, []) == []
 
 
-@pytest.mark.parametrize("few", [0, 128])
-def test_links_are_complete(spark, few, monkeypatch):
-    """All pairs within four bits of a dense cloud and of random ones, by both searches and with places cut into cells."""
+def test_links_are_complete(spark):
+    """All pairs within four bits of a dense cloud and of random ones, with either keys and with places cut into cells."""
     draw = np.random.default_rng(2)
     base = draw.integers(0, 2**63, 30, dtype=np.uint64)
     cloud = [int(base[0])]
@@ -85,18 +84,28 @@ def test_links_are_complete(spark, few, monkeypatch):
             x ^= 1 << int(b)
         cloud.append(x)
     fps = np.array(sorted({*cloud, *map(int, base)}), np.uint64)
-    monkeypatch.setattr(simhash, "FEW", few)
     table = spark.createDataFrame([(bytearray(int(x).to_bytes(8, "big")),) for x in fps], "fp binary")
-    chains = simhash.Chains(1, 4, 0.0)
     place = {int(x): i for i, x in enumerate(fps)}
     want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4])
-    for block in (20_000, 40):
-        edges = [(place[int.from_bytes(r.a, "big")], place[int.from_bytes(r.b, "big")]) for r in simhash.links(table, block=block).collect()]
+    for how in ({}, {"block": 40}, {"paired": True}, {"paired": True, "block": 20}):
+        edges = [(place[int.from_bytes(r.a, "big")], place[int.from_bytes(r.b, "big")]) for r in simhash.links(table, **how).collect()]
         assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 4 for a, b in edges)
         got = union(len(fps), edges)
         assert len({*zip(got, want, strict=True)}) == len(set(want)) == len(set(got))
-    local = [e for first in range(5) for e in simhash.forest(fps.reshape(-1, 1), first, chains)]
-    assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 4 for a, b in local)
+
+
+def test_both_searches_agree(monkeypatch):
+    draw = np.random.default_rng(3)
+    members = (np.uint64(0xABCDEF) ^ (np.uint64(1) << draw.integers(13, 64, (90, 3), dtype=np.uint64))).max(1)[:, None]
+    for wide, most, slack in ((1, 4, 0.0), (2, 16, 3.0)):
+        x, chains = np.unique(np.tile(members, (1, wide)), axis=0), simhash.Chains(wide, most, slack)
+        found = []
+        for few in (0, 1000):
+            monkeypatch.setattr(simhash, "FEW", few)
+            edges = list(simhash.forest(x, 0, chains))
+            found.append(union(len(x), edges))
+            assert edges and all(int(np.bitwise_count(x[a] ^ x[b]).sum()) <= most for a, b in edges)
+        assert len({*zip(*found, strict=True)}) == len({*found[0]}) == len({*found[1]})
 
 
 def test_components(spark):
