@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import struct
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from larder.llm import mixing
@@ -87,3 +89,46 @@ def test_hot_source_is_cut_into_shards(spark):
     by_shard = defaultdict(int) | got.groupby("shard")["size"].sum().to_dict()
     assert len(by_shard) == 15 and max(by_shard.values()) < 2000
     assert abs(got["taken"].sum() - 1.5 * 15_000) <= 64
+
+
+def chained(*values):
+    """Spark's xxhash64 of ints (4 bytes), longs (8 bytes) and nulls (skipped)."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack(kind, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute(rows, block=16, shard_tokens=300, seed=42):
+    """(doc_id, taken) of every document, by heaps and loops."""
+    size = lambda t: len((t or "").encode().split())
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(size(t) for _, x, t in rows if x == s) for s in names}
+    target = targets(sizes, (3, 1, 2), 1.5, 2.0)
+    quotas = sainte_lague({s: target[s] for s in names}, round(sum(target.values()) / block))
+    out = []
+    for sid, s in enumerate(names):
+        n = max(1, -(-sizes[s] // shard_tokens))
+        shards = defaultdict(list)
+        for d, x, t in rows:
+            if x == s:
+                shards[chained(("<i", seed + 1), ("<q", d)) % n].append((chained(("<i", seed), ("<q", d)), d is not None, d or 0, size(t), d))
+        cells = {k: sum(r[3] for r in v) for k, v in sorted(shards.items())}
+        blocks = sainte_lague(cells, quotas[s]) if sizes[s] else dict.fromkeys(cells, 0)
+        for k, docs in shards.items():
+            total, at = cells[k], 0
+            quota = min(blocks[k] * block, 2 * total)
+            rounds, rest = divmod(quota, max(total, 1))
+            begin = chained(("<i", seed + 2), ("<q", sid), ("<q", k)) % -(-max(total, 1) // block) * block
+            run = {(begin + i) % total for i in range(rest)} if total else set()
+            for _, _, _, n_words, d in sorted(docs):
+                out.append((d, rounds * n_words + sum(i in run for i in range(at, at + n_words))))
+                at += n_words
+    return sorted(out, key=str)
+
+
+def test_selection_by_hand(spark):
+    rows = [tuple(r) for r in documents(spark).collect()] + [(None, "c", "a b c"), (7, "a", "a b c"), (7, "a", "a b c")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), block_tokens=16, shard_tokens=300)
+    assert sorted(((r.doc_id, r.taken) for r in got.collect()), key=str) == brute(rows)
