@@ -36,6 +36,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``rows`` rows of ``size`` bytes (as text) in all.
+
+    Beyond that Spark chooses the join by its own statistics. Both give the same rows.
+    """
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(0))
+    n, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(table) if n <= rows and total <= size else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, UPPER, LOWER)

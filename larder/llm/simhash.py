@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import saved
+from larder.llm.common import broadcast_if_small, saved
 from larder.llm.graph import components
 
 SEED = 42
@@ -280,8 +280,10 @@ def representatives(docs: DataFrame, size: int = 5, most: int = 82, wide: int =
     judged = members.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash")))
     same = lambda table: docs["doc_id"].eqNullSafe(table["doc_id"]) & (F.xxhash64(docs["text"]) == table["hash"])
     goes = saved(judged.where(~F.col("stays")).select("doc_id", "hash").distinct(), "goes")
+    goes = broadcast_if_small(goes)
     kept = docs.join(goes, same(goes), "left_anti")
     again = saved(judged.where("stays AND n > 1").select("doc_id", "hash").distinct(), "again")
     if again.isEmpty():
         return kept
+    again = broadcast_if_small(again)
     return kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
