@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import decontam, langid, mixing, quality, simhash
-from larder.llm.common import saved
+from larder.llm.common import broadcast_if_small, saved
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = saved(found.where("contaminated").select("doc_id", "hash").distinct(), "contaminated")
+    hit = broadcast_if_small(saved(found.where("contaminated").select("doc_id", "hash").distinct(), "contaminated"))
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]) & (F.xxhash64(docs["text"]) == hit["hash"]), "left_anti")
 
 
