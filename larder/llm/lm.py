@@ -1,39 +1,41 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Training gathers the count of every word of the training rows. The ``head`` most frequent short words are the automaton's
-vocabulary; every other word belongs to one class ``rare``, and within it has the add-one share of its exact count, so
-the score sums over all words that can occur, seen or not. Over the vocabulary, ``end`` and ``rare``, n-grams up to order 3
-are counted (pairs of the ``pair_head`` and triples of the ``triple_head`` first words alone, which bounds the model),
-smoothed by absolute discounting, and become states: an arc reads a token and carries a log-probability, a failure arc
-leads to the next shorter context and carries its backoff weight. One pass from left to right over a text carries the
-state and adds up.
+Training counts every word of the training rows and every n-gram up to order 3 over the whole vocabulary; none is dropped
+for its rank or count. Counts are smoothed by absolute discounting. A state of the automaton is a context of up to two
+words: an arc reads a word and carries a log-probability, a failure arc leads to the next shorter context and carries its
+backoff weight. The empty context has an arc for every word: its add-one share, also for words never seen in training.
 
-Rare words meet their counts in a join of (row, word) pairs, so no vocabulary that grows with the input is broadcast or
-held by a task. ``base`` is the add-one unigram score of the same training counts.
+The automaton is held in tables that grow with the input: ``arcs3`` (a, b, c), ``arcs2`` (a, b), ``fail1`` and ``fail2``.
+A text's n-grams meet them in joins. All n-grams of training rows have arcs; only the others walk failure arcs, and only
+the failure arcs that they walk are weighted. The most frequent words and trigrams are also broadcast, so that they need
+no join; how many changes no result. ``Automaton`` is the same model in one process, for small counts.
+
+A word travels as a 64-bit hash. Hashes are checked to differ over all words of the rows; if two meet, another seed is
+taken. ``base`` is the add-one unigram score of the same training counts.
 
 Nulls: a null text is empty: one token, the end. A null doc_id counts as not held out. Repeated rows are scored, and in
-training counted, each. With no training row every count is 0. Any length works: a text is read once, its rare words are
-counted by distinct word. Other columns are ignored.
+training counted, each. With no training row every count is 0. Any length works. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import saved
+from larder.llm.common import broadcast_if_small, saved
 
-#: Longest word, in bytes, that the vocabulary takes; with ``head`` it bounds the broadcast.
-LONGEST = 64
-END, RARE, FIRST = 0, 1, 2
-#: Distinct words a task counts, and tokens and rows it holds, before it sends them on.
-FLUSH, TOKENS, ROWS = 200_000, 1_000_000, 512
+#: The ids of the end of a text, and of what is before and after it.
+END, PAD = 0, 1
+#: Distinct words a task counts, and rows it holds, before it sends them on.
+FLUSH, ROWS = 200_000, 512
+DISCOUNT = 0.75
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -56,53 +58,133 @@ def frequent(table: DataFrame, most: int) -> DataFrame:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word (binary), n: every word of ``docs``."""
+    """word (binary), n: every word of ``docs`` and its count in the rows that are not held out."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter[bytes] = Counter()
         for b in batches:
-            for t in b.column("text"):
-                sums.update(words_of(t.as_py()))
+            for t, out in zip(b.column("text"), b.column("held_out"), strict=True):
+                words = words_of(t.as_py())
+                sums.update(dict.fromkeys(words, 0) if out.as_py() else words)
                 if len(sums) >= FLUSH:
-                    yield from rows(sums)
+                    yield rows(sums)
                     sums = Counter()
-        yield from rows(sums)
-
-    def rows(sums: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
+            yield rows(sums)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    def rows(sums: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
 
+    return docs.select("text", "held_out").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-def count_ngrams(docs: DataFrame, vocabulary: dict[bytes, int], pair_head: int, triple_head: int) -> DataFrame:
-    """gram, n: pairs (a << 20 | b) and triples ((a + 1) << 40 | b << 20 | c) of the first tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, kept, size = shared.value, [], 0
+def word_id(word: bytes, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([seed])).digest(), "little", signed=True)
+
+
+def identified(words: DataFrame, seed: int) -> DataFrame:
+    """id, n of the words."""
+
+    def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column("text"):
-                words = words_of(t.as_py())
-                x = np.fromiter((place.get(w, RARE) for w in words), np.int64, len(words))
-                x = np.append(x, END)
-                two = (x[:-1] < pair_head) & (x[1:] < pair_head)
-                kept.append((x[:-1] << 20 | x[1:])[two])
-                low = x < triple_head
-                three = low[:-2] & low[1:-1] & low[2:]
-                kept.append(((x[:-2] + 1) << 40 | x[1:-1] << 20 | x[2:])[three])
-                size += len(x)
-                if size >= TOKENS:
-                    yield rows(kept)
-                    kept, size = [], 0
-        if kept:
-            yield rows(kept)
-
-    def rows(kept: list[np.ndarray]) -> pa.RecordBatch:
-        gram, n = np.unique(np.concatenate(kept), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_arrays([pa.array([word_id(w.as_py(), seed) for w in b.column("word")], pa.int64()), b.column("n")], ["id", "n"])
+
+    return words.mapInArrow(name, "id bigint, n bigint")
+
+
+def vocabulary_of(words: DataFrame, tries: Iterable[int] = range(256)) -> tuple[DataFrame, int]:
+    """id, n of the words, with the first seed whose ids all differ."""
+    for seed in tries:
+        table = saved(identified(words, seed), "vocabulary")
+        if table.where(F.col("id").isin(END, PAD)).isEmpty() and table.groupBy("id").count().where("count > 1").isEmpty():
+            return table, seed
+    raise ValueError("no seed tells the words apart")
+
+
+def tokenised(rows: DataFrame, seed: int) -> DataFrame:
+    """row, doc_id, held_out, ids: the ids of a text's words and the end."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                flat, ends = [], [0]
+                for t in b.column("text"):
+                    for w in words_of(t.as_py()):
+                        i = known.get(w)
+                        if i is None:
+                            i = known[w] = word_id(w, seed)
+                        flat.append(i)
+                    flat.append(END)
+                    ends.append(len(flat))
+                    if len(known) >= FLUSH:
+                        known = {}
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), ids], ["row", "doc_id", "held_out", "ids"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInArrow(read, f"row bigint, doc_id {kind}, held_out boolean, ids array<bigint>")
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of batches with all their ids, each id's place in its text, and the texts' lengths."""
+    for whole in batches:
+        for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+            ids = b.column("ids")
+            size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            x = ids.flatten().to_numpy(zero_copy_only=False)
+            yield b, x, np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size), size
+
+
+def trigrams(x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each id the two before it, PAD before the text, and itself."""
+    a, b = np.full_like(x, PAD), np.full_like(x, PAD)
+    a[2:], b[1:] = x[:-2], x[:-1]
+    return np.where(place < 2, PAD, a), np.where(place < 1, PAD, b), x
+
+
+def count_trigrams(tokens: DataFrame) -> DataFrame:
+    """a, b, c, n: all triples, and (a, END, PAD) at the end of each text, so that their sums count all pairs."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, place, _ in pieces(batches):
+            a, b, c = trigrams(x, place)
+            full, last = place >= 2, (c == END) & (place >= 1)
+            three = [np.concatenate(y) for y in ((a[full], b[last]), (b[full], c[last]), (c[full], np.full(last.sum(), PAD)))]
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in three], ["a", "b", "c"])
+
+    return tokens.where("NOT held_out").select("ids").mapInArrow(count, "a bigint, b bigint, c bigint").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+
+
+class Head:
+    """Values of the most frequent keys, looked up for whole arrays. What it does not find is left to a join."""
+
+    def __init__(self, keys: list[np.ndarray], value: np.ndarray) -> None:
+        order = np.argsort(self.mixed(keys), kind="stable")
+        self.keys, self.value = [k[order] for k in keys], value[order]
+        self.mix = self.mixed(self.keys)
+
+    @staticmethod
+    def mixed(keys: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(keys[0]), np.uint64)
+        for k in keys:
+            out = (out ^ k.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def find(self, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is here, and its value or 0."""
+        if not len(self.value):
+            return np.zeros(len(keys[0]), bool), np.zeros(len(keys[0]))
+        at = np.minimum(np.searchsorted(self.mix, self.mixed(list(keys))), len(self.mix) - 1)
+        here = np.logical_and.reduce([mine[at] == k for mine, k in zip(self.keys, keys, strict=True)])
+        return here, np.where(here, self.value[at], 0)
+
+
+def head_of(table: DataFrame, keys: list[str], value: str, most: int) -> Head:
+    got = frequent(table, most).select(*keys, value).toArrow()
+    return Head([got[k].to_numpy() for k in keys], got[value].to_numpy())
 
 
 class Automaton:
@@ -172,71 +254,98 @@ class Automaton:
         return total
 
 
-SCORED = "row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:binary,n:bigint>>"
-
-
-def score(docs: DataFrame, held_out: str = "held_out", head: int = 1 << 16, pair_head: int = 1024, triple_head: int = 128, most_grams: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", head: int = 1 << 16, most_grams: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``docs``.
 
-    ``docs`` has doc_id, text and a boolean column that is true for rows not to learn from.
+    ``docs`` has doc_id, text and a boolean column that is true for rows not to learn from. ``head`` words and
+    ``most_grams`` trigrams at most are broadcast; neither number changes a result.
     """
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    spark, kind, d = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), DISCOUNT
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    counts = saved(count_words(train), "word-counts")
-    n_docs = train.count()
-    words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n, v = words + n_docs, types + (n_docs > 0)  # the end is a token too
-
-    top = sorted(((bytes(w), c) for w, c in frequent(counts.where(F.octet_length("word") <= LONGEST), head).collect()), key=lambda x: (-x[1], x[0]))
-    vocabulary = {w: i + FIRST for i, (w, _) in enumerate(top)}
-    known = [c for _, c in top]
-    rare_words, rare_types = words - sum(known), types - len(known)
-    unigrams = [n_docs, rare_words, *known]
-    grams = frequent(saved(count_ngrams(train, vocabulary, pair_head, triple_head).where("n > 1"), "ngrams"), most_grams)
-    automaton = Automaton(unigrams, {g: c for g, c in grams.toLocalIterator()})
+    words, seed = vocabulary_of(saved(count_words(rows), "word-counts"))
+    tokens = saved(tokenised(rows, seed), "tokens")
+    n_docs = tokens.where("NOT held_out").count()
+    n_words, types = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n, v = n_words + n_docs, types + (n_docs > 0)  # the end is a token too
+    words = words.where("n > 0").unionByName(spark.createDataFrame([(END, n_docs)], "id bigint, n bigint"))
     log_base = math.log10(n + v + 1)
-    base_of = [math.log10(n_docs + 1) - log_base, 0.0, *(math.log10(c + 1) - log_base for c in known)]
-    shared = spark.sparkContext.broadcast((vocabulary, automaton, np.array(base_of)))
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, model, base = shared.value
-        for whole in batches:
-            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                n_tokens, n_known, base_sum, scores = [], [], [], []
-                rare_words, rare_counts, ends = [], [], [0]
-                for t in b.column("text"):
-                    words = words_of(t.as_py())
-                    x = [place.get(w, RARE) for w in words]
-                    x.append(END)
-                    a, rare = np.array(x), Counter(w for w, i in zip(words, x, strict=False) if i == RARE)
-                    n_tokens.append(len(x))
-                    n_known.append(int((a != RARE).sum()) - (n_docs == 0))
-                    base_sum.append(float(base[a].sum()))
-                    scores.append(model.score(x))
-                    rare_words.extend(rare)
-                    rare_counts.extend(rare.values())
-                    ends.append(len(rare_words))
-                pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
-                columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_sum, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *columns], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    scored = saved(numbered.mapInArrow(read, SCORED.format(kind=kind)), "scored")
-
-    # Rare words by their exact counts: c + 1 over all words for base, over the class (and one unseen) for the score.
-    pairs = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    met = pairs.join(counts.withColumnRenamed("n", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    share = F.col("n") * F.log10(F.col("c") + 1)
-    sums = met.groupBy("row").agg(F.sum(share).alias("logs"), F.sum("n").alias("m"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
-    out = scored.drop("rare").join(sums, "row", "left").fillna(0, ["logs", "m", "seen"])
-    log_rare = math.log10(rare_words + rare_types + 1)
+    # Arcs. The arcs of a context share its count; its failure arc has what discounting left.
+    grams = saved(count_trigrams(tokens), "trigrams")
+    pairs = saved(grams.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    vocabulary = broadcast_if_small(saved(words, "words"))
+    of = lambda c: vocabulary.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    arcs2 = saved(pairs.join(of("a"), "a").select("a", "b", F.log10((F.col("n") - d) / F.col("n_a")).alias("lp2")), "arcs2")
+    arcs3 = saved(grams.where(F.col("c") != PAD).join(pairs.withColumnRenamed("n", "n_ab"), ["a", "b"]).select("a", "b", "c", "n", F.log10((F.col("n") - d) / F.col("n_ab")).alias("lp3")), "arcs3")
+
+    def weight(count: Column, total: Column, rest: Column) -> Column:
+        return F.log10(F.greatest(d * count / total, F.lit(1e-9)) / F.greatest(1 - rest, F.lit(1e-9)))
+
+    fail1 = pairs.join(of("b"), "b").groupBy("a").agg(weight(F.count(F.lit(1)), F.sum("n"), F.sum((F.col("n_b") + 1) / (n + v + 1))).alias("w1"))
+    fail1 = broadcast_if_small(saved(fail1, "fail1"))
+
+    top_words, top_grams = head_of(words, ["id"], "n", head), head_of(arcs3, ["a", "b", "c"], "lp3", most_grams)
+    shared = spark.sparkContext.broadcast((top_words, top_grams))
+
+    def by_text(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, np.cumsum(size) - size)  # no text is without tokens
+
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top_words, top_grams = shared.value
+        for b, x, place, size in pieces(batches):
+            here, c = top_words.find(x)
+            base = np.where(here, np.log10(c + 1) - log_base, 0)
+            _, lp = top_grams.find(*trigrams(x, place))
+            sums = [pa.array(size), pa.array(by_text((here & (c > 0)).astype(np.int64), size)), pa.array(by_text(base, size)), pa.array(by_text(lp, size))]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *sums], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    def other_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x, _, size in pieces(batches):
+            here, _ = shared.value[0].find(x)
+            row = np.repeat(b.column("row").to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(row[~here]), pa.array(x[~here])], ["row", "id"])
+
+    def other_grams(first: bool):
+        """The trigrams that were not broadcast: of the first two tokens of each text, or of the others."""
+
+        def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, x, place, size in pieces(batches):
+                three = trigrams(x, place)
+                left = place < 2 if first else (place >= 2) & ~shared.value[1].find(*three)[0]
+                row = np.repeat(b.column("row").to_numpy(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(y[left]) for y in (row, *three)], ["row", "a", "b", "c"])
+
+        return read
+
+    gram = "row bigint, a bigint, b bigint, c bigint"
+    learnt = tokens.where("NOT held_out").select("row", "ids").mapInArrow(other_grams(False), gram)
+    arcs = arcs3.select("a", "b", "c", "lp3")
+    met = saved(tokens.where("held_out").select("row", "ids").mapInArrow(other_grams(False), gram).join(arcs, ["a", "b", "c"], "left"), "met")
+    failed = met.where("lp3 IS NULL").drop("lp3").unionByName(tokens.select("row", "ids").mapInArrow(other_grams(True), gram))
+
+    # Failure arcs of the pairs that are left by one, then the shorter contexts.
+    below = arcs2.select(F.col("a").alias("b"), F.col("b").alias("c"), "lp2")
+    used = met.where("lp3 IS NULL").select("a", "b").distinct()
+    fail2 = grams.where(F.col("c") != PAD).join(used, ["a", "b"], "left_semi").join(below, ["b", "c"])
+    fail2 = saved(fail2.groupBy("a", "b").agg(weight(F.count(F.lit(1)), F.sum("n"), F.sum(F.pow(F.lit(10.0), "lp2"))).alias("w2")), "fail2")
+    walked = failed.join(fail2, ["a", "b"], "left").join(below, ["b", "c"], "left").join(fail1.withColumnRenamed("a", "b"), "b", "left").join(of("c"), "c", "left")
+    alone = F.log10(F.coalesce("n_c", F.lit(0)) + 1) - log_base
+    walked = walked.select("row", (F.coalesce("w2", F.lit(0.0)) + F.coalesce("lp2", F.coalesce("w1", F.lit(0.0)) + alone)).alias("score"))
+
+    c = F.coalesce("n_id", F.lit(0))
+    rare = tokens.select("row", "ids").mapInArrow(other_words, "row bigint, id bigint").join(of("id"), "id", "left")
+    rare = rare.select("row", (c > 0).cast("long").alias("n_known"), (F.log10(c + 1) - log_base).alias("base"), F.lit(0.0).alias("score"))
+    scores = learnt.join(arcs, ["a", "b", "c"]).select("row", F.col("lp3").alias("score")).unionByName(met.where("lp3 IS NOT NULL").select("row", F.col("lp3").alias("score"))).unionByName(walked)
+    parts = rare.unionByName(scores.select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "score"))
+    sums = parts.groupBy("row").agg(F.sum("n_known").alias("more"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
+    out = tokens.mapInArrow(texts, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    out = out.join(sums, "row", "left").fillna(0, ["more", "more_base", "more_score"])
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.col("seen")).alias("n_known"),
+        (F.col("n_known") + F.col("more")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("logs") - F.col("m") * log_base).alias("base_score"),
-        (F.col("score") + F.col("logs") - F.col("m") * log_rare).alias("score"),
+        (F.col("base") + F.col("more_base")).alias("base_score"),
+        (F.col("score") + F.col("more_score")).alias("score"),
     )

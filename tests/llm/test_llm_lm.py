@@ -118,3 +118,31 @@ def test_frequent(spark, most):
     assert len(got) <= most and sorted(got, reverse=True) == counts[: len(got)]
     if most >= 40:
         assert len(got) > most / 2 or len(got) == 100
+
+
+@pytest.mark.parametrize(("head", "most"), [(0, 0), (5, 20), (1 << 16, 200_000)])
+def test_all_ngrams_of_all_words_count(spark, head, most):
+    """Scores are those of an automaton of all words and n-grams, seen once or often, whatever is broadcast."""
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(draw.choices(words, [1 / (k + 1) for k in range(1500)], k=draw.randrange(60))), i % 4 == 0) for i in range(200)]
+    rows += [(900, "never met w1 w2", True), (901, None, True), (902, None, False), (903, "x" * 99 + " w1 w2", False), (904, "x" * 99 + " w1 w2", True)]
+    split = lambda t: (t or "").encode().lower().split()
+    place = {w: i + 2 for i, w in enumerate(sorted({w for _, t, out in rows if not out for w in split(t)}))}
+    ids = {i: [*(place.get(w, 1) for w in split(t)), 0] for i, t, _ in rows}
+    learnt = [ids[i] for i, _, out in rows if not out]
+    c = Counter(x for s in learnt for x in s)
+    model = lm.Automaton([c[i] for i in range(len(place) + 2)], ngrams(learnt, 1 << 20))
+    got = run(spark, rows, head=head, most_grams=most)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(model.score(ids[r.doc_id]), abs=1e-6)
+
+
+def test_words_whose_ids_meet_get_others(spark, monkeypatch):
+    words = spark.createDataFrame([(b"a", 1), (b"b", 2), (b"c", 3)], "word binary, n long")
+    _, seed = lm.vocabulary_of(words)
+    plain = lm.identified
+    monkeypatch.setattr(lm, "identified", lambda w, s: plain(w, s).withColumn("id", F.lit(7).cast("long")) if s == seed else plain(w, s))
+    table, other = lm.vocabulary_of(words)
+    assert other != seed and table.select("id").distinct().count() == 3
