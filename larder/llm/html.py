@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. First pass, each block alone:
 
-* bad: inside a menu, header, footer, sidebar, notice, advert, form or comment section (by element, role, class or id),
+* bad: inside a menu, header, footer, sidebar, notice, advert, form or comment section (by element, role, class or id; a
+  name says nothing of a main element, of an article that is named like one, or of a container that holds the page),
   hidden, or mostly link text;
 * good: inside the page's article, or long with many stop words;
 * otherwise bad if it has few stop words, else ambiguous: ``near`` (fairly long) or ``short``.
@@ -14,14 +15,16 @@ element, blocks outside are bad.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one \\n. Scripts,
 styles, comments, titles and other markup never are text. Nothing is cut or capped.
 
-Nulls: a null or empty html gives an empty text. Broken and truncated markup is read as far as it goes. Rows are
-independent, so ties and repeated rows give equal results. Other columns are ignored.
+Nulls: a null or empty html gives an empty text. Broken and truncated markup is read as far as it goes: an
+unclosed or self-closed tag hides nothing but itself, except unclosed script, style and comment, which are code to the
+end. Rows are independent, so ties and repeated rows give equal results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,7 +36,8 @@ from pyspark.sql import types as T
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside body blockquote details dialog div dl fieldset figure footer form header main menu nav ol section select table td th tr ul".split())
 BAD_ELEMENTS = frozenset("aside dialog footer form menu nav select button".split())
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|canvas|audio|video|head"
+CODE = "script|style"
+RAW = "noscript|template|title|textarea|iframe|svg|math|object|canvas|audio|video"
 # Words of class, id and role that name what is not the article.
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification outbrain paywall popup promo promoted promotion recommended related respond reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar widget widgets".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
@@ -46,7 +50,10 @@ STOP_WORDS = frozenset(
     "al algo ante como con cual del desde donde el ella ellos entre era esa ese esta este hasta hay la las lo los me mi muy nada ni no nos o para pero por porque que quien se sin sobre su sus también te tiene todo un una y ya yo "
     "che di e gli i non per una da em não os uma het een niet van voor".split()
 )
-PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
+UNSEEN = rf"<!--.*?(?:-->|\Z)|<(?P<code>{CODE})\b(?:[^>]*(?<=[\s\"'])/>|/>|[^>]*>(?:.*?</(?P=code)\s*>|.*\Z))"
+ATTRS = r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)"
+PIECE = re.compile(rf"{UNSEEN}|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*){ATTRS}>|<[!?/][^>]*>", re.S | re.I)
+RAW_TAG = re.compile(rf"{UNSEEN}|<(?P<end>/?)(?P<name>{RAW})(?![a-zA-Z0-9:-]){ATTRS}>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
@@ -57,10 +64,10 @@ SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.1, 0.3
 
 
 class Block:
-    __slots__ = ("text", "link", "bad", "main", "heading", "label")
+    __slots__ = ("text", "link", "bad", "main", "heading", "doubted", "label")
 
-    def __init__(self, text: str, link: float, bad: bool, main: int, heading: bool) -> None:
-        self.text, self.link, self.bad, self.main, self.heading, self.label = text, link, bad, main, heading, ""
+    def __init__(self, text: str, link: float, bad: bool, main: int, heading: bool, doubted: tuple[int, ...] = ()) -> None:
+        self.text, self.link, self.bad, self.main, self.heading, self.doubted, self.label = text, link, bad, main, heading, doubted, ""
 
 
 def named(attrs: str) -> set[str]:
@@ -71,6 +78,36 @@ def named(attrs: str) -> set[str]:
     return words
 
 
+def raw_ends(page: str) -> dict[int, int]:
+    """Where each raw element that is closed starts and ends; an unclosed or self-closed tag is one tag and no more."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in RAW_TAG.finditer(page):
+        if name := (m["name"] or "").lower():
+            if not m["end"]:
+                if not m["attrs"].endswith("/"):
+                    open_.setdefault(name, []).append(m.start())
+            elif open_.get(name):
+                ends[open_[name].pop()] = m.end()
+    return ends
+
+
+def acquit(blocks: list[Block]) -> None:
+    """Sets ``bad`` where a container's name says so, unless the container is what holds the page.
+
+    That is one with nine tenths of the text, or with more than half of it and no article, main or so named element outside.
+    """
+    held: Counter[int] = Counter()
+    for b in blocks:
+        if not b.bad:
+            held.update(dict.fromkeys(b.doubted, len(b.text)))
+    total = sum(len(b.text) for b in blocks if not b.bad)
+    free = sum(1 for b in blocks if not b.bad and b.main and not b.doubted)
+    innocent = {c for c, n in held.items() if n >= 0.9 * total or n > total / 2 and not free}
+    for b in blocks:
+        b.bad = b.bad or any(c not in innocent for c in b.doubted)
+
+
 def spoilt(attrs: str) -> bool:
     """Whether an element is named like what is not the article, or hidden."""
     return bool(named(attrs) & BAD_WORDS) or bool(HIDDEN.search(attrs))
@@ -80,13 +117,14 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = [0, 0]  # link characters, all characters
-    stack: list[tuple[str, bool, int]] = []  # name, bad, main
-    in_link, heading, alone_bad, at = 0, False, False, 0
+    stack: list[tuple[str, bool, int, int]] = []  # name, bad, main, number if its name alone is bad
+    in_link, heading, alone_bad, at, doubts = 0, False, False, 0, 0
+    ends = raw_ends(page)
 
     def flush() -> None:
         if parts:
             if text := " ".join("".join(parts).split()):
-                found.append(Block(text, linked[0] / max(1, linked[1]), alone_bad or any(x[1] for x in stack), max((x[2] for x in stack), default=NONE), heading))
+                found.append(Block(text, linked[0] / max(1, linked[1]), alone_bad or any(x[1] for x in stack), max((x[2] for x in stack), default=NONE), heading, tuple(x[3] for x in stack if x[3])))
             parts.clear()
             linked[:] = 0, 0
 
@@ -99,9 +137,9 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked[0] += n
 
-    for m in PIECE.finditer(page):
+    while m := PIECE.search(page, at):
         say(page[at : m.start()])
-        at, name = m.end(), (m["name"] or "").lower()
+        at, name = ends.get(m.start(), m.end()), (m["name"] or "").lower()
         if not name:
             continue
         if name == "a":
@@ -120,11 +158,15 @@ def blocks_of(page: str) -> list[Block]:
             elif not m["attrs"].endswith("/"):
                 words = named(m["attrs"]) if "=" in m["attrs"] else set()
                 inside = any(x[2] for x in stack)
-                bad = name in BAD_ELEMENTS or name != "body" and spoilt(m["attrs"]) or not inside and (name == "header" or bool(words & HEADER_WORDS))
+                bad = name in BAD_ELEMENTS or name != "body" and bool(HIDDEN.search(m["attrs"])) or not inside and name == "header"
                 main = ARTICLE if name == "article" else MAIN if name == "main" else NAMED if words & MAIN_WORDS and name != "body" else NONE
-                stack.append((name, bad, NONE if bad else main))
+                by_name = name != "body" and bool(words & BAD_WORDS) or not inside and bool(words & HEADER_WORDS)
+                doubted = not bad and by_name and name != "main" and not (name == "article" and words & MAIN_WORDS)
+                doubts += doubted
+                stack.append((name, bad, NONE if bad else main, doubts if doubted else 0))
     say(page[at:])
     flush()
+    acquit(found)
     return found
 
 

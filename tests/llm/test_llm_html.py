@@ -67,3 +67,34 @@ def test_pages(spark):
         article = r.html[r.html.index("<article>") + 9 :].partition("</article>")[0]
         blocks = [" ".join(html.unescape(re.sub("<br>", " ", b).replace("<b>", "")).split()) for b in re.split("</?p>|</?h1>", article)]
         assert got[r.page_id] == "\n".join(filter(None, blocks))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><body><article><p>kept</p></article>",
+        "<head><title>T</title><style>p{}</style><article><p>kept</p></article>",
+        *(f"<{r}><article><p>kept</p></article>" for r in ("svg", "svg/", "iframe src='x' /", "noscript", "canvas", "object", "title", "video")),
+        "<svg><article><p>kept</p></article><svg><text>no</text></svg>",
+        "<script src='x'/><article><p>kept</p></article><script>no</script>",
+        "<article><svg><svg><text>no</text></svg><text>no</text></svg><p>kept</p></article>",
+        "<script>'<svg>'</script><article><p>kept</p></article></svg>",
+        "<main class='content with-sidebar'><p>kept</p></main>",
+        "<article class='post share'><p>kept</p></article>",
+        "<article class=share><p>kept</p></article>",
+        "<div class=has-cookie-banner><nav>menu</nav><article><p>kept</p></article><footer>f</footer></div>",
+        "<div class='page header-fixed'><main><p>kept</p></main></div>",
+    ],
+)
+def test_no_tag_or_name_hides_the_page(page):
+    assert main_text(page) == "kept"
+
+
+def test_names_still_condemn_parts():
+    assert main_text(f"<article><p>kept</p></article><section id=comments><p>{LONG * 9}</p></section>") == "kept"
+    assert main_text(f"<div><p>{LONG}</p></div><div class=sidebar><p>other</p></div>") == LONG.strip()
+    assert main_text("<article><p>kept</p></article><div class=related><article class=related><p>other</p></article></div>") == "kept"
+
+
+def test_many_unclosed_tags_take_linear_time():
+    assert main_text("<article>" + "<svg>" * 100_000 + "<p>kept</p></article>") == "kept"
