@@ -9,8 +9,10 @@ A page is cut into blocks at block-level tags. First pass, each block alone:
 * otherwise bad if it has few stop words, else ambiguous: ``near`` (fairly long) or ``short``.
 
 Second pass: ambiguous blocks inherit the label of their nearest decided neighbours; where these differ, ``near`` blocks
-are good, and ``short`` ones follow the closer (a heading the following, a tie is bad). If a page has an article or main
-element, blocks outside are bad.
+are good, and ``short`` ones follow the closer (a heading the following, a tie is bad).
+
+If a page has an article, main or so named element, that decides instead: blocks outside are bad, blocks inside are good
+unless bad by name or links. An article or main element with less text than is good by itself outside it decides nothing.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one \\n. Scripts,
 styles, comments, titles and other markup never are text. Nothing is cut or capped.
@@ -22,7 +24,9 @@ end. Rows are independent, so ties and repeated rows give equal results. Other c
 
 from __future__ import annotations
 
+import functools
 import html
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,8 +61,8 @@ RAW_TAG = re.compile(rf"{UNSEEN}|<(?P<end>/?)(?P<name>{RAW})(?![a-zA-Z0-9:-]){AT
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
-#: How surely an element holds the article: by element, main element, or name.
-ARTICLE, MAIN, NAMED, NONE = 3, 2, 1, 0
+#: What can hold the article, the surest first: the element, a main element, a name. A block has the sum of those it is in.
+ARTICLE, MAIN, NAMED, NONE = 4, 2, 1, 0
 
 SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.1, 0.3
 
@@ -95,15 +99,15 @@ def raw_ends(page: str) -> dict[int, int]:
 def acquit(blocks: list[Block]) -> None:
     """Sets ``bad`` where a container's name says so, unless the container is what holds the page.
 
-    That is one with nine tenths of the text, or with more than half of it and no article, main or so named element outside.
+    That is one with more than half of the text, and outside it an article, main or so named element has headings at most.
     """
     held: Counter[int] = Counter()
     for b in blocks:
         if not b.bad:
             held.update(dict.fromkeys(b.doubted, len(b.text)))
     total = sum(len(b.text) for b in blocks if not b.bad)
-    free = sum(1 for b in blocks if not b.bad and b.main and not b.doubted)
-    innocent = {c for c, n in held.items() if n >= 0.9 * total or n > total / 2 and not free}
+    free = sum(1 for b in blocks if not b.bad and b.main and not b.doubted and not b.heading)
+    innocent = {c for c, n in held.items() if n > total / 2 and not free}
     for b in blocks:
         b.bad = b.bad or any(c not in innocent for c in b.doubted)
 
@@ -124,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
     def flush() -> None:
         if parts:
             if text := " ".join("".join(parts).split()):
-                found.append(Block(text, linked[0] / max(1, linked[1]), alone_bad or any(x[1] for x in stack), max((x[2] for x in stack), default=NONE), heading, tuple(x[3] for x in stack if x[3])))
+                found.append(Block(text, linked[0] / max(1, linked[1]), alone_bad or any(x[1] for x in stack), functools.reduce(operator.or_, (x[2] for x in stack), NONE), heading, tuple(x[3] for x in stack if x[3])))
             parts.clear()
             linked[:] = 0, 0
 
@@ -170,25 +174,44 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
+def by_density(b: Block) -> str:
+    """The label of a block by its links, length and stop words alone."""
+    if b.link > LINKS:
+        return "bad"
+    if len(b.text) < SHORT:
+        return "bad" if b.link > 0 else "short"
+    words = b.text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if stops >= MANY_STOPS:
+        return "good" if len(b.text) >= LONG else "near"
+    return "near" if stops >= FEW_STOPS else "bad"
+
+
+def holder(blocks: list[Block], labels: list[str]) -> int:
+    """The surest kind of container that holds the article, or NONE.
+
+    Article and main elements do not if more text outside them is good by itself than there is text inside: they are
+    teasers or cards then.
+    """
+    for kind in (ARTICLE, MAIN, NAMED):
+        inside = sum(len(b.text) for b in blocks if not b.bad and b.main & kind)
+        outside = sum(len(b.text) for b, label in zip(blocks, labels, strict=True) if not b.bad and not b.main & kind and label == "good")
+        if inside and (kind == NAMED or outside <= inside):
+            return kind
+    return NONE
+
+
 def classify(blocks: list[Block]) -> None:
     """Sets ``label`` of each block to good or bad."""
-    whole = max((b.main for b in blocks if not b.bad), default=NONE)
-    for b in blocks:
-        words = b.text.lower().split()
-        if b.bad or b.main < whole:
-            b.label = "bad"
-        elif b.link > LINKS and not (b.main and b.heading):
+    labels = ["bad" if b.bad else by_density(b) for b in blocks]
+    kind = holder(blocks, labels)
+    for b, label in zip(blocks, labels, strict=True):
+        if b.bad or b.main & kind != kind:
             b.label = "bad"
-        elif b.main:
-            b.label = "good"
+        elif kind:
+            b.label = "bad" if b.link > LINKS and not b.heading else "good"
         else:
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            if len(b.text) < SHORT:
-                b.label = "bad" if b.link > 0 else "short"
-            elif stops >= MANY_STOPS:
-                b.label = "good" if len(b.text) >= LONG else "near"
-            else:
-                b.label = "near" if stops >= FEW_STOPS else "bad"
+            b.label = label
 
     decided = [(i, b.label) for i, b in enumerate(blocks) if b.label in ("good", "bad")]
     k = 0

@@ -90,6 +90,10 @@ def test_no_tag_or_name_hides_the_page(page):
     assert main_text(page) == "kept"
 
 
+def test_a_named_container_that_holds_the_page_stays():
+    assert main_text(f"<main><h1>Head</h1><div class=widget-area><p>{LONG}</p></div></main>") == f"Head\n{LONG.strip()}"
+
+
 def test_names_still_condemn_parts():
     assert main_text(f"<article><p>kept</p></article><section id=comments><p>{LONG * 9}</p></section>") == "kept"
     assert main_text(f"<div><p>{LONG}</p></div><div class=sidebar><p>other</p></div>") == LONG.strip()
@@ -98,3 +102,12 @@ def test_names_still_condemn_parts():
 
 def test_many_unclosed_tags_take_linear_time():
     assert main_text("<article>" + "<svg>" * 100_000 + "<p>kept</p></article>") == "kept"
+
+
+@pytest.mark.parametrize("kind", ["article", "main"])
+def test_a_teaser_does_not_replace_the_text(kind):
+    text = LONG.strip()
+    card = f"<{kind}><p>A card.</p><p><a href=x>More of it</a></p></{kind}>"
+    assert main_text(f"<div><h1>Head</h1><p>{LONG}</p><p>Tiny.</p><p>{LONG}</p></div><div>Lorem Ipsum Dolor Consectetur Adipiscing Elit Sed Eiusmod Tempor Incididunt</div>{card}") == f"Head\n{text}\nTiny.\n{text}"
+    assert main_text(f"<div class=content><p>{LONG}</p><p>Tiny.</p></div>{card}") == f"{text}\nTiny."
+    assert main_text(f"<main><p>{LONG}</p></main><article><p>A card.</p></article>") == text
