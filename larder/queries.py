@@ -18,7 +18,7 @@ from larder.functions import keys
 from larder.operators import cache
 from larder.plans.store import VersionedStore, purged
 from larder.sources import descriptor
-from larder.streaming.replay import replay_stream
+from larder.streaming.replay import replay_batches
 
 DESCRIPTOR = {
     "name": "Reader", "short_name": "Rd", "description": "Opens documents", "start_url": "./start.html", "scope": "/en/", "display": "standalone", "background_color": "#102030", "theme_color": "#405060", "lang": "en",
@@ -69,13 +69,12 @@ REPLAY = f"""WITH {REQUESTS}, c AS (SELECT *, last_value(CASE WHEN outcome = 'ok
 
 
 def replay_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replay as a stream over the events' files, run until they are read."""
+    """The replay as a stream over the events' files, run until they are read; a key is spread over days."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     asked, _ = cache.route(as_requests(events))
     out, marks = shared_dir(spark, "replies"), shared_dir(spark, "progress")
-    stream = replay_stream(asked.withColumn("key", F.col("key").cast("string"))).writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out)
-    stream.awaitTermination()
-    return spark.read.parquet(out).select("req_id", F.col("key").cast("long").alias("key"), "cached", "served")
+    replay_batches(asked, out, marks, ["arrival", "req_id"], day()).awaitTermination()
+    return spark.read.parquet(f"{out}/replies").select("req_id", "key", "cached", "served")
 
 
 def gate_method(spark: SparkSession, sf_dir: str) -> DataFrame:

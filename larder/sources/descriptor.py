@@ -64,8 +64,19 @@ def route_files(files: DataFrame, table: DataFrame, path: str = "path") -> DataF
     return files.withColumn("ext", extension(F.col(path))).join(table, "ext")
 
 
-def launches(files: DataFrame, table: DataFrame, path: str = "path", launch: str = "launch_id") -> DataFrame:
-    """Files opened together: all of a single-client launch go to one window, others each to its own."""
+def opened(files: DataFrame, table: DataFrame, path: str = "path", launch: str = "launch_id") -> DataFrame:
+    """launch_id, action, window, file: the files of ``launches`` as rows, for launches of any number of files.
+
+    ``window`` is empty for the one window of a single-client launch, else the file that has a window of its own.
+    """
     found = route_files(files, table, path)
     alone = F.when(F.col("launch_type") == "single-client", F.lit("")).otherwise(F.col(path))
-    return found.groupBy(launch, "action", alone.alias("_own")).agg(F.array_sort(F.collect_list(path)).alias("files")).drop("_own")
+    return found.select(launch, "action", alone.alias("window"), F.col(path).alias("file"))
+
+
+def launches(files: DataFrame, table: DataFrame, path: str = "path", launch: str = "launch_id") -> DataFrame:
+    """Files opened together: all of a single-client launch go to one window, others each to its own.
+
+    A launch is one row with an array of its files, so one task holds them; ``opened`` has them as rows.
+    """
+    return opened(files, table, path, launch).groupBy(launch, "action", "window").agg(F.array_sort(F.collect_list("file")).alias("files")).drop("window")

@@ -3,14 +3,22 @@
 The state of a key is the last ok body. The rows of a key in a micro-batch are sorted by arrival; a row that comes in a
 later batch is applied then, whatever its time. State has no expiry, as the batch replay has none: it grows with the
 number of keys.
+
+``replay_batches`` spreads a key's rows over periods, as the batch replay does, so a key may have any share of a
+micro-batch. ``replay_stream`` is a streaming DataFrame with Spark's own keyed state; one task holds all rows that a key
+has in a micro-batch, so it is for sources whose batches are small for every key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from larder.operators import cache
 
 OUTPUT = "req_id long, key string, cached double, served double"
 
@@ -32,3 +40,25 @@ def replay_key(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.
 def replay_stream(requests: DataFrame) -> DataFrame:
     """A streaming DataFrame of replies from GET requests req_id, arrival, key, outcome, body (double)."""
     return requests.groupBy("key").applyInPandasWithState(replay_key, OUTPUT, "last double", "append", "NoTimeout")
+
+
+def replay_batches(requests: DataFrame, folder: str, marks: str, order: Sequence[str], clock: Column) -> StreamingQuery:
+    """Starts a stream of replies to GET requests (key, outcome, body and the columns of ``order``), run until all are read.
+
+    Each micro-batch is replayed by ``cache.replay`` with ``order`` and ``clock``, then meets the state before it in a join.
+    Replies go to ``folder``/replies/batch=N and the state after it to ``folder``/state/N, written anew if a batch is
+    repeated. ``folder`` and ``marks`` belong together: a later run goes on from both.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, key = batch.sparkSession, F.struct(F.col("key")).alias("_key")  # a null key is a key like any other
+        stored = cache.latest(batch.where(F.col("outcome") == "ok"), order).select("key", "body")
+        before = spark.read.schema(stored.schema).parquet(f"{folder}/state/{number - 1}") if number else stored.where(F.lit(False))
+        rows = cache.replay(batch, order, clock).withColumn("_key", F.struct(F.col("key"))).join(before.select(key, F.col("body").alias("_last")), "_key", "left")
+        cached = F.coalesce("cached", "_last")
+        answer = cache.served(cached, cache.recovered(F.col("outcome"), F.col("body"), cached))
+        rows.select(*batch.columns, cached.alias("cached"), answer.alias("served")).write.mode("overwrite").parquet(f"{folder}/replies/batch={number}")
+        both = before.withColumn("_new", F.lit(0)).unionByName(stored.withColumn("_new", F.lit(1)))
+        both.groupBy("key").agg(F.max_by("body", "_new").alias("body")).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+
+    return requests.writeStream.foreachBatch(apply).option("checkpointLocation", marks).trigger(availableNow=True).start()

@@ -41,6 +41,12 @@ def test_routes_do_not_double(spark, tmp_path):
     assert got == [(1, ["x/a.json", "x/b.XML"]), (2, ["d.csv"]), (2, ["e.csv"])]
 
 
+def test_opened_files_are_rows(spark, tmp_path):
+    files = spark.createDataFrame([(1, "x/a.json"), (1, "x/b.XML"), (2, "d.csv"), (2, "d.csv"), (3, "c.pdf")], "launch_id int, path string")
+    got = sorted(tuple(r) for r in descriptor.opened(files, descriptor.routes(apps(spark, tmp_path))).collect())
+    assert got == [(1, "./open", "", "x/a.json"), (1, "./open", "", "x/b.XML"), (2, "./many", "d.csv", "d.csv"), (2, "./many", "d.csv", "d.csv")]
+
+
 def test_malformed_descriptor(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     assert descriptor.metadata(descriptor.read_descriptor(spark, f"file://{tmp_path}/bad.json")).collect()[0].name is None

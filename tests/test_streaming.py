@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
+from larder import queries
+from larder.streaming import replay
 from larder.streaming.replay import replay_stream
 
 SCHEMA = "req_id long, arrival timestamp, key string, outcome string, body double"
@@ -22,3 +27,31 @@ def test_state_outlives_the_run(spark, tmp_path):
     run(spark, folder, out, marks)
     got = {r.req_id: (r.cached, r.served) for r in spark.read.parquet(out).collect()}
     assert got == {1: (None, 1.0), 2: (1.0, 1.0), 3: (None, None), 4: (2.0, 2.0), 5: (None, 5.0)}
+
+
+def test_batches_spread_a_hot_key(spark, tmp_path):
+    """Three runs with a key that has most rows, late rows and a null key, against a loop over each run's sorted rows."""
+    folder, out, marks = (f"file://{tmp_path}/{x}" for x in ("in", "out", "marks"))
+    draw, state, want, n = random.Random(5), {}, {}, 0
+    for _ in range(3):
+        rows = []
+        for n in range(n + 1, n + 300):
+            at = datetime(2020, 1, 1) + timedelta(hours=draw.randrange(400))
+            rows.append((n, str(at), draw.choice(["hot"] * 8 + ["a", None]), draw.choice(["ok", "not_ok", "rejected", None]), float(n)))
+        batch(spark, folder, rows)
+        stream = replay.replay_batches(spark.readStream.schema(SCHEMA).parquet(folder), out, marks, ["arrival", "req_id"], queries.day())
+        stream.awaitTermination()
+        for req, _, key, outcome, body in sorted(rows, key=lambda r: (r[1], r[0])):
+            last = state.get(key)
+            want[req] = (last, last if last is not None else None if outcome == "rejected" else body)
+            if outcome == "ok":
+                state[key] = body
+    got = spark.read.parquet(f"{out}/replies").collect()
+    assert len(got) == len(want) and {r.req_id: (r.cached, r.served) for r in got} == want
+
+
+def test_streamed_query_replays_by_periods(spark, monkeypatch):
+    used, plain = [], replay.cache.replay
+    monkeypatch.setattr(replay.cache, "replay", lambda rows, *a: used.append(1) or plain(rows, *a))
+    assert queries.replay_streamed(spark, "/root/testdata/sf0.001").count() == 798
+    assert used
