@@ -59,3 +59,11 @@ def test_query(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes) == (len((dict(ROWS).get(r.doc_id) or "").encode()), len(raw))
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
     assert len({(r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
+
+
+def test_query_has_the_headers(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op10_media(spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert (r.width, r.height, r.depth) == (576, r.payload_bytes // 576, 8)
