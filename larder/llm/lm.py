@@ -1,351 +1,264 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Training counts every word of the training rows and every n-gram up to order 3 over the whole vocabulary; none is dropped
-for its rank or count. Counts are smoothed by absolute discounting. A state of the automaton is a context of up to two
-words: an arc reads a word and carries a log-probability, a failure arc leads to the next shorter context and carries its
-backoff weight. The empty context has an arc for every word: its add-one share, also for words never seen in training.
-
-The automaton is held in tables that grow with the input: ``arcs3`` (a, b, c), ``arcs2`` (a, b), ``fail1`` and ``fail2``.
-A text's n-grams meet them in joins. All n-grams of training rows have arcs; only the others walk failure arcs, and only
-the failure arcs that they walk are weighted. The most frequent words and trigrams are also broadcast, so that they need
-no join; how many changes no result. ``Automaton`` is the same model in one process, for small counts.
-
-A word travels as a 64-bit hash. Hashes are checked to differ over all words of the rows; if two meet, another seed is
-taken. ``base`` is the add-one unigram score of the same training counts.
+Training counts every word, pair and triple of words of the training rows; none is dropped for its rank or count. Counts
+are smoothed by a hierarchy of Dirichlet priors (MacKay and Peto, 1995): with n(h) the count of a context h, its word w
+has p(w | h) = (n(hw) + m p(w | h')) / (n(h) + m), where h' is h without its first word and m the prior's weight at that
+length; below all is the add-one share of the word. As an automaton: a state is a context of up to two words, an arc reads
+a word with count above 0 and carries log p, a failure arc leads to the next shorter context and carries
+log(m / (n(h) + m)), and the empty context has an arc for every word.
+
+The automaton is never in one place. Texts are written as slices of about ``slice_tokens`` tokens. A slice asks for the
+counts of its distinct n-grams only: their sorted 64-bit keys are dealt out by key range, the counts of all slices are
+summed there, and every slice gets back one number for each key it asked for, in its order. With them it has each arc and
+failure arc that its texts can meet, and scores each text in one left-to-right traversal, whose state after a token is the
+pair that ends there. An n-gram of any frequency is one entry a slice, so no word or context is a hot key.
+
+Keys: a word's key is a 64-bit hash; words whose keys meet are found by 16 further bits of another hash, and another seed
+is taken. Keys of pairs and triples are mixes of their words' keys and could meet with a chance of n^2 / 2^65 for n of them.
+``base`` is the add-one unigram score of the same training counts.
 
 Nulls: a null text is empty: one token, the end. A null doc_id counts as not held out. Repeated rows are scored, and in
-training counted, each. With no training row every count is 0. Any length works. Other columns are ignored.
+training counted, each. With no training row every count is 0. Any length works; a text is never cut, one that is longer
+than a slice is a slice of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import broadcast_if_small, saved
+from larder.llm.common import saved, shared_dir
+from larder.llm.files import attempt_name, open_read, open_write
 
-#: The ids of the end of a text, and of what is before and after it.
-END, PAD = 0, 1
-#: Distinct words a task counts, and rows it holds, before it sends them on.
-FLUSH, ROWS = 200_000, 512
-DISCOUNT = 0.75
+#: Keys of no word: the end of a text (the empty string) and what is before it.
+END, PAD = b"", b" "
+ORDERS = (1, 2, 3)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def frequent(table: DataFrame, most: int) -> DataFrame:
-    """The rows of the highest counts ``n``, at most ``most``: all from some count on.
-
-    Counts are told apart in steps of 1/64 of a doubling, so the cut comes from a few thousand numbers; a sorted limit
-    would send ``most`` rows of every task to one place.
-    """
-    step, cut, total = F.floor(F.log2("n") * 64), None, 0
-    for s, c in table.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
-        total += c
-        if total > most:
-            break
-        cut = s
-    return table.where(F.lit(False)) if cut is None else table.where(step >= cut)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """word (binary), n: every word of ``docs`` and its count in the rows that are not held out."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter[bytes] = Counter()
-        for b in batches:
-            for t, out in zip(b.column("text"), b.column("held_out"), strict=True):
-                words = words_of(t.as_py())
-                sums.update(dict.fromkeys(words, 0) if out.as_py() else words)
-                if len(sums) >= FLUSH:
-                    yield rows(sums)
-                    sums = Counter()
-        if sums:
-            yield rows(sums)
-
-    def rows(sums: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
-
-    return docs.select("text", "held_out").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def word_id(word: bytes, seed: int) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([seed])).digest(), "little", signed=True)
-
-
-def identified(words: DataFrame, seed: int) -> DataFrame:
-    """id, n of the words."""
+def word_keys(words: list[bytes], seed: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A key of ``bits`` bits and 16 bits of another hash for each word."""
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seed) for w in words), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0] >> np.uint64(64 - bits), (both[:, 1] & np.uint64(0xFFFF)).astype(np.uint16)
 
-    def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_id(w.as_py(), seed) for w in b.column("word")], pa.int64()), b.column("n")], ["id", "n"])
-
-    return words.mapInArrow(name, "id bigint, n bigint")
-
-
-def vocabulary_of(words: DataFrame, tries: Iterable[int] = range(256)) -> tuple[DataFrame, int]:
-    """id, n of the words, with the first seed whose ids all differ."""
-    for seed in tries:
-        table = saved(identified(words, seed), "vocabulary")
-        if table.where(F.col("id").isin(END, PAD)).isEmpty() and table.groupBy("id").count().where("count > 1").isEmpty():
-            return table, seed
-    raise ValueError("no seed tells the words apart")
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key of each n-gram from that of its beginning and that of its last word."""
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(29)))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def tokenised(rows: DataFrame, seed: int) -> DataFrame:
-    """row, doc_id, held_out, ids: the ids of a text's words and the end."""
 
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for whole in batches:
-            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                flat, ends = [], [0]
-                for t in b.column("text"):
-                    for w in words_of(t.as_py()):
-                        i = known.get(w)
-                        if i is None:
-                            i = known[w] = word_id(w, seed)
-                        flat.append(i)
-                    flat.append(END)
-                    ends.append(len(flat))
-                    if len(known) >= FLUSH:
-                        known = {}
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), ids], ["row", "doc_id", "held_out", "ids"])
+def pack(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes, so that small ones take little room."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    return numbered.mapInArrow(read, f"row bigint, doc_id {kind}, held_out boolean, ids array<bigint>")
 
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
-def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of batches with all their ids, each id's place in its text, and the texts' lengths."""
-    for whole in batches:
-        for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-            ids = b.column("ids")
-            size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            x = ids.flatten().to_numpy(zero_copy_only=False)
-            yield b, x, np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size), size
 
+class Numbers(dict):
+    """Word -> number, in order of first sight."""
 
-def trigrams(x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each id the two before it, PAD before the text, and itself."""
-    a, b = np.full_like(x, PAD), np.full_like(x, PAD)
-    a[2:], b[1:] = x[:-2], x[:-1]
-    return np.where(place < 2, PAD, a), np.where(place < 1, PAD, b), x
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def count_trigrams(tokens: DataFrame) -> DataFrame:
-    """a, b, c, n: all triples, and (a, END, PAD) at the end of each text, so that their sums count all pairs."""
+class Slice:
+    """Some whole texts: ids, held_out and size (in tokens) of each, all tokens as numbers, and the words of the numbers."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, x, place, _ in pieces(batches):
-            a, b, c = trigrams(x, place)
-            full, last = place >= 2, (c == END) & (place >= 1)
-            three = [np.concatenate(y) for y in ((a[full], b[last]), (b[full], c[last]), (c[full], np.full(last.sum(), PAD)))]
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in three], ["a", "b", "c"])
+    def __init__(self, doc_ids: list, held_out: np.ndarray, size: np.ndarray, tokens: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        self.doc_ids, self.held_out, self.size, self.tokens, self.keys, self.checks = doc_ids, held_out, size, tokens, keys, checks
+        starts = np.cumsum(size) - size
+        self.first = np.zeros(len(tokens), bool)
+        self.first[starts] = True  # every text has a token, the end
 
-    return tokens.where("NOT held_out").select("ids").mapInArrow(count, "a bigint, b bigint, c bigint").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
-
-
-class Head:
-    """Values of the most frequent keys, looked up for whole arrays. What it does not find is left to a join."""
-
-    def __init__(self, keys: list[np.ndarray], value: np.ndarray) -> None:
-        order = np.argsort(self.mixed(keys), kind="stable")
-        self.keys, self.value = [k[order] for k in keys], value[order]
-        self.mix = self.mixed(self.keys)
+    def write(self, uri: str, kind: pa.DataType) -> None:
+        columns = [pa.array([self.doc_ids], pa.list_(kind)), *(pa.array([pack(x)], pa.binary()) for x in (self.held_out, self.size, self.tokens, self.keys, self.checks))]
+        batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "size", "tokens", "keys", "checks"])
+        with open_write(uri) as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(batch)
 
     @staticmethod
-    def mixed(keys: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(keys[0]), np.uint64)
-        for k in keys:
-            out = (out ^ k.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
+    def read(uri: str) -> Slice:
+        with open_read(uri) as file, pa.ipc.open_stream(file) as reader:
+            row = reader.read_next_batch().to_pylist()[0]
+        return Slice(row["doc_id"], *(unpack(row[c], k) for c, k in (("held_out", bool), ("size", np.int64), ("tokens", np.int32), ("keys", np.uint64), ("checks", np.uint16))))
+
+    def before(self, x: np.ndarray, start) -> np.ndarray:
+        """What each token has before it: the value at the last token, ``start`` at the beginning of a text."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
         return out
 
-    def find(self, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is here, and its value or 0."""
-        if not len(self.value):
-            return np.zeros(len(keys[0]), bool), np.zeros(len(keys[0]))
-        at = np.minimum(np.searchsorted(self.mix, self.mixed(list(keys))), len(self.mix) - 1)
-        here = np.logical_and.reduce([mine[at] == k for mine, k in zip(self.keys, keys, strict=True)])
-        return here, np.where(here, self.value[at], 0)
+    def grams(self, order: int, pad: np.uint64) -> np.ndarray:
+        """The key of the n-gram that ends at each token. A text's first triple would tell what its first pair tells."""
+        word = self.keys[self.tokens]
+        if order == 1:
+            return word
+        pair = mixed(self.before(word, pad), word)
+        return pair if order == 2 else mixed(self.before(pair, pad), word)
+
+    def by_text(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, np.flatnonzero(self.first))
+
+    def requests(self, seed: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(order, keys, counts in training texts, checks of words): the distinct n-grams, sorted by key."""
+        out = np.repeat(self.held_out, self.size)
+        pad = word_keys([PAD], seed, bits)[0][0]
+        for order in ORDERS:
+            all_ = self.grams(order, pad)
+            keys, n = np.unique(all_, return_counts=True)
+            held, m = np.unique(all_[out], return_counts=True)
+            n[np.searchsorted(keys, held)] -= m
+            checks = np.zeros(0, np.uint16)
+            if order == 1:
+                checks = np.zeros(len(keys), np.uint16)
+                checks[np.searchsorted(keys, self.keys)] = self.checks
+            yield order, keys, n, checks
+
+    def score(self, counts: dict[int, np.ndarray], seed: int, bits: int, tokens: int, types: int, docs: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n_known, base and score of each text, from the counts of the distinct n-grams of each order."""
+        pad, n = word_keys([PAD], seed, bits)[0][0], {}
+        for order in ORDERS:
+            _, at = np.unique(self.grams(order, pad), return_inverse=True)
+            n[order] = counts[order][at]
+        unit = (n[1] + 1) / (tokens + types + 1)
+        # The states before each token: contexts of one and of two words, with their counts.
+        one, two = self.before(n[1], docs), self.before(n[2], 0)
+        p = unit
+        for arc, state, weight in ((n[2], one, weights[0]), (np.where(self.first, 0, n[3]), two, weights[1])):
+            shorter, fail = p, weight / (state + weight)
+            # At the beginning of a text the context of two words has not been entered.
+            p = np.where(arc > 0, (arc + weight * shorter) / (state + weight), fail * shorter)
+        return self.by_text((n[1] > 0).astype(np.int64)), self.by_text(np.log10(unit)), self.by_text(np.log10(p))
+
+
+def write_slices(docs: DataFrame, seed: int, slice_tokens: int, bits: int) -> DataFrame:
+    """Writes the texts as slices; returns their path, and the tokens and texts to learn from (a written table)."""
+    folder = shared_dir(docs.sparkSession, "slices")
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, doc_ids, held_out, size, tokens, total, n = Numbers({END: 0}), [], [], [], [], 0, 0
+        kind = pa.null()
+
+        def flush() -> pa.RecordBatch:
+            path = f"{folder}/{attempt_name(f'-{n}.arrow')}"
+            out, sizes = np.array(held_out, bool), np.array(size, np.int64)
+            Slice(doc_ids, out, sizes, np.concatenate(tokens), *word_keys(list(numbers), seed, bits)).write(path, kind)
+            return pa.RecordBatch.from_pydict({"path": [path], "tokens": [int(sizes[~out].sum())], "docs": [int((~out).sum())]})
+
+        for b in batches:
+            kind = b.column("doc_id").type
+            for doc_id, t, out in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("held_out").to_pylist(), strict=True):
+                words = words_of(t.as_py())
+                if total and total + len(words) > slice_tokens:
+                    yield flush()
+                    numbers, doc_ids, held_out, size, tokens, total, n = Numbers({END: 0}), [], [], [], [], 0, n + 1
+                ids = np.zeros(len(words) + 1, np.int32)
+                ids[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                doc_ids.append(doc_id)
+                held_out.append(out)
+                size.append(len(ids))
+                tokens.append(ids)
+                total += len(ids)
+        if total:
+            yield flush()
 
+    return saved(docs.mapInArrow(write, "path string, tokens bigint, docs bigint"), "slice-index")
 
-def head_of(table: DataFrame, keys: list[str], value: str, most: int) -> Head:
-    got = frequent(table, most).select(*keys, value).toArrow()
-    return Head([got[k].to_numpy() for k in keys], got[value].to_numpy())
 
+def dealt(index: DataFrame, slices: int) -> DataFrame:
+    """One slice a row, spread over tasks."""
+    return index.select("path").repartition(max(1, min(slices, 1 << 16)))
 
-class Automaton:
-    """States are contexts of up to two tokens; state 0 is the empty context, which has an arc for every token.
 
-    ``arcs`` maps state << 20 | token to (log10 probability, next state); ``fail`` has for each state the next shorter
-    context and the log10 backoff weight.
+def counted(index: DataFrame, slices: int, ranges: int, seed: int, bits: int) -> DataFrame:
+    """path, order, range, counts, types, clash: for each slice the counts of its n-grams (a written table).
+
+    ``types`` sums to the distinct words with a count; ``clash`` tells that two words have one key.
     """
 
-    def __init__(self, unigrams: list[int], grams: dict[int, int], discount: float = 0.75) -> None:
-        total = sum(unigrams) + len(unigrams)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.fail: list[tuple[int, float]] = [(0, 0.0)]
-        pairs: dict[int, list[tuple[int, int]]] = {}
-        triples: dict[int, list[tuple[int, int]]] = {}
-        for g, n in grams.items():
-            where, key = (triples, g >> 20) if g >> 40 else (pairs, g >> 20)
-            where.setdefault(key, []).append((g & 0xFFFFF, n))
-        one = [(n + 1) / total for n in unigrams]  # add one over the vocabulary
-        state: dict[int, int] = {}  # context -> state
-        for context in [*pairs, *triples]:
-            state[context] = len(self.fail)
-            self.fail.append((0, 0.0))
-
-        def longest(*tokens: int) -> int:
-            a, b = tokens if len(tokens) == 2 else (-1, tokens[0])
-            return state.get((a + 1) << 20 | b) or state.get(b, 0) if a >= 0 else state.get(b, 0)
-
-        for w, p in enumerate(one):
-            self.arcs[w] = (math.log10(p), longest(w))
-        for a, following in pairs.items():
-            # Discounted counts; what is left goes to the words without an arc, in proportion to the shorter context.
-            self.context(state[a], 0, following, unigrams[a], lambda w: one[w], lambda w, a=a: longest(a, w), discount)
-        for context, following in triples.items():
-            b = context & 0xFFFFF
-            n = grams.get(((context >> 20) - 1) << 20 | b, 0)
-            self.context(state[context], state.get(b, 0), following, n, lambda w, b=b: self.probability(state.get(b, 0), w), lambda w, b=b: longest(b, w), discount)
-
-    def context(self, at: int, shorter: int, following: list[tuple[int, int]], total: int, lower, goto, discount: float) -> None:
-        total = max(total, sum(n for _, n in following))
-        kept = rest = 0.0
-        for w, n in following:
-            p = (n - discount) / total
-            kept, rest = kept + p, rest + lower(w)
-            self.arcs[at << 20 | w] = (math.log10(p), goto(w))
-        # At least a sliver is kept for the rest, so that no token is impossible.
-        self.fail[at] = (shorter, math.log10(max(1 - kept, 1e-9) / max(1 - rest, 1e-9)))
-
-    def probability(self, at: int, w: int) -> float:
-        p = 0.0
-        while (arc := self.arcs.get(at << 20 | w)) is None:
-            at, weight = self.fail[at]
-            p += weight
-        return 10 ** (p + arc[0])
-
-    def score(self, tokens: Iterable[int]) -> float:
-        """log10 probability of the tokens, in one pass."""
-        arcs, fail, at, total = self.arcs.get, self.fail, 0, 0.0
-        for w in tokens:
-            arc = arcs(at << 20 | w)
-            while arc is None:
-                at, weight = fail[at]
-                total += weight
-                arc = arcs(at << 20 | w)
-            total += arc[0]
-            at = arc[1]
-        return total
-
-
-def score(docs: DataFrame, held_out: str = "held_out", head: int = 1 << 16, most_grams: int = 200_000) -> DataFrame:
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                for order, keys, n, checks in Slice.read(path).requests(seed, bits):
+                    # Keys are sorted, so a range is a run of them.
+                    place = ((keys >> np.uint64(bits - 32 if order == 1 else 32)) * np.uint64(ranges)) >> np.uint64(32)
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(place.astype(np.int64))) + 1, [len(keys)]])
+                    rows = {c: [] for c in ("path", "order", "range", "keys", "n", "checks")}
+                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                        # Differences of sorted keys are smaller than keys.
+                        for c, x in zip(rows, (path, order, int(place[i]), pack(np.diff(keys[i:j], prepend=np.uint64(0))), pack(n[i:j].astype(np.int64)), pack(checks[i:j])), strict=True):
+                            rows[c].append(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], list(rows))
+
+    def add(group: pa.Table) -> pa.Table:
+        order = group.column("order")[0].as_py()
+        keys = [np.cumsum(unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("keys")]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        # Counts are whole numbers; their sum is exact in floats below 2^53.
+        total = np.bincount(at, np.concatenate([unpack(x.as_py(), np.int64) for x in group.column("n")]), len(distinct)).astype(np.int64)
+        clash = False
+        if order == 1:
+            checks = np.concatenate([unpack(x.as_py(), np.uint16) for x in group.column("checks")])
+            one = np.zeros(len(distinct), np.uint16)
+            one[at] = checks
+            clash = bool((one[at] != checks).any())
+        ends = np.cumsum([len(k) for k in keys])
+        counts = [pack(total[at[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
+        types = [int((total > 0).sum()) if order == 1 and i == 0 else 0 for i in range(len(keys))]
+        return pa.table([group.column("path"), group.column("order"), group.column("range"), pa.array(counts, pa.binary()), pa.array(types), pa.array([clash] * len(keys))], ["path", "order", "range", "counts", "types", "clash"])
+
+    asked = dealt(index, slices).mapInArrow(ask, "path string, order int, range bigint, keys binary, n binary, checks binary")
+    return saved(asked.groupBy("order", "range").applyInArrow(add, "path string, order int, range bigint, counts binary, types bigint, clash boolean"), "counts")
+
+
+def score(docs: DataFrame, held_out: str = "held_out", weights: tuple[float, float] = (256.0, 2.0), slice_tokens: int = 3_000_000, range_bytes: int = 8 << 20, bits: int = 64, seeds: Iterable[int] = range(256)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``docs``.
 
-    ``docs`` has doc_id, text and a boolean column that is true for rows not to learn from. ``head`` words and
-    ``most_grams`` trigrams at most are broadcast; neither number changes a result.
+    ``docs`` has doc_id, text and a boolean column that is true for rows not to learn from. ``weights`` are the priors'
+    weights of contexts of one and two words. ``slice_tokens`` bounds the memory of a task, as does ``range_bytes``, the
+    text for which there is one range of keys; neither changes a result, nor do the ``bits`` (32 to 64) of a word's key.
     """
-    spark, kind, d = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), DISCOUNT
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
-    words, seed = vocabulary_of(saved(count_words(rows), "word-counts"))
-    tokens = saved(tokenised(rows, seed), "tokens")
-    n_docs = tokens.where("NOT held_out").count()
-    n_words, types = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n, v = n_words + n_docs, types + (n_docs > 0)  # the end is a token too
-    words = words.where("n > 0").unionByName(spark.createDataFrame([(END, n_docs)], "id bigint, n bigint"))
-    log_base = math.log10(n + v + 1)
-
-    # Arcs. The arcs of a context share its count; its failure arc has what discounting left.
-    grams = saved(count_trigrams(tokens), "trigrams")
-    pairs = saved(grams.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    vocabulary = broadcast_if_small(saved(words, "words"))
-    of = lambda c: vocabulary.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    arcs2 = saved(pairs.join(of("a"), "a").select("a", "b", F.log10((F.col("n") - d) / F.col("n_a")).alias("lp2")), "arcs2")
-    arcs3 = saved(grams.where(F.col("c") != PAD).join(pairs.withColumnRenamed("n", "n_ab"), ["a", "b"]).select("a", "b", "c", "n", F.log10((F.col("n") - d) / F.col("n_ab")).alias("lp3")), "arcs3")
-
-    def weight(count: Column, total: Column, rest: Column) -> Column:
-        return F.log10(F.greatest(d * count / total, F.lit(1e-9)) / F.greatest(1 - rest, F.lit(1e-9)))
-
-    fail1 = pairs.join(of("b"), "b").groupBy("a").agg(weight(F.count(F.lit(1)), F.sum("n"), F.sum((F.col("n_b") + 1) / (n + v + 1))).alias("w1"))
-    fail1 = broadcast_if_small(saved(fail1, "fail1"))
-
-    top_words, top_grams = head_of(words, ["id"], "n", head), head_of(arcs3, ["a", "b", "c"], "lp3", most_grams)
-    shared = spark.sparkContext.broadcast((top_words, top_grams))
-
-    def by_text(values: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, np.cumsum(size) - size)  # no text is without tokens
-
-    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_words, top_grams = shared.value
-        for b, x, place, size in pieces(batches):
-            here, c = top_words.find(x)
-            base = np.where(here, np.log10(c + 1) - log_base, 0)
-            _, lp = top_grams.find(*trigrams(x, place))
-            sums = [pa.array(size), pa.array(by_text((here & (c > 0)).astype(np.int64), size)), pa.array(by_text(base, size)), pa.array(by_text(lp, size))]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *sums], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-
-    def other_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x, _, size in pieces(batches):
-            here, _ = shared.value[0].find(x)
-            row = np.repeat(b.column("row").to_numpy(), size)
-            yield pa.RecordBatch.from_arrays([pa.array(row[~here]), pa.array(x[~here])], ["row", "id"])
-
-    def other_grams(first: bool):
-        """The trigrams that were not broadcast: of the first two tokens of each text, or of the others."""
-
-        def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, x, place, size in pieces(batches):
-                three = trigrams(x, place)
-                left = place < 2 if first else (place >= 2) & ~shared.value[1].find(*three)[0]
-                row = np.repeat(b.column("row").to_numpy(), size)
-                yield pa.RecordBatch.from_arrays([pa.array(y[left]) for y in (row, *three)], ["row", "a", "b", "c"])
-
-        return read
-
-    gram = "row bigint, a bigint, b bigint, c bigint"
-    learnt = tokens.where("NOT held_out").select("row", "ids").mapInArrow(other_grams(False), gram)
-    arcs = arcs3.select("a", "b", "c", "lp3")
-    met = saved(tokens.where("held_out").select("row", "ids").mapInArrow(other_grams(False), gram).join(arcs, ["a", "b", "c"], "left"), "met")
-    failed = met.where("lp3 IS NULL").drop("lp3").unionByName(tokens.select("row", "ids").mapInArrow(other_grams(True), gram))
-
-    # Failure arcs of the pairs that are left by one, then the shorter contexts.
-    below = arcs2.select(F.col("a").alias("b"), F.col("b").alias("c"), "lp2")
-    used = met.where("lp3 IS NULL").select("a", "b").distinct()
-    fail2 = grams.where(F.col("c") != PAD).join(used, ["a", "b"], "left_semi").join(below, ["b", "c"])
-    fail2 = saved(fail2.groupBy("a", "b").agg(weight(F.count(F.lit(1)), F.sum("n"), F.sum(F.pow(F.lit(10.0), "lp2"))).alias("w2")), "fail2")
-    walked = failed.join(fail2, ["a", "b"], "left").join(below, ["b", "c"], "left").join(fail1.withColumnRenamed("a", "b"), "b", "left").join(of("c"), "c", "left")
-    alone = F.log10(F.coalesce("n_c", F.lit(0)) + 1) - log_base
-    walked = walked.select("row", (F.coalesce("w2", F.lit(0.0)) + F.coalesce("lp2", F.coalesce("w1", F.lit(0.0)) + alone)).alias("score"))
-
-    c = F.coalesce("n_id", F.lit(0))
-    rare = tokens.select("row", "ids").mapInArrow(other_words, "row bigint, id bigint").join(of("id"), "id", "left")
-    rare = rare.select("row", (c > 0).cast("long").alias("n_known"), (F.log10(c + 1) - log_base).alias("base"), F.lit(0.0).alias("score"))
-    scores = learnt.join(arcs, ["a", "b", "c"]).select("row", F.col("lp3").alias("score")).unionByName(met.where("lp3 IS NOT NULL").select("row", F.col("lp3").alias("score"))).unionByName(walked)
-    parts = rare.unionByName(scores.select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "score"))
-    sums = parts.groupBy("row").agg(F.sum("n_known").alias("more"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
-    out = tokens.mapInArrow(texts, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
-    out = out.join(sums, "row", "left").fillna(0, ["more", "more_base", "more_score"])
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.col("more")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more_base")).alias("base_score"),
-        (F.col("score") + F.col("more_score")).alias("score"),
-    )
+    ranges = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes
+    for seed in seeds:
+        index = write_slices(rows, seed, slice_tokens, bits)
+        slices, n, n_docs = index.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
+        counts = counted(index, slices, ranges, seed, bits)
+        v, clash = counts.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.max("clash"), F.lit(False))).first()
+        if not clash:
+            break
+    else:
+        raise ValueError("no seed tells the words apart")
+
+    def answer(group: pa.Table) -> pa.Table:
+        mine = {order: [] for order in ORDERS}
+        for order, _, data in sorted(zip(*(group.column(c).to_pylist() for c in ("order", "range", "counts")), strict=True)):
+            mine[order].append(unpack(data, np.int64))
+        part = Slice.read(group.column("path")[0].as_py())
+        known, base, found = part.score({k: np.concatenate(x) for k, x in mine.items()}, seed, bits, n, v, n_docs, weights)
+        return pa.table({"doc_id": pa.array(part.doc_ids, schema_kind), "held_out": part.held_out, "n_tokens": part.size, "n_known": known, "train_tokens": np.full(len(known), n), "base_score": base, "score": found})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema_kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    return counts.select("path", "order", "range", "counts").groupBy("path").applyInArrow(answer, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
