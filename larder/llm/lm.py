@@ -52,10 +52,14 @@ def word_keys(words: list[bytes], seed: int, bits: int = 64) -> tuple[np.ndarray
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A key of each n-gram from that of its beginning and that of its last word."""
-    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(29)))
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = a >> np.uint64(29)
+    h += b
+    h ^= a * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -135,19 +139,27 @@ class Slice:
 
     def score(self, counts: dict[int, np.ndarray], seed: int, bits: int, tokens: int, types: int, docs: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base and score of each text, from the counts of the distinct n-grams of each order."""
-        pad, n = word_keys([PAD], seed, bits)[0][0], {}
-        for order in ORDERS:
+        pad = word_keys([PAD], seed, bits)[0][0]
+
+        def count(order: int) -> np.ndarray:
             _, at = np.unique(self.grams(order, pad), return_inverse=True)
-            n[order] = counts[order][at]
-        unit = (n[1] + 1) / (tokens + types + 1)
-        # The states before each token: contexts of one and of two words, with their counts.
-        one, two = self.before(n[1], docs), self.before(n[2], 0)
-        p = unit
-        for arc, state, weight in ((n[2], one, weights[0]), (np.where(self.first, 0, n[3]), two, weights[1])):
-            shorter, fail = p, weight / (state + weight)
-            # At the beginning of a text the context of two words has not been entered.
-            p = np.where(arc > 0, (arc + weight * shorter) / (state + weight), fail * shorter)
-        return self.by_text((n[1] > 0).astype(np.int64)), self.by_text(np.log10(unit)), self.by_text(np.log10(p))
+            return counts.pop(order)[at]
+
+        n = count(1)
+        p = (n + 1) / (tokens + types + 1)
+        known, base = self.by_text((n > 0).astype(np.int64)), self.by_text(np.log10(p))
+        state = self.before(n, docs)  # the count of the context of one word before each token
+        for order, weight in zip(ORDERS[1:], weights, strict=True):
+            n = count(order)
+            if order > 2:
+                n[self.first] = 0  # the context of two words has not been entered
+            shorter = p
+            p = weight / (state + weight)  # the failure arc
+            p *= shorter
+            arc = n > 0
+            p[arc] = (n[arc] + weight * shorter[arc]) / (state[arc] + weight)
+            state = self.before(n, 0)
+        return known, base, self.by_text(np.log10(p))
 
 
 def write_slices(docs: DataFrame, seed: int, slice_tokens: int, bits: int) -> DataFrame:
