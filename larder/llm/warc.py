@@ -6,8 +6,9 @@ range, reading past the range's end to finish the last. Every record is owned by
 
 Writer: of records with equal payloads of ``least`` bytes or more, the one with the largest page_id is a response, the
 others are revisits of it that keep the HTTP head and drop the body. Equal payloads are found by an aggregate over
-digests; a payload that a third of the pages share is one aggregated row, and the join on digests is left to adaptive
-skew handling.
+digests; a payload that a third of the pages share is one aggregated row. The digests that repeat are broadcast where they
+are few, so that payloads are written by the tasks that read them; beyond a checked size they are joined, and adaptive
+execution splits a digest that very many pages share. Pages too small to be revisits meet no digest and are spread.
 
 Nulls: a null html is an empty payload; a null url leaves the header out; a null page_id never wins against another, and
 if all of a group are null all are responses. Repeated rows are records of their own (of equal page_ids all that share
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import saved, shared_dir
+from larder.llm.common import broadcast_if_small, saved, shared_dir
 from larder.llm.files import attempt_name, open_read, open_write
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
 BATCH_BYTES = 8 << 20
+MOST_TASKS = 100_000
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, response: bool, refers_to: int | None, date: str) -> bytes:
@@ -56,11 +58,14 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 1000, l
     """Writes pages (page_id, url, html) as .warc.gz files; returns their path, bytes and records (a written table)."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
+    # The key of a small page is no digest, and its own.
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "payload").cast("string"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")).otherwise(own))
     groups = pages.select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).where(F.octet_length("payload") >= least)
     groups = groups.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
     # Only payloads that repeat need the join's answer.
-    rows = rows.join(groups.where("n > 1").select("digest", "owner"), "digest", "left").drop("digest")
+    owners = broadcast_if_small(saved(groups.where("n > 1").select("digest", "owner"), "warc-owners"))
+    rows = rows.join(owners, "digest", "left").drop("digest")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, size, n = f"{folder}/{attempt_name('.warc.gz')}", 0, 0
@@ -162,12 +167,17 @@ def parse(member: bytes) -> dict:
 FIELDS = "record_id string, target_uri string, record_type string, payload_bytes bigint, payload_digest string, refers_to string"
 
 
-def read_warc(files: DataFrame, split_bytes: int = 16 << 20, payload: bool = True) -> DataFrame:
-    """The records of files (path, bytes); ``payload`` (null for revisits) only if asked for."""
+def read_warc(files: DataFrame, split_bytes: int = 16 << 20, payload: bool = True, most_tasks: int = MOST_TASKS) -> DataFrame:
+    """The records of files (path, bytes); ``payload`` (null for revisits) only if asked for.
+
+    There is a task for each range of ``split_bytes``: the number is given, as adaptive execution merges tasks by the size
+    of the rows that name the ranges.
+    """
     names = [x.split()[0] for x in FIELDS.split(", ")] + ["payload"] * payload
     schema = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.binary() if c == "payload" else pa.string()) for c in names])
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + split_bytes).alias("end")).repartition(F.col("path"), F.col("start"))
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + split_bytes).alias("end")).repartitionByRange(min(tasks, most_tasks), "path", "start")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

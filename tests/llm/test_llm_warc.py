@@ -14,7 +14,7 @@ PAGES = "page_id long, url string, html string"
 def cycle(spark, rows, split=16 << 20, **how):
     pages = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("clash") for c in ("payload", "digest", "owner", "n", "path")})
     files = warc.write_warc(pages, **how)
-    got = warc.read_warc(files, split_bytes=split).collect()
+    got = warc.read_warc(files, split_bytes=split, most_tasks=8).collect()
     return files, sorted(((r.record_id, r.target_uri, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, bytes(r.payload) if r.payload is not None else None) for r in got), key=str)
 
 
@@ -28,7 +28,7 @@ def test_round_trip_at_any_split(spark):
         if split > 1:
             assert cycle(spark, rows, split)[1] == whole
     files = warc.write_warc(spark.createDataFrame(rows[:3], PAGES).coalesce(1))
-    assert warc.read_warc(files, split_bytes=1).count() == 3
+    assert warc.read_warc(files, split_bytes=1, most_tasks=8).count() == 3
 
 
 def test_revisits(spark):
@@ -66,5 +66,30 @@ def test_false_magic_is_not_a_member(tmp_path):
     assert [m[:5] for m in warc.members(str(path), 0, 10_000)] == [b"WARC/"] * 2
 
 
+def test_the_reader_has_a_task_for_each_range(spark):
+    """Ranges are tiny rows, which adaptive execution must not merge into one task."""
+    draw = random.Random(6)
+    rows = [(i, "u", "".join(chr(draw.randrange(33, 127)) for _ in range(4000))) for i in range(200)]
+    files = warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3))
+    split = 40_000
+    ranges = sum(-(-r.bytes // split) for r in files.collect())
+    got = warc.read_warc(files, split_bytes=split).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 200
+    assert ranges >= 12 and len(got) >= ranges - 3
+
+
+def test_revisits_where_the_digests_are_too_many_to_broadcast(spark, monkeypatch):
+    rows = [(i, "u", "x" * 1500 if i % 3 else f"{i % 10}" * 999 + "é") for i in range(300)] + [(i, "u", "small") for i in range(300, 500)]
+    _, want = cycle(spark, rows)
+    monkeypatch.setattr(warc, "broadcast_if_small", lambda table: table)
+    assert cycle(spark, rows)[1] == want
+    assert sum(r[2] == "response" for r in want) == 200 + 1 + 10
+
+
+def test_repeated_rows_of_the_largest_page_are_all_responses(spark):
+    _, got = cycle(spark, [(9, "u", "y" * 2000)] * 3 + [(1, "u", "y" * 2000)])
+    assert sorted((r[0], r[2]) for r in got) == [("urn:page:1", "revisit")] + [("urn:page:9", "response")] * 3
+
+
 def test_query_equals_sql(spark, compare):
     compare(spark, "op8_warc", "sf0.01")
