@@ -7,9 +7,10 @@ reads whole members.
 A text becomes an 8-bit greyscale PNG: its UTF-8 bytes, with bytes 255 up to a positive multiple of ``WIDTH``, are the
 samples, row by row; PNG keeps them losslessly.
 
-Copies: a task stores a payload once however often it meets it, so a text that a third of the rows share is stored once
-a task at most. Of the copies that different tasks stored the index, a written table, names one for all rows: keeping
-those few bytes is cheaper than shuffling every payload to find them.
+Copies: an aggregate over digests names one row, that of the smallest doc_id, as the one that stores a payload which rows
+share, so each is stored once and no payload is shuffled. The digests that repeat are broadcast where they are few; beyond
+a checked size they are joined. Only rows of equal doc_id and text may each store theirs, once a task at most; the index, a
+written table, then names one of them for all.
 Nulls: a null text is an empty text (one row of bytes 255); null and repeated ids are rows like any other. No rows give
 no shard. Other columns are ignored.
 """
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import saved, shared_dir
+from larder.llm.common import broadcast_if_small, saved, shared_dir
 from larder.llm.files import attempt_name, open_read, open_write
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-BATCH_BYTES = 8 << 20
+MOST_TASKS = 100_000
 
 
 def padded_length(text: Column) -> Column:
@@ -91,7 +92,10 @@ def store(docs: DataFrame, folder: str | None = None, level: int = 6) -> DataFra
     """digest (binary), shard, offset, length: one row for each distinct payload of docs' ``text`` (a written table)."""
     folder = folder or shared_dir(docs.sparkSession, "media")
     payload = payload_of(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.unhex(F.sha2(payload, 256)).alias("digest"), payload.alias("payload"))
+    rows = docs.select("doc_id", F.unhex(F.sha2(payload, 256)).alias("digest"), payload.alias("payload"))
+    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("_writer"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = broadcast_if_small(saved(shared, "media-shared"))
+    rows = rows.join(shared, "digest", "left").where(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_writer"))).select("digest", "payload")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, met = f"{folder}/{attempt_name('.tar')}", set()
@@ -120,24 +124,39 @@ def store(docs: DataFrame, folder: str | None = None, level: int = 6) -> DataFra
     return saved(one.select("digest", "m.shard", "m.offset", "m.length"), "media-index")
 
 
-def spread(index: DataFrame) -> DataFrame:
-    """The index dealt out for reading, neighbours of a shard together."""
-    return index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+def spread(index: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
+    """The index dealt out for reading, neighbours of a shard together, about ``task_bytes`` of members to a task."""
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // task_bytes
+    return index.repartitionByRange(min(tasks, MOST_TASKS), "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
+class Shards:
+    """The shard that is read, one open file at a time."""
+
+    def __init__(self) -> None:
+        self.name, self.file = None, None
+
+    def at(self, shard: str):
+        if shard != self.name:
+            self.close()
+            self.name, self.file = shard, open_read(shard)
+        return self.file
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
 
 
 def with_metadata(index: DataFrame) -> DataFrame:
     """Adds width, height and depth; of each member only the first 26 bytes are read."""
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, file = None, None
+        shards = Shards()
         for b in batches:
-            got = []
-            for r in b.to_pylist():
-                if r["shard"] != shard:
-                    shard, file = r["shard"], open_read(r["shard"])
-                got.append(r | dict(zip(("width", "height", "depth"), header(file.read_at(26, r["offset"])), strict=True)))
+            got = [r | dict(zip(("width", "height", "depth"), header(shards.at(r["shard"]).read_at(26, r["offset"])), strict=True)) for r in b.to_pylist()]
             if got:
                 yield pa.RecordBatch.from_pylist(got, schema=b.schema.append(pa.field("width", pa.int64())).append(pa.field("height", pa.int64())).append(pa.field("depth", pa.int64())))
+        shards.close()
 
     return spread(index.select("digest", "shard", "offset", "length")).mapInArrow(fill, "digest binary, shard string, offset bigint, length bigint, width bigint, height bigint, depth bigint")
 
@@ -149,19 +168,18 @@ def read_back(index: DataFrame) -> DataFrame:
     """digest, and of the member read back: payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, file = None, None
+        shards = Shards()
         for b in batches:
             got = {x.split()[0]: [] for x in READ.split(", ")}
             for r in b.to_pylist():
-                if r["shard"] != shard:
-                    shard, file = r["shard"], open_read(r["shard"])
-                data = file.read_at(r["length"], r["offset"])
+                data = shards.at(r["shard"]).read_at(r["length"], r["offset"])
                 samples = decode(data)
                 payload = samples.tobytes()
                 for c, x in zip(got, (r["digest"], hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(samples)), strict=True):
                     got[c].append(x)
             if got["digest"]:
                 yield pa.RecordBatch.from_pydict(got)
+        shards.close()
 
     return spread(index.select("digest", "shard", "offset", "length")).mapInArrow(read, READ)
 

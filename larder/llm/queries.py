@@ -122,9 +122,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = media.store(docs)
-    heads = media.with_metadata(index).select("digest", "width", "height", "depth")
-    rows = media.attach(docs, media.read_back(index).join(heads, "digest"))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
+    rows = media.attach(docs, media.read_back(index).join(media.with_metadata(index), "digest"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "shard", "offset", "length")
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ import tarfile
 import zlib
 from urllib.parse import urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import media, queries
@@ -41,9 +42,18 @@ def test_columns(spark):
             assert (info.offset_data, info.size) == (r.offset, r.length)
 
 
-def test_copies_share_a_member(spark):
-    got = media.media_columns(docs(spark, [(i, f"text {i % 3}") for i in range(300)]).repartition(5)).collect()
-    assert len({(r.shard, r.offset) for r in got}) == 3
+def test_copies_share_a_member(spark, monkeypatch):
+    """One member of all shards for each payload, though all tasks have copies; also where digests are too many to broadcast."""
+    rows = docs(spark, [(i, f"text {i % 3}") for i in range(300)] + [(i, f"alone {i}") for i in range(300, 320)]).repartition(5)
+    for _ in range(2):
+        got = media.media_columns(rows).collect()
+        assert len(got) == 320 and len({(r.shard, r.offset) for r in got}) == 23
+        members = []
+        for shard in {urlparse(r.shard).path for r in got}:
+            with tarfile.open(shard) as tar:
+                members += tar.getnames()
+        assert len(members) == len(set(members)) == 23
+        monkeypatch.setattr(media, "broadcast_if_small", lambda table: table)
 
 
 def test_no_rows(spark):
@@ -58,6 +68,14 @@ def test_query(spark, tmp_path):
         raw = padded(dict(ROWS).get(r.doc_id))
         assert (r.n_bytes, r.payload_bytes) == (len((dict(ROWS).get(r.doc_id) or "").encode()), len(raw))
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
+        png = media.encode(raw)
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        shares = [sum(x >> 4 == i for x in raw) / len(raw) for i in range(16)] if len(raw) < 2000 else None
+        size, mean, spread, histogram = r.feature.split(" ")
+        middle = sum(raw) / len(raw)
+        assert size == f"576x{len(raw) // 576}" and float(mean) == pytest.approx(middle, abs=1e-4)
+        assert float(spread) == pytest.approx((sum((x - middle) ** 2 for x in raw) / len(raw)) ** 0.5, abs=1e-4)
+        assert shares is None or [float(x) for x in histogram.split(",")] == pytest.approx(shares, abs=1e-4)
     assert len({(r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
 
 
