@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,22 +33,51 @@ def test_junk_goes_and_clean_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s}
 
 
-def test_models_and_keys_by_hand(spark):
-    rows = documents(80)
-    labels = [(i, int(i % 5 > 0), 0) for i in range(40)]
-    docs = spark.createDataFrame(rows, DOCS)
-    scores, _ = quality.resample(docs, spark.createDataFrame(labels, LABELS), k=25)
-    raw, target, hashes = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS), quality.Hashes()
-    for i, text in rows[:40]:
-        n = np.bincount(quality.grams(text.encode(), hashes), minlength=quality.BUCKETS)
-        raw += n
-        target += n * (i % 5 > 0)
-    expected = raw * target.sum() / raw.sum()
-    ratio = np.where(expected < 5, 0, np.log((target + 1) / (expected + 1)))
+class ByHand:
+    """Both models in plain Python: buckets of words and word pairs, counted in dicts."""
+
+    def __init__(self, rows, labelled, good):
+        raw, target = Counter(), Counter()
+        for i, text in rows:
+            if i in labelled:
+                raw.update(self.grams(text))
+            if i in good:
+                target.update(self.grams(text))
+        scale = sum(target.values()) / sum(raw.values())
+        self.ratio = {b: math.log((target[b] + 1) / (n * scale + 1)) for b, n in raw.items() if n * scale >= 5}
+
+    @staticmethod
+    def grams(text):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@[-`{-~]+", (text or "").encode())
+        h = [zlib.crc32(w) for w in words]
+        ones = [x * 2654435761 % 2**32 for x in h]
+        pairs = [(1 if a == b else (a * 2654435761 + b) % 2**32) * 2246822519 % 2**32 for a, b in zip(h, h[1:])]
+        return [x >> 16 for x in ones + pairs]
+
+    def weight(self, text):
+        return sum(self.ratio.get(b, 0) for b in self.grams(text))
+
+
+def compare_by_hand(scores, rows, labels, k=None):
+    """Weights, the default k and the selection; ``labels`` as (doc_id, quality, toxic)."""
+    model = ByHand(rows, {i for i, _, _ in labels}, {i for i, q, t in labels if q == 1 and not t})
     got = scores.toPandas()
+    texts = dict(rows)
+    want = {i: model.weight(t) for i, t in texts.items()}
     for r in got.itertuples():
-        assert r.log_weight == pytest.approx(ratio[quality.grams(rows[r.doc_id][1].encode(), hashes)].sum())
-    assert set(got[got["selected"]]["doc_id"]) == set(got.nlargest(25, "key")["doc_id"])
+        assert r.log_weight == pytest.approx(want[r.doc_id], abs=1e-6)
+    k = k or round(sum(min(1.0, math.exp(min(w, 0))) for w in want.values()))
+    assert set(got[got["selected"]]["doc_id"]) == set(got.nlargest(k, "key")["doc_id"])
+    return got
+
+
+@pytest.mark.parametrize("k", [25, None])
+def test_models_keys_and_k_by_hand(spark, k):
+    rows = documents(80)
+    labels = [(i, int(i % 5 > 0), int(i == 7)) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    scores, _ = quality.resample(docs, spark.createDataFrame(labels, LABELS), k=k)
+    compare_by_hand(scores, rows, labels, k)
 
 
 def test_gumbel_noise(spark):
@@ -54,11 +86,16 @@ def test_gumbel_noise(spark):
 
 
 def test_sample_is_bounded_and_agrees(spark):
-    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, 1, None), (4, None, 0), (None, 1, 0), (5, 0, 0)], LABELS)
-    assert {r.doc_id: r.good for r in quality.sample(labels, 10, 42).collect()} == {1: False, 2: False, 3: True, 5: False}
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, 1, None), (4, None, 0), (None, 1, 0), (5, 0, 0), (6, 1, 0), (6, 1, 0)], LABELS)
+    assert {r.doc_id: r.good for r in quality.sample(labels, 10, 42).collect()} == {1: False, 2: False, 3: True, 5: False, 6: True}
     assert quality.sample(labels, 2, 42).count() == 2
 
 
+def test_labels_without_use_do_not_shrink_the_sample(spark):
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "CAST(IF(id % 10 = 0, 1, NULL) AS INT) AS quality", "CAST(0 AS INT) AS toxic")
+    assert quality.sample(labels.unionByName(labels), 3000, 42).count() == 3000
+
+
 def test_hostile_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (None, "a b"), (3, "a b"), (4, "word " * 100_000)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -75,6 +112,8 @@ def test_query(spark):
     got = queries.op7_quality(spark, DATA).toPandas()
     labels = spark.read.parquet(f"{DATA}/labels.parquet").toPandas()
     both = got.merge(labels, on="doc_id")
-    assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert len(got) == len(docs)
+    compare_by_hand(spark.createDataFrame(got), docs, [tuple(x) for x in labels[["doc_id", "quality", "toxic"]].itertuples(index=False)])
     assert both[(both["quality"] == 1) & (both["toxic"] == 0)]["selected"].mean() > 0.95
     assert both[both["quality"] == 0]["selected"].mean() < 0.1
