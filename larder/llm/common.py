@@ -22,9 +22,13 @@ def local_dir() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which the driver and all executors see.
 
-    Only where the session does not name one, as in local tests, a temporary folder is used.
+    A session in one process may leave it unset; then a temporary folder is used. On a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or local_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = local_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -46,6 +50,24 @@ def broadcast_if_small(table: DataFrame, rows: int = 1_000_000, size: int = 64 <
     return F.broadcast(table) if n <= rows and total <= size else table
 
 
+def with_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: int = 1_000_000) -> DataFrame:
+    """``rows`` joined on ``key`` with a written table that has each key once, however many rows share a key.
+
+    A small table is broadcast. Else the rows of a key with more than ``hot`` rows are dealt out over salts, and the table's
+    row of that key is copied for each; there is at most one such key for each ``hot`` rows.
+    """
+    small = broadcast_if_small(table)
+    if small is not table:
+        return rows.join(small, key, how)
+    crowded = saved(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).alias("_salts")), "crowded")
+    if crowded.isEmpty():
+        return rows.join(table, key, how)
+    crowded, salts = broadcast_if_small(crowded), F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(crowded, key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts)).drop("_salts")
+    copies = table.join(crowded, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, UPPER, LOWER)

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larder.llm import simhash
+from larder.llm import common, simhash
 from larder.llm.graph import components
 
 DOCS = "doc_id long, text string"
@@ -130,3 +131,34 @@ def test_representatives(spark):
     assert kept.columns == docs.columns
     got = [r.doc_id for r in kept.collect()]
     assert sorted(got, key=str) == sorted([*range(0, 32, 4), *(i for i, _ in alone), None, 200, 202], key=str)
+
+
+def test_stage_finds_overlaps_of_eight_tenths(spark):
+    """On sf0.01, against all pairs by hand: copies and overlaps of 0.8 or more leave one row, rows far from all stay."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    shingles = {}
+    for i, t in rows:
+        w = t.lower().split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    met, shared = {}, Counter()
+    for i, s in shingles.items():
+        for g in s:
+            for j in met.setdefault(g, []):
+                shared[j, i] += 1
+            met[g].append(i)
+    overlap = {p: n / (len(shingles[p[0]]) + len(shingles[p[1]]) - n) for p, n in shared.items()}
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, DOCS)).select("doc_id").collect()}
+    near = [p for p, x in overlap.items() if x >= 0.8]
+    assert len(near) > 20 and sum(a in kept and b in kept for a, b in near) <= 0.02 * len(near)
+    linked = {i for p, x in overlap.items() if x >= 0.5 for i in p}
+    assert set(shingles) - linked <= kept
+
+
+@pytest.mark.parametrize("hot", [10, 1_000_000])
+def test_joins_on_a_hot_key(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "broadcast_if_small", lambda table: table)
+    rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(300)] + [(300, None)], "x long, k long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 200)], "k long, v string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.with_unique(rows, table, "k", how, hot).select("x", "k", "v").collect()), key=str)
+        assert got == sorted(map(tuple, rows.join(table, "k", how).select("x", "k", "v").collect()), key=str)
