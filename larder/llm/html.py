@@ -5,17 +5,24 @@ A page is cut into blocks at block-level tags. First pass, each block alone:
 * bad: inside a menu, header, footer, sidebar, notice, advert, form or comment section (by element, role, class or id; a
   name says nothing of a main element, of an article that is named like one, or of a container that holds the page),
   hidden, or mostly link text;
-* good: inside the page's article, or long with many stop words;
-* otherwise bad if it has few stop words, else ambiguous: ``near`` (fairly long) or ``short``.
+* good: long with many stop words;
+* otherwise bad if it is long with few stop words, else ambiguous: ``near`` or ``few`` (fairly long, with or without a share
+  of stop words) or ``short``.
 
-Second pass: ambiguous blocks inherit the label of their nearest decided neighbours; where these differ, ``near`` blocks
-are good, and ``short`` ones follow the closer (a heading the following, a tie is bad).
+A page of few stop words throughout is in a language or script that the list lacks; there length and links decide alone.
 
-If a page has an article, main or so named element, that decides instead: blocks outside are bad, blocks inside are good
-unless bad by name or links. An article or main element with less text than is good by itself outside it decides nothing.
+Second pass: ambiguous blocks inherit the label of their nearest decided neighbours. Where these differ, ``near`` blocks are
+good, and ``short`` ones follow the neighbour of their own section, else the closer (a heading the following, a tie is bad).
+``few`` blocks come first: they are good only if their neighbours in their own section are. If no block is good, the ``near`` ones are.
+
+Article, main and so named elements are a feature of the rules. The surest kind of them with at least as much text as is
+good by itself outside them is taken to hold the article (others are teasers or cards); of several the small ones without a
+good block are cards too. What is outside is bad. Inside, few stop words make no block bad, and links only where three or
+more blocks of nothing else follow each other (a menu); the other rules stay, and ambiguous blocks inherit from the decided
+blocks inside or the holder's own edge, which is good; where these differ they are good.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one \\n. Scripts,
-styles, comments, titles and other markup never are text. Nothing is cut or capped.
+styles, comments, titles and other markup never are text. Nothing is cut or capped, and every page takes linear time.
 
 Nulls: a null or empty html gives an empty text. Broken and truncated markup is read as far as it goes: an
 unclosed or self-closed tag hides nothing but itself, except unclosed script, style and comment, which are code to the
@@ -24,9 +31,7 @@ end. Rows are independent, so ties and repeated rows give equal results. Other c
 
 from __future__ import annotations
 
-import functools
 import html
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +45,11 @@ from pyspark.sql import types as T
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside body blockquote details dialog div dl fieldset figure footer form header main menu nav ol section select table td th tr ul".split())
 BAD_ELEMENTS = frozenset("aside dialog footer form menu nav select button".split())
-CODE = "script|style"
-RAW = "noscript|template|title|textarea|iframe|svg|math|object|canvas|audio|video"
+CODE = frozenset(("script", "style"))
+RAW = frozenset("noscript template title textarea iframe svg math object canvas audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers that gather what belongs together; lists, tables and their parts do not.
+SECTIONS = frozenset("article aside body details dialog div footer form header main nav section".split())
 # Words of class, id and role that name what is not the article.
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification outbrain paywall popup promo promoted promotion recommended related respond reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar widget widgets".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
@@ -54,81 +62,142 @@ STOP_WORDS = frozenset(
     "al algo ante como con cual del desde donde el ella ellos entre era esa ese esta este hasta hay la las lo los me mi muy nada ni no nos o para pero por porque que quien se sin sobre su sus también te tiene todo un una y ya yo "
     "che di e gli i non per una da em não os uma het een niet van voor".split()
 )
-UNSEEN = rf"<!--.*?(?:-->|\Z)|<(?P<code>{CODE})\b(?:[^>]*(?<=[\s\"'])/>|/>|[^>]*>(?:.*?</(?P=code)\s*>|.*\Z))"
-ATTRS = r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)"
-PIECE = re.compile(rf"{UNSEEN}|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*){ATTRS}>|<[!?/][^>]*>", re.S | re.I)
-RAW_TAG = re.compile(rf"{UNSEEN}|<(?P<end>/?)(?P<name>{RAW})(?![a-zA-Z0-9:-]){ATTRS}>", re.S | re.I)
-ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+TAG_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+QUOTE_OR_END = re.compile(r"[\"'>]")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+CODE_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in CODE}
 NAME_WORD = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
-#: What can hold the article, the surest first: the element, a main element, a name. A block has the sum of those it is in.
+CAMEL = re.compile(r"([a-z])([A-Z])")
+UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+LETTERS = re.compile(r"[^\W\d_]+")
+#: What can hold the article, the surest first: the element, a main element, a name. A container has the sum of those it is in.
 ARTICLE, MAIN, NAMED, NONE = 4, 2, 1, 0
 
-SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.1, 0.3
+SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.1, 10
+#: A menu inside an article has so many blocks of link text or more; a card has at most this share of the largest text.
+MENU, CARD = 3, 0.2
+
+
+class Container:
+    """An open element; what it says about its blocks includes what those around it say."""
+
+    __slots__ = ("name", "bad", "main", "outer", "doubt", "section", "holders", "number")
+
+    def __init__(self, name: str, number: int, outer: Container | None, bad: bool, main: int, doubted: bool) -> None:
+        self.name, self.number, self.outer = name, number, outer
+        self.bad = bad or bool(outer and outer.bad)
+        self.main = NONE if self.bad else main | (outer.main if outer else NONE)
+        self.doubt = self if doubted else outer.doubt if outer else None  # the innermost whose name alone is bad
+        self.section = number if name in SECTIONS or not outer else outer.section
+        # The outermost element of each kind around.
+        self.holders = dict(outer.holders) if outer and main and not self.bad else outer.holders if outer else {}
+        if main and not self.bad:
+            if self.holders is (outer.holders if outer else None):
+                self.holders = dict(self.holders)
+            self.holders.setdefault(main, number)
 
 
 class Block:
-    __slots__ = ("text", "link", "bad", "main", "heading", "doubted", "label")
+    __slots__ = ("text", "link", "bad", "inside", "heading", "stops", "words", "label")
 
-    def __init__(self, text: str, link: float, bad: bool, main: int, heading: bool, doubted: tuple[int, ...] = ()) -> None:
-        self.text, self.link, self.bad, self.main, self.heading, self.doubted, self.label = text, link, bad, main, heading, doubted, ""
+    def __init__(self, text: str, link: float, bad: bool, inside: Container, heading: bool) -> None:
+        self.text, self.link, self.bad, self.inside, self.heading, self.label = text, link, bad, inside, heading, ""
+        self.stops = self.words = 0
 
 
-def named(attrs: str) -> set[str]:
-    """The words of an element's class, id, role and itemprop."""
-    words: set[str] = set()
-    for m in ATTRIBUTE.finditer(attrs):
-        words.update(NAME_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1]).lower()))
-    return words
+class Tag:
+    __slots__ = ("start", "end", "name", "closes", "attrs")
+
+    def __init__(self, start: int, end: int, name: str, closes: bool, attrs: str) -> None:
+        self.start, self.end, self.name, self.closes, self.attrs = start, end, name, closes, attrs
+
+
+def tags_of(page: str) -> Iterator[Tag]:
+    """All tags in order, with comments and code as nameless tags. What looks like a tag but never ends is text."""
+    at, last, quotes = 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield Tag(start, at, "", False, "")
+            continue
+        if start > last:
+            return
+        m = TAG_NAME.match(page, start + 1)
+        if not m:
+            at = start + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                at = page.find(">", at) + 1
+                yield Tag(start, at, "", False, "")
+            continue
+        end = m.end()
+        while quotes and (q := QUOTE_OR_END.search(page, end)) and q[0] != ">":
+            end = page.find(q[0], q.end()) + 1
+            if not end:
+                q = None
+                break
+        if not quotes or not q:
+            # A quote that nothing closes: from here on quotes are like other characters, so no page is scanned twice.
+            quotes, end = False, page.find(">", m.end())
+        else:
+            end = q.start()
+        closes, name = m[0][0] == "/", m[0].lstrip("/").lower()
+        attrs, at = page[m.end() : end], end + 1
+        if name in CODE and not closes:
+            if not self_closed(attrs):
+                found = CODE_END[name].search(page, at)
+                at = found.end() if found else len(page)
+            yield Tag(start, at, "", False, "")
+        else:
+            yield Tag(start, at, name, closes, attrs)
+
+
+def self_closed(attrs: str) -> bool:
+    """Whether a tag ends by a slash that is not part of an unquoted value."""
+    return attrs.endswith("/") and (len(attrs) == 1 or attrs[-2] in " \t\r\n\f\"'")
 
 
-def raw_ends(page: str) -> dict[int, int]:
+def raw_ends(tags: list[Tag]) -> dict[int, int]:
     """Where each raw element that is closed starts and ends; an unclosed or self-closed tag is one tag and no more."""
     ends: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
-    for m in RAW_TAG.finditer(page):
-        if name := (m["name"] or "").lower():
-            if not m["end"]:
-                if not m["attrs"].endswith("/"):
-                    open_.setdefault(name, []).append(m.start())
-            elif open_.get(name):
-                ends[open_[name].pop()] = m.end()
+    for t in tags:
+        if t.name in RAW:
+            if not t.closes:
+                if not t.attrs.endswith("/"):
+                    open_.setdefault(t.name, []).append(t.start)
+            elif open_.get(t.name):
+                ends[open_[t.name].pop()] = t.end
     return ends
 
 
-def acquit(blocks: list[Block]) -> None:
-    """Sets ``bad`` where a container's name says so, unless the container is what holds the page.
-
-    That is one with more than half of the text, and outside it an article, main or so named element has headings at most.
-    """
-    held: Counter[int] = Counter()
-    for b in blocks:
-        if not b.bad:
-            held.update(dict.fromkeys(b.doubted, len(b.text)))
-    total = sum(len(b.text) for b in blocks if not b.bad)
-    free = sum(1 for b in blocks if not b.bad and b.main and not b.doubted and not b.heading)
-    innocent = {c for c, n in held.items() if n > total / 2 and not free}
-    for b in blocks:
-        b.bad = b.bad or any(c not in innocent for c in b.doubted)
-
-
-def spoilt(attrs: str) -> bool:
-    """Whether an element is named like what is not the article, or hidden."""
-    return bool(named(attrs) & BAD_WORDS) or bool(HIDDEN.search(attrs))
+def told(attrs: str) -> tuple[set[str], bool]:
+    """The words of an element's class, id, role and itemprop, and whether it is hidden."""
+    words: set[str] = set()
+    hidden = False
+    for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
+        name = name.lower()
+        if name in ("class", "id", "role", "itemprop"):
+            words.update(NAME_WORD.findall(CAMEL.sub(r"\1 \2", value).lower()))
+        elif name == "hidden" or name == "style" and UNSEEN_STYLE.search(value) or name == "aria-hidden" and value.strip("\"'").lower() == "true":
+            hidden = True
+    return words, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = [0, 0]  # link characters, all characters
-    stack: list[tuple[str, bool, int, int]] = []  # name, bad, main, number if its name alone is bad
-    in_link, heading, alone_bad, at, doubts = 0, False, False, 0, 0
-    ends = raw_ends(page)
+    top = Container("", 0, None, False, NONE, False)
+    stack, opened, containers = [top], Counter(), [top]
+    in_link = heading = alone_bad = False
+    tags = list(tags_of(page))
+    ends, at = raw_ends(tags), 0
 
     def flush() -> None:
         if parts:
             if text := " ".join("".join(parts).split()):
-                found.append(Block(text, linked[0] / max(1, linked[1]), alone_bad or any(x[1] for x in stack), functools.reduce(operator.or_, (x[2] for x in stack), NONE), heading, tuple(x[3] for x in stack if x[3])))
+                found.append(Block(text, linked[0] / max(1, linked[1]), alone_bad or stack[-1].bad, stack[-1], heading))
             parts.clear()
             linked[:] = 0, 0
 
@@ -141,97 +210,188 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked[0] += n
 
-    while m := PIECE.search(page, at):
-        say(page[at : m.start()])
-        at, name = ends.get(m.start(), m.end()), (m["name"] or "").lower()
-        if not name:
+    for t in tags:
+        if t.start < at:  # inside a raw element
             continue
+        say(page[at : t.start])
+        at, name = ends.get(t.start, t.end), t.name
         if name == "a":
-            in_link = 0 if m["end"] else 1
+            in_link = not t.closes
         elif name in ("br", "wbr", "img", "input"):
             parts.append(" ")
         if name in BLOCKS or name == "button":
             flush()
-            in_link, heading = 0, not m["end"] and name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            alone_bad = name not in CONTAINERS and not m["end"] and bool(m["attrs"]) and spoilt(m["attrs"])
+            in_link, heading, alone_bad = False, not t.closes and name in HEADINGS, False
+            if name not in CONTAINERS and not t.closes and t.attrs:
+                words, hidden = told(t.attrs)
+                alone_bad = hidden or bool(words & BAD_WORDS)
         if name in CONTAINERS or name == "button":
-            if m["end"]:
-                at_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if at_ is not None:
-                    del stack[at_:]
-            elif not m["attrs"].endswith("/"):
-                words = named(m["attrs"]) if "=" in m["attrs"] else set()
-                inside = any(x[2] for x in stack)
-                bad = name in BAD_ELEMENTS or name != "body" and bool(HIDDEN.search(m["attrs"])) or not inside and name == "header"
-                main = ARTICLE if name == "article" else MAIN if name == "main" else NAMED if words & MAIN_WORDS and name != "body" else NONE
-                by_name = name != "body" and bool(words & BAD_WORDS) or not inside and bool(words & HEADER_WORDS)
+            if t.closes:
+                if opened[name]:
+                    while (shut := stack.pop()).name != name:
+                        opened[shut.name] -= 1
+                    opened[name] -= 1
+            elif not t.attrs.endswith("/"):
+                words, hidden = told(t.attrs)
+                outer = stack[-1]
+                body, inside = name == "body", outer.main
+                bad = name in BAD_ELEMENTS or hidden and not body or not inside and name == "header"
+                main = ARTICLE if name == "article" else MAIN if name == "main" else NAMED if words & MAIN_WORDS and not body else NONE
+                by_name = not body and bool(words & BAD_WORDS) or not inside and bool(words & HEADER_WORDS)
                 doubted = not bad and by_name and name != "main" and not (name == "article" and words & MAIN_WORDS)
-                doubts += doubted
-                stack.append((name, bad, NONE if bad else main, doubts if doubted else 0))
+                stack.append(Container(name, len(containers), outer, bad, main, doubted))
+                containers.append(stack[-1])
+                opened[name] += 1
     say(page[at:])
     flush()
-    acquit(found)
+    acquit(found, containers)
     return found
 
 
-def by_density(b: Block) -> str:
+def acquit(blocks: list[Block], containers: list[Container]) -> None:
+    """Sets ``bad`` where a container's name says so, unless the container is what holds the page.
+
+    That is one with more than half of the text, and outside it an article, main or so named element has headings at most.
+    """
+    held = [0] * len(containers)
+    for b in blocks:
+        if not b.bad and b.inside.doubt:
+            held[b.inside.doubt.number] += len(b.text)
+    around = lambda c: c.outer.doubt if c.outer else None
+    for c in reversed(containers):
+        if c.doubt is c and around(c):
+            held[around(c).number] += held[c.number]
+    total = sum(len(b.text) for b in blocks if not b.bad)
+    free = any(not b.bad and b.inside.main and not b.inside.doubt and not b.heading for b in blocks)
+    condemned = [False] * len(containers)
+    for c in containers:
+        if c.doubt is c:
+            condemned[c.number] = free or held[c.number] <= total / 2 or bool(around(c)) and condemned[around(c).number]
+    for b in blocks:
+        b.bad = b.bad or bool(b.inside.doubt) and condemned[b.inside.doubt.number]
+
+
+def count_stop_words(blocks: list[Block]) -> bool:
+    """Sets the stop words and words of each block; whether the page is in a language of the list."""
+    for b in blocks:
+        words = LETTERS.findall(b.text.lower())
+        b.words, b.stops = len(words), sum(w in STOP_WORDS for w in words)
+    long_ = [b for b in blocks if not b.bad and len(b.text) >= SHORT]
+    return sum(b.stops for b in long_) >= FEW_STOPS * sum(b.words for b in long_)
+
+
+def by_density(b: Block, known: bool) -> str:
     """The label of a block by its links, length and stop words alone."""
     if b.link > LINKS:
         return "bad"
     if len(b.text) < SHORT:
         return "bad" if b.link > 0 else "short"
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if stops >= MANY_STOPS:
-        return "good" if len(b.text) >= LONG else "near"
-    return "near" if stops >= FEW_STOPS else "bad"
-
+    long_ = len(b.text) >= LONG
+    if not known:
+        return "good" if long_ else "near"
+    if b.stops < FEW_STOPS * b.words or not b.words:
+        return "bad" if long_ else "few"
+    return "good" if long_ and b.stops >= MANY_STOPS else "near"
 
-def holder(blocks: list[Block], labels: list[str]) -> int:
-    """The surest kind of container that holds the article, or NONE.
 
-    Article and main elements do not if more text outside them is good by itself than there is text inside: they are
-    teasers or cards then.
-    """
+def inside_holder(blocks: list[Block], labels: list[str]) -> set[int] | None:
+    """Places of the blocks in what holds the article, or None where nothing does."""
     for kind in (ARTICLE, MAIN, NAMED):
-        inside = sum(len(b.text) for b in blocks if not b.bad and b.main & kind)
-        outside = sum(len(b.text) for b, label in zip(blocks, labels, strict=True) if not b.bad and not b.main & kind and label == "good")
-        if inside and (kind == NAMED or outside <= inside):
-            return kind
-    return NONE
+        parts: dict[int, list[int]] = {}
+        for i, b in enumerate(blocks):
+            if not b.bad and b.inside.main & kind:
+                parts.setdefault(b.inside.holders[kind], []).append(i)
+        size = {c: sum(len(blocks[i].text) for i in at) for c, at in parts.items()}
+        inside = {i for at in parts.values() for i in at}
+        outside = sum(len(b.text) for i, (b, label) in enumerate(zip(blocks, labels, strict=True)) if i not in inside and not b.bad and label == "good")
+        if not inside or kind != NAMED and outside > sum(size.values()):
+            continue
+        most = max(size, key=size.__getitem__)
+        if any(labels[i] == "good" for i in parts[most]):
+            inside = {i for c, at in parts.items() if size[c] > CARD * size[most] or any(labels[i] == "good" for i in at) for i in at}
+        return inside
+    return None
+
+
+def menus(blocks: list[Block], among: list[int]) -> set[int]:
+    """Places of runs of at least MENU blocks of one list or parent that are nothing but short links."""
+    found: set[int] = set()
+    run: list[int] = []
+    parent = None
+    for i in [*among, -1]:
+        link = i >= 0 and blocks[i].link > 0.9 and len(blocks[i].text) < SHORT
+        c = blocks[i].inside
+        here = c.outer or c if c.name in SECTIONS else c
+        if run and not (link and here is parent):
+            if len(run) >= MENU:
+                found.update(run)
+            run = []
+        if link:
+            run.append(i)
+            parent = here
+    return found
 
 
 def classify(blocks: list[Block]) -> None:
     """Sets ``label`` of each block to good or bad."""
-    labels = ["bad" if b.bad else by_density(b) for b in blocks]
-    kind = holder(blocks, labels)
-    for b, label in zip(blocks, labels, strict=True):
-        if b.bad or b.main & kind != kind:
-            b.label = "bad"
-        elif kind:
-            b.label = "bad" if b.link > LINKS and not b.heading else "good"
-        else:
-            b.label = label
-
-    decided = [(i, b.label) for i, b in enumerate(blocks) if b.label in ("good", "bad")]
-    k = 0
+    known = count_stop_words(blocks)
+    labels = ["bad" if b.bad else by_density(b, known) for b in blocks]
+    inside = inside_holder(blocks, labels)
+    if inside is None:
+        inherit(blocks, labels, list(range(len(blocks))), "bad")
+        return
+    among = sorted(inside)
+    menu = menus(blocks, among)
     for i, b in enumerate(blocks):
-        while k < len(decided) and decided[k][0] <= i:
+        if i not in inside or i in menu:
+            labels[i] = b.label = "bad"
+        elif labels[i] in ("bad", "few"):  # by links or few stop words, which say less of a block here
+            labels[i] = "short" if len(b.text) < SHORT else "near"
+    for i in among:
+        labels[i] = "good" if labels[i] == "near" else labels[i]
+    inherit(blocks, labels, among, "good")
+
+
+def inherit(blocks: list[Block], labels: list[str], among: list[int], edge: str) -> None:
+    """Sets the labels of the blocks ``among``: the decided ones keep theirs, the others take their neighbours'.
+
+    ``edge`` is the label of what is before the first and behind the last of them.
+    """
+    if not any(labels[i] == "good" for i in among):
+        for i in among:
+            labels[i] = "good" if labels[i] == "near" else labels[i]
+    for kinds in (("few",), ("near", "short")):
+        settle(blocks, labels, among, edge, kinds)
+    for i in among:
+        blocks[i].label = labels[i]
+
+
+def settle(blocks: list[Block], labels: list[str], among: list[int], edge: str, kinds: tuple[str, ...]) -> None:
+    """Gives the blocks of some ambiguous kinds the labels of their neighbours that were decided before."""
+    decided, k = [i for i in among if labels[i] in ("good", "bad")], 0
+    was = {i: labels[i] for i in decided}
+    for place, i in enumerate(among):
+        if i in was:
             k += 1
-        if b.label in ("good", "bad"):
+        if labels[i] not in kinds:
             continue
-        before, after = decided[k - 1] if k else (-1, "bad"), decided[k] if k < len(decided) else (len(blocks), "bad")
-        if before[1] == after[1]:
-            # Without any decided block the ambiguous ones that look like text are all there is.
-            label = before[1] if decided else ("good" if b.label == "near" else "bad")
-        elif b.label == "near":
-            label = "good"
+        b, before, after = blocks[i], decided[k - 1] if k else -1, decided[k] if k < len(decided) else -1
+        first, second = was.get(before, edge), was.get(after, edge)
+        own = [x >= 0 and blocks[x].inside.section == b.inside.section for x in (before, after)]
+        left, right = i - before if before >= 0 else place + 1, after - i if after >= 0 else len(among) - place
+        if labels[i] == "few":
+            here = [label for label, mine in zip((first, second), own, strict=True) if mine]
+            labels[i] = "good" if here and "bad" not in here else "bad"
+        elif first == second:
+            labels[i] = first
+        elif labels[i] == "near" or edge == "good":
+            labels[i] = "good"
+        elif b.heading or own[0] == own[1] and right < left or own[1] and not own[0]:
+            labels[i] = second
+        elif own[0] and not own[1] or left < right:
+            labels[i] = first
         else:
-            near = after if b.heading or after[0] - i < i - before[0] else before
-            label = near[1] if b.heading or after[0] - i != i - before[0] else "bad"
-        b.label = f"{label}!"
-    for b in blocks:
-        b.label = b.label.rstrip("!")
+            labels[i] = "bad"
 
 
 def main_text(page: str | None) -> str:

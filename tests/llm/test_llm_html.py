@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def test_article_is_kept_and_the_rest_goes():
     <ul><li>item</li></ul><div class="ad-slot">Buy</div><pre>a
     b</pre></article><section id="comments"><article class="comment"><p>{LONG}</p></article></section></main>
     <div class="sidebar"><p>{LONG}</p></div><footer><p>{LONG}</p></footer></body></html>"""
-    assert main_text(page) == "The énd & more\nOnetwo A three four\nShort.\nitem\na b"
+    assert main_text(page) == "The énd & more\nOnetwo A three four\nShort.\nall link text here\nitem\na b"
 
 
 def test_article_before_main_before_name():
@@ -100,6 +102,49 @@ def test_names_still_condemn_parts():
     assert main_text("<article><p>kept</p></article><div class=related><article class=related><p>other</p></article></div>") == "kept"
 
 
+@pytest.mark.parametrize("tag", ["article", "div", "section", "div class=x1"])
+def test_pages_with_other_elements_for_the_article(tag):
+    """The passes find the article of nearly every page where no element or name tells of it."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    want = [main_text(p) for p in pages]
+    got = [main_text(p.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")) for p in pages]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) > 0.95 * len(pages)
+
+
+def test_attributes_are_read_by_name():
+    assert main_text("<article><p title='a hidden gem'>a</p><p data-id=share>b</p><div data-url='/x?id=comments'>c</div><p class=share>d</p><p hidden>e</p><p aria-hidden='true'>f</p></article>") == "a\nb\nc"
+
+
+def test_links_in_an_article_stay_unless_they_are_a_menu():
+    menu = "<ul>" + "".join(f"<li><a href={i}>Part {i}</a></li>" for i in range(4)) + "</ul>"
+    assert main_text(f"<article><p>Read <a href=x>this long link text here</a> ok</p><p><a href=y>one link</a></p>{menu}<p>Tiny.</p></article>") == "Read this long link text here ok\none link\nTiny."
+    assert main_text(f"<article><p>Read <a href=x>this</a> ok</p>{menu}<p>{LONG}</p></article>") == f"Read this ok\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("sentence", ["これは長い日本語の文章であり、記事の本文として読まれるべきものです。", "Это длинный абзац русского текста, который рассказывает о доме и людях. ", "To jest bardzo długi akapit polskiego tekstu, który opowiada historię domu. "])
+def test_languages_that_the_stop_words_lack(sentence):
+    text = (sentence * 8).strip()
+    assert main_text(f"<nav>m</nav><div><h1>T</h1><p>{text}</p><p>{sentence}</p><p>{text}</p></div><footer>f</footer>") == f"T\n{text}\n{sentence.strip()}\n{text}"
+
+
+def test_cards_beside_the_article_go():
+    cards = "".join(f"<article><h3>Card {i}</h3><p>See more</p></article>" for i in range(3))
+    assert main_text(f"<article><h1>T</h1><p>{LONG}</p></article>{cards}") == f"T\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<div><p>x</p>", '<a ">"', "<div class=ad>", "</section>", "<!", "<svg>", "<![", "&#", "<p a=b ", "<script", "<main>x", "<article class=post>y", "<li><a href=x>z</a>", "<a b='\"", "<!-- x "])
+def test_hostile_pages_take_linear_time(unit):
+    def took(n):
+        page = "<p>x" + "<div>" * 50 + unit * n
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    took(1000)
+    small, large = min(took(8000) for _ in range(3)), min(took(32_000) for _ in range(2))
+    assert large < 0.2 or large < 8 * small
+
+
 def test_many_unclosed_tags_take_linear_time():
     assert main_text("<article>" + "<svg>" * 100_000 + "<p>kept</p></article>") == "kept"
 
