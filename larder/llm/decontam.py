@@ -8,9 +8,12 @@ rarity, is its rarest word. Documents meet windows on that word alone; then
 * length: and must end within it;
 * exact check: the words there equal the window's.
 
-Rarity is the count of the word in all documents; it decides the work, never the result.
-The windows are broadcast in blocks of about ``block_windows`` rows and ``BLOCK_BYTES`` at most, a pass over the documents
-for each block, so a benchmark of any size works. Windows with equal words are one row that lists its items.
+Rarity is the count of the word in all documents; it decides the work, never the result. Windows with equal words are one
+window; the items that have it are kept in a table of their own and join the documents' sets of windows, each distinct set
+once, so a passage that very many items or documents share is looked up once.
+
+Windows of at most ``most_windows`` rows and ``most_bytes`` are broadcast. Beyond that (a benchmark of a gigabyte) words meet
+prefix words in one shuffle join, in which frequent words are dealt out over salts; both ways give the same rows.
 
 Nulls: a null or wordless text has no words and no hits; null item_ids count as the item ''. Repeated document rows give
 equal output rows; repeated items are one. An empty benchmark gives every document 0 hits. Other columns are ignored.
@@ -21,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ascii_lower, saved
+from larder.llm.common import ascii_lower, broadcast_if_small, saved, with_unique
 
-#: Most bytes of window words in a broadcast block.
-BLOCK_BYTES = 32 << 20
+#: Most bytes of window words that are broadcast.
+MOST_BYTES = 32 << 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -33,53 +36,78 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
 
 
-def windows_of(items: DataFrame, size: int) -> DataFrame:
-    """win (its words), n, items: one row for each distinct window."""
+def windows_of(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """wid, win (its words), n of each distinct window, and wid, item of its items (written tables)."""
     words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    rows = words.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), size).alias("win"))
-    return rows.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("n", F.size("win"))
-
-
-def find_windows(docs: DataFrame, items: DataFrame, size: int = 10, block_windows: int = 100_000) -> DataFrame:
-    """key (struct of doc_id and the text's hash), n_words, copies, spans (start, n, items; 0-based words) of each document."""
-    spark = docs.sparkSession
-    text = docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("hash"))
-    windows = saved(windows_of(items, size), "windows")
-    n, size_ = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("win", " "))), F.lit(0))).first()
-    n_blocks = max(1, -(-n // block_windows), -(-size_ // BLOCK_BYTES))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(n_blocks)))
-
-    parts = []
-    for block in range(n_blocks):
-        mine = windows.where(F.col("block") == block)
-        # Rarity of the windows' words over all documents.
-        asked = mine.select(F.explode("win").alias("word")).distinct()
-        seen = text.select(F.explode(words_of(F.col("text"))).alias("word")).join(F.broadcast(asked), "word").groupBy("word").count()
-        seen = saved(seen, "rarity")
-        places = mine.select("win", "n", "items", F.posexplode("win").alias("offset", "word")).join(seen, "word", "left")
-        rarest = places.groupBy("win", "n", "items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "word", "offset")).alias("p"))
-        # A window with a word that no document has cannot occur.
-        prefix = rarest.where("p.c > 0").select(F.col("p.word").alias("word"), F.col("p.offset").alias("offset"), "win", "n", "items")
-        # The first place of each document, with the empty word, gives every document one row.
-        blank = spark.createDataFrame([("", 0, [""], 0, None)], "word string, offset int, win array<string>, n int, items array<string>")
-        prefix = saved(prefix.unionByName(blank), "prefix")
-        docs_words = text.select("doc_id", "hash", F.concat(F.array(F.lit("")), words_of(F.col("text"))).alias("w"))
-        met = docs_words.select("doc_id", "hash", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(prefix), "word")
-        start = F.col("pos") - F.col("offset")
-        met = met.where((F.col("n") == 0) | ((start >= 1) & (start + F.col("n") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(1)) + 1, F.col("n")) == F.col("win"))))
-        parts.append(met.select("doc_id", "hash", (F.size("w") - 1).alias("n_words"), F.when(F.col("n") > 0, F.struct((start - 1).alias("start"), "n", "items")).alias("span")))
-
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    own = F.sum(F.when(F.col("span").isNull(), 1).otherwise(0))
-    return found.groupBy(F.struct("doc_id", "hash").alias("key")).agg(F.max("n_words").alias("n_words"), (own / n_blocks).cast("int").alias("copies"), F.collect_set("span").alias("spans"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, block_windows: int = 100_000) -> DataFrame:
-    """doc_id, hash, n_words, n_hit, n_items, items, contaminated: a row for each row of ``docs``."""
-    found = find_windows(docs, items, size, block_windows)
+    rows = words.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), size).alias("win")).distinct()
+    windows = rows.select("win").distinct().select(F.monotonically_increasing_id().alias("wid"), "win", F.size("win").alias("n"))
+    windows = saved(windows, "windows")
+    # A window that very many items share is one row here.
+    return windows, saved(with_unique(rows, windows.select("wid", "win"), "win").select("wid", "item"), "window-items")
+
+
+def counted(words: DataFrame, asked: DataFrame, small: bool) -> DataFrame:
+    """word, count of the asked words in the column ``w`` (a written table)."""
+    each = words.select(F.explode("w").alias("word"))
+    if small:
+        return saved(each.join(F.broadcast(asked), "word").groupBy("word").count(), "rarity")
+    return saved(each.groupBy("word").count().join(asked, "word", "left_semi"), "rarity")
+
+
+def at_prefix(rows: DataFrame, prefix: DataFrame, small: bool, hot: int) -> DataFrame:
+    """``rows`` (with w and other columns) at each place ``pos`` whose word is a window's prefix, with the prefix's columns."""
+    if small:
+        return rows.select("*", F.posexplode("w").alias("pos", "word")).join(F.broadcast(prefix), "word")
+    # A word with more than ``hot`` places is dealt out over salts; there is at most one for each ``hot`` places.
+    salts = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / hot + 1e-9)
+    crowded = broadcast_if_small(saved(prefix.where(F.col("c") > hot).select("word", salts(F.col("c")).alias("_salts")).distinct(), "crowded-words"))
+    places = rows.select("row", F.posexplode("w").alias("pos", "word"))
+    dealt = places.join(crowded, "word", "left").withColumn("_salt", F.pmod(F.xxhash64("row", "pos"), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    copies = prefix.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(salts(F.col("c")), F.lit(1)) - 1)))
+    return dealt.join(copies, ["word", "_salt"]).drop("_salt")
+
+
+def find_windows(docs: DataFrame, windows: DataFrame, most_windows: int = 200_000, most_bytes: int = MOST_BYTES, hot: int = 1_000_000) -> DataFrame:
+    """key (struct of doc_id and the text's hash), n_words, copies, spans (start, n, wid; 0-based words) of each document."""
+    text = docs.select("doc_id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("w"))
+    n, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("win", " "))), F.lit(0))).first()
+    small = n <= most_windows and size <= most_bytes
+    if not small:
+        text = saved(text.withColumn("row", F.monotonically_increasing_id()), "tokens")
+
+    # Rarity of the windows' words over all documents. A window with a word that no document has cannot occur.
+    seen = counted(text, windows.select(F.explode("win").alias("word")).distinct(), small)
+    places = windows.select("wid", "win", "n", F.posexplode("win").alias("offset", "word"))
+    places = places.join(broadcast_if_small(seen), "word", "left") if small else places.join(seen, "word", "left")
+    rarest = places.groupBy("wid", "win", "n").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "word", "offset")).alias("p"))
+    prefix = saved(rarest.where("p.c > 0").select("wid", "win", "n", "p.c", "p.word", "p.offset"), "prefix")
+
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("n") <= F.size("w"))
+    equal = fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win"))
+    span = F.struct(start.alias("start"), "n", "wid").alias("span")
+    key = F.struct("doc_id", "hash").alias("key")
+    if small:
+        # One row more for each document, whether it has a window or not: the place before its first word, of the empty word.
+        blank = prefix.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("wid"), F.array().cast("array<string>").alias("win"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("c"), F.lit("").alias("word"), F.lit(0).alias("offset"))
+        met = at_prefix(text.withColumn("w", F.concat(F.array(F.lit("")), "w")), prefix.unionByName(blank), True, hot)
+        rows = met.where((F.col("wid") < 0) | ((start >= 1) & equal)).select(key, (F.size("w") - 1).alias("n_words"), F.when(F.col("wid") >= 0, F.struct((start - 1).alias("start"), "n", "wid")).alias("span"))
+    else:
+        met = at_prefix(text, prefix.drop("win"), False, hot).where(start >= 0).select("row", "wid", "n", "pos", "offset").distinct()
+        near = with_unique(saved(met, "candidates"), windows.select("wid", "win"), "wid").join(text, "row").where(equal).select(key, F.size("w").alias("n_words"), span)
+        rows = near.unionByName(text.select(key, F.size("w").alias("n_words"), F.lit(None).cast(near.schema["span"].dataType).alias("span")))
+    own = F.sum(F.when(F.col("span").isNull(), 1).otherwise(0)).cast("int")
+    return rows.groupBy("key").agg(F.max("n_words").alias("n_words"), own.alias("copies"), F.collect_set("span").alias("spans"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, digest: bool = False, **how: int) -> DataFrame:
+    """doc_id, hash, n_words, n_hit, n_items, items, contaminated: a row for each row of ``docs``.
+
+    With ``digest`` the column ``items`` is the SHA-256 of the comma-joined ids in place of their array.
+    """
+    windows, has = windows_of(items, size)
+    found = find_windows(docs, windows, **how)
     # Hit words: the union of the spans, by one pass in order of their starts.
     hit = F.aggregate(
         F.array_sort("spans"),
@@ -90,6 +118,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, block_windo
         ),
         lambda a: a["n"],
     )
-    items_of = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"]))))
-    out = found.select(F.col("key.doc_id").alias("doc_id"), F.col("key.hash").alias("hash"), F.col("n_words").cast("long").alias("n_words"), hit.alias("n_hit"), items_of.alias("items"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"))
-    return out.select("doc_id", "hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    found = found.select("key", "n_words", "copies", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["wid"]))).alias("wids"))
+    found = saved(found, "found")
+
+    # The items of each distinct set of windows.
+    sets = saved(found.where(F.size("wids") > 0).select("wids").distinct(), "window-sets")
+    each = sets.select("wids", F.explode("wids").alias("wid")).join(has, "wid").groupBy("wids").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    of = lambda ids: F.sha2(F.array_join(ids, ","), 256) if digest else ids
+    sets = saved(each.select("wids", F.size("items").cast("long").alias("n_items"), of(F.col("items")).alias("items")), "set-items")
+    hits = with_unique(found.where(F.size("wids") > 0), sets, "wids").drop("wids")
+    none = found.where(F.size("wids") == 0).drop("wids").withColumns({"n_items": F.lit(0).cast("long"), "items": of(F.array().cast("array<string>"))})
+    out = hits.unionByName(none).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return out.select("key.doc_id", "key.hash", F.col("n_words").cast("long").alias("n_words"), "n_hit", "n_items", "items", (F.col("n_hit") > 0).alias("contaminated"))

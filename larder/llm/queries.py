@@ -21,7 +21,7 @@ CONTROL = "\\### Assistant: </turn> ok"
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     turns = given.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
     done = chat.format_chat(turns).withColumn("_read", chat.read_chat(F.col("formatted"))).withColumn("_loss", chat.loss_text(F.col("formatted"), F.col("segments")))
     lines = F.array_join(F.transform("_read", lambda r: F.concat(r["role"], F.lit("\n"), r["text"], F.lit("\n"))), "")
@@ -66,9 +66,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), digest=True)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.col("items").alias("items_sha256"), "contaminated")
 
 
 OP6_SQL = r"""

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -41,20 +42,22 @@ def run(spark, docs, items, **how):
     return sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got.collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_random_texts(spark, block):
+@pytest.mark.parametrize("how", [{}, {"most_windows": 3}, {"most_bytes": 10, "hot": 5}])
+def test_random_texts(spark, how):
+    """Broadcast windows, the shuffle join, and the shuffle join with salted words."""
     draw = random.Random(3)
     text = lambda n: " ".join(draw.choice(["A", "b", "c", "É", "4x"]) for _ in range(n))
     items = [(i, text(draw.choice([1, 3, 4, 6]))) for i in range(4)]
     docs = [(i, text(draw.randrange(40))) for i in range(40)]
-    assert run(spark, docs, items, size=4, block_windows=block) == brute(docs, items, 4)
+    assert run(spark, docs, items, size=4, **how) == brute(docs, items, 4)
 
 
-def test_hostile_rows(spark):
+@pytest.mark.parametrize("how", [{}, {"most_windows": 1, "hot": 20}])
+def test_hostile_rows(spark, how):
     passage = "one two three four five six seven eight nine ten eleven"
     items = [(1, passage), (1, passage), (None, "solo"), (2, None), (3, "--- !!"), (10, passage.upper()), (4, "repeat " * 12)]
     docs = [(1, None), (2, ""), (3, passage), (3, passage), (None, "x solo, solo y"), (4, "pre " + passage.replace(" ", "\n-") + " post"), (5, "repeat " * 50), (6, "word " * 100_000 + passage), (7, passage.replace("five", "5"))]
-    got = run(spark, docs, items)
+    got = run(spark, docs, items, **how)
     assert got == brute(docs, items)
     assert [r for r in got if r[0] == 3] == [(3, 11, 11, "1,10", True)] * 2
 
@@ -64,5 +67,15 @@ def test_empty_tables(spark):
     assert run(spark, [(1, "a b"), (2, None)], []) == [(1, 2, 0, "", False), (2, 0, 0, "", False)]
 
 
+def test_a_window_that_very_many_items_share(spark):
+    """The items of a window are joined once for each set of windows, not carried through the match."""
+    prompt = "one two three four five six seven eight nine ten"
+    items = spark.range(50_000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 2 == 0, prompt).otherwise(F.concat(F.lit(prompt + " x"), "id")).alias("text"))
+    docs = spark.createDataFrame([(i, prompt if i % 3 else f"clean {i}") for i in range(300)], "doc_id long, text string")
+    got = decontam.decontaminate(docs, items, digest=True).collect()
+    want = hashlib.sha256(",".join(sorted(map(str, range(50_000)))).encode()).hexdigest()
+    assert {r.doc_id: (r.n_items, r["items"]) for r in got} == {i: (50_000, want) if i % 3 else (0, hashlib.sha256(b"").hexdigest()) for i in range(300)}
+
+
 def test_query_equals_sql(spark, compare):
     assert compare(spark, "op6_decontaminate", "sf0.01")["contaminated"].any()
