@@ -6,7 +6,8 @@ with the highest penalised likelihood (languages are taken in order of their pro
 The prediction is the language with the largest proportion, the score that proportion.
 
 Trigrams overlap, so the log-likelihood counts a third; each language of a set costs ``cost`` x log(length).
-The model has at most ``most`` languages (those with most trigrams) x ``BUCKETS`` numbers, whatever the input.
+The model has ``BUCKETS`` numbers of 4 bytes (128 KB) a language, in every task. None is left out: more than ``most``
+languages are an error, as their model would not fit the tasks.
 
 Nulls: rows with a null text or label are not learned from. A null text, one without a letter, and every text if nothing
 was learned get ``und`` and score 0. Any length works; documents are handled one at a time. Repeated rows count as often
@@ -67,17 +68,21 @@ def count_trigrams(docs: DataFrame, label: str = "lang", text: str = "text") ->
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, label: str = "lang", text: str = "text", most: int = 256) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, label: str = "lang", text: str = "text", most: int = 2048) -> tuple[list[str], np.ndarray]:
     """The languages and their smoothed trigram probabilities (BUCKETS x languages)."""
     counts = count_trigrams(docs, label, text)
     counts.persist()
-    names = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
-    table = np.full((BUCKETS, len(names)), 0.5)
+    names = sorted(r[0] for r in counts.select("lang").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        counts.unpersist()
+        raise ValueError(f"more than {most} languages")
+    table = np.full((BUCKETS, len(names)), 0.5, np.float32)
     place = {name: i for i, name in enumerate(names)}
-    for r in counts.where(F.col("lang").isin(names)).groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toLocalIterator():
-        table[np.array(r["b"], np.int64), place[r["lang"]]] += np.array(r["n"], float)
+    for r in counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toLocalIterator():
+        table[np.array(r["b"], np.int64), place[r["lang"]]] += np.array(r["n"], np.float32)
     counts.unpersist()
-    return names, table / table.sum(0)
+    table /= table.sum(0, dtype=float).astype(np.float32)
+    return names, table
 
 
 def mixture(likelihood: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -95,7 +100,7 @@ def predict(text: str, probabilities: np.ndarray, cost: float = 2.0, rounds: int
     at = np.flatnonzero(counts)
     if not len(at) or not probabilities.shape[1]:
         return -1, 0.0
-    n, likelihood = counts[at].astype(float), probabilities[at]
+    n, likelihood = counts[at].astype(float), probabilities[at].astype(float)
     share, _ = mixture(likelihood, n, rounds)
     order, price = np.argsort(-share, kind="stable"), cost * np.log(n.sum() + 1)
     best, found = -np.inf, (-1, 0.0)

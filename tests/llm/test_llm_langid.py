@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,3 +76,61 @@ def test_nothing_learned(spark):
     model = langid.fit(empty)
     docs = spark.createDataFrame([(1, "words")], "doc_id long, text string")
     assert docs.select(langid.predictor(docs, model)("text").alias("f")).collect()[0].f.lang == "und"
+
+
+def test_no_language_is_left_out(spark):
+    """300 languages, each with words of its own, are all learned and found; too many are an error."""
+    word = lambda i, k: "".join(chr(97 + (i * 7 + k * 11 + j * (i % 23 + 3)) % 26) for j in range(9))
+    rows = [(i, f"l{i:03}", " ".join(word(i, k) for k in range(40))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    names, table = model = langid.fit(docs)
+    assert names == [f"l{i:03}" for i in range(300)] and table.shape == (langid.BUCKETS, 300)
+    got = docs.select("lang", langid.predictor(docs, model)("text").alias("f")).collect()
+    assert sum(r.lang == r.f.lang for r in got) > 290
+    with pytest.raises(ValueError, match="more than 299"):
+        langid.fit(docs, most=299)
+
+
+def by_hand(text, table, cost=2.0, rounds=12):
+    """Prediction in plain Python: all shares by EM, then sets of the largest languages while the penalised fit rises."""
+    b = " ".join(["", *"".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower()).split(" "), ""])
+    b = " ".join(["", *b.split(" "), ""]).encode()
+    b = re.sub(rb" +", b" ", b)
+    counts = Counter((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32 >> 17 for i in range(len(b) - 2))
+    total = sum(counts.values())
+
+    def em(langs):
+        share = {x: 1 / len(langs) for x in langs}
+        for _ in range(rounds if len(langs) > 1 else 0):
+            new = dict.fromkeys(langs, 0.0)
+            for g, n in counts.items():
+                mix = sum(share[x] * table[g, x] for x in langs)
+                for x in langs:
+                    new[x] += n * share[x] * table[g, x] / mix / total
+            share = new
+        return share, sum(n * math.log(sum(share[x] * table[g, x] for x in langs)) for g, n in counts.items())
+
+    share, _ = em(range(table.shape[1]))
+    order, best, found = sorted(share, key=lambda x: -share[x]), -math.inf, None
+    for k in range(1, len(order) + 1):
+        part, fit = em(order[:k])
+        value = fit / 3 - cost * math.log(total + 1) * k
+        if value <= best:
+            break
+        best, found = value, max(((p, x) for x, p in part.items()))
+    return found[1], found[0]
+
+
+def test_predictions_by_hand(spark, model):
+    names, table = model
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) BETWEEN 20 AND 1500").orderBy("doc_id").limit(40).collect()]
+    texts += [a[:400] + " " + b[:300] for a, b in zip(texts[:10], texts[20:], strict=False)]
+    for t in texts:
+        i, score = langid.predict(t, table)
+        want, share = by_hand(t, table.astype(float))
+        assert (i, score) == (want, pytest.approx(share, abs=1e-6))
+
+
+def test_no_documents(spark, model):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert docs.select(langid.predictor(docs, model)("text").alias("f")).collect() == []
