@@ -2,12 +2,15 @@
 
 1. Targets: sources share ``budget`` x all words by weight; a target stops at ``most`` x its source's size and the
    excess is reshared by weight until none is above.
-2. Quotas: the mix is cut into blocks of ``block_tokens`` words. Sources, then the shards of each source, get whole
-   blocks by the highest quotients votes / (2 j - 1).
+2. Quotas: the mix is cut into blocks of ``block_tokens`` words. Sources, then groups of ``group`` shards of each source,
+   then the shards of each group get whole blocks by the highest quotients votes / (2 j - 1). A task ranks a group's shards,
+   or a source's groups; no task has all shards of a source.
 3. Selection: the documents of a shard lie on a ring in seeded hash order. The shard's quota is taken as whole rounds
    plus one seeded run of consecutive blocks, so that every word is taken floor or ceil of quota / size times.
 
-Shards have about ``shard_tokens`` words, so that a source with a third of all rows is spread over many tasks.
+Shards have about ``shard_tokens`` words, so that a source with a third of all rows is spread over many tasks. A document's
+shard is a hash of its doc_id and text, so null and equal ids are spread too; rows with equal doc_id and text are dealt out
+by their place in the written table of sizes where there are more than ``most_copies`` of them.
 Nulls: a null text has size 0, a null source is a source of its own and comes last, null doc_ids are documents like any
 other. Repeated rows are documents of their own. Without any word all targets and taken counts are 0. Other columns of
 the input, whatever their names, are ignored.
@@ -20,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import WORD, ranked, saved
+from larder.llm.common import WORD, broadcast_if_small, ranked, saved, with_unique
 
 
 def word_count(text: Column) -> Column:
@@ -66,9 +69,20 @@ def competing(rows: DataFrame, votes: str) -> DataFrame:
     return up.withColumn("_q", F.col(votes) / (2 * F.col("_j") - 1))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: float = 2.0, block_tokens: int = 64, shard_tokens: int = 1 << 18, seed: int = 42) -> DataFrame:
+def apportioned(rows: DataFrame, votes: str, seats: str, among: list[str], key: str, name: str) -> DataFrame:
+    """Adds ``name``: the seats that each row of a group ``among`` gets of the group's ``seats``; ties go to the lesser ``key``."""
+    cells = saved(quotients(rows, votes, seats, among), "mix-cells")
+    best = Window.partitionBy(*among).orderBy(F.desc("_q"), key, "_j")
+    sure = cells.groupBy(*among).agg(F.sum("sure").alias("_sure"))
+    won = competing(cells, votes).withColumn("_place", F.row_number().over(best)).join(sure, among)
+    won = won.where(F.col("_place") <= F.col(seats) - F.col("_sure")).groupBy(*among, key).agg(F.count(F.lit(1)).alias("_won"))
+    return cells.join(won, [*among, key], "left").withColumn(name, F.col("sure") + F.coalesce("_won", F.lit(0))).drop("sure", "high", "_won")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: float = 2.0, block_tokens: int = 64, shard_tokens: int = 1 << 18, group: int = 4096, most_copies: int = 1000, seed: int = 42) -> DataFrame:
     """doc_id, source, size, source_size, target, source_blocks, shard, taken: a row for each row of ``docs``."""
-    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    sizes = saved(sizes, "mix-sizes")
 
     by_source = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), F.asc_nulls_last("source"), name="sid")
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("sid", F.lit(len(weights))) + 1).cast("int"))
@@ -85,16 +99,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: f
     won = ranked(competing(bounds, "target").select("sid", "_q", "_j"), F.desc("_q"), F.asc("sid"), F.asc("_j"), name="_place").where(F.col("_place") < open_seats).groupBy("sid").agg(F.count(F.lit(1)).alias("_won"))
     quotas = saved(bounds.join(won, "sid", "left").select("source", "sid", "source_size", "target", (F.col("sure") + F.coalesce("_won", F.lit(0))).alias("source_blocks")), "mix-quotas")
 
-    # Shards of each source, and their blocks.
-    dealt = sizes.join(quotas, sizes.source.eqNullSafe(quotas.source)).drop(quotas.source)
+    # Shards of each source in groups, and their blocks.
+    by_source = quotas.withColumn("_source", F.struct("source")).drop("source")  # a null source is a source like any other
+    dealt = with_unique(sizes.withColumn("_source", F.struct("source")), by_source, "_source").drop("_source")
+    same = ["doc_id", "hash"]
+    crowded = saved(sizes.groupBy(*same).count().where(F.col("count") > most_copies).select(*(F.col(c).alias(f"_{c}") for c in same)), "mix-copies")
+    if crowded.isEmpty():
+        copy = F.lit(None).cast("bigint")
+    else:
+        crowded = broadcast_if_small(crowded.withColumn("_many", F.lit(True)))
+        dealt = dealt.join(crowded, dealt["doc_id"].eqNullSafe(crowded["_doc_id"]) & (dealt["hash"] == crowded["_hash"]), "left")
+        copy = F.when(F.col("_many"), F.col("row"))
     shards = F.greatest(F.ceil(F.col("source_size") / shard_tokens), F.lit(1))
-    dealt = dealt.withColumn("_at", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), shards))
-    cells = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("cell_size"), F.first("source_blocks").alias("source_blocks"))
-    cells = saved(quotients(cells, "cell_size", "source_blocks", ["sid"]), "mix-cells")
-    won = competing(cells, "cell_size").withColumn("_place", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("_q"), "shard", "_j")))
-    sure = cells.groupBy("sid").agg(F.sum("sure").alias("_sure"))
-    won = won.join(sure, "sid").where(F.col("_place") <= F.col("source_blocks") - F.col("_sure")).groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("_won"))
-    cells = cells.join(won, ["sid", "shard"], "left").select("sid", "shard", "cell_size", (F.col("sure") + F.coalesce("_won", F.lit(0))).alias("blocks"))
+    dealt = dealt.withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", "hash")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "hash", copy), shards))
+    dealt = dealt.withColumn("_group", F.floor(F.col("shard") / group))
+    groups = dealt.groupBy("sid", "_group").agg(F.sum("size").alias("group_size"), F.first("source_blocks").alias("source_blocks"))
+    groups = apportioned(groups, "group_size", "source_blocks", ["sid"], "_group", "group_blocks").select("sid", "_group", "group_blocks")
+    cells = dealt.groupBy("sid", "_group", "shard").agg(F.sum("size").alias("cell_size")).join(groups, ["sid", "_group"])
+    cells = apportioned(cells, "cell_size", "group_blocks", ["sid", "_group"], "shard", "blocks").select("sid", "shard", "cell_size", "blocks")
 
     # Seeded selection: whole rounds, then one run of blocks on the ring.
     cells = cells.withColumn("_quota", F.least(F.col("blocks") * block_tokens, F.floor(F.col("cell_size") * F.lit(float(most)))))

@@ -92,11 +92,11 @@ def test_hot_source_is_cut_into_shards(spark):
 
 
 def chained(*values):
-    """Spark's xxhash64 of ints (4 bytes), longs (8 bytes) and nulls (skipped)."""
+    """Spark's xxhash64 of ints (4 bytes), longs (8 bytes), texts and nulls (skipped)."""
     h = 42
     for kind, v in values:
         if v is not None:
-            h = xxhash.xxh64_intdigest(struct.pack(kind, v), h)
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack(kind, v), h)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -113,7 +113,8 @@ def brute(rows, block=16, shard_tokens=300, seed=42):
         shards = defaultdict(list)
         for d, x, t in rows:
             if x == s:
-                shards[chained(("<i", seed + 1), ("<q", d)) % n].append((chained(("<i", seed), ("<q", d)), d is not None, d or 0, size(t), d))
+                key = ("<q", d), ("<q", chained(("s", t)))
+                shards[chained(("<i", seed + 1), *key) % n].append((chained(("<i", seed), *key), d is not None, d or 0, size(t), d))
         cells = {k: sum(r[3] for r in v) for k, v in sorted(shards.items())}
         blocks = sainte_lague(cells, quotas[s]) if sizes[s] else dict.fromkeys(cells, 0)
         for k, docs in shards.items():
@@ -128,6 +129,30 @@ def brute(rows, block=16, shard_tokens=300, seed=42):
     return sorted(out, key=str)
 
 
+def test_null_and_equal_ids_fill_no_shard(spark):
+    """Null ids with texts of their own, and one row repeated over and over, are spread over the shards that are due."""
+    for text in (F.concat(F.lit("a b c d "), F.col("id")), F.lit("a b c d e")):
+        docs = spark.range(0, 4000, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), text.alias("text"))
+        got = mixing.mix_sources(docs, shard_tokens=1000).toPandas()
+        assert len(got) == 4000 and len(got["shard"].unique()) == 20 and got.groupby("shard")["size"].sum().max() < 2000
+        assert abs(got["taken"].sum() - 1.5 * 20_000) <= 64
+
+
+def test_groups_of_shards(spark):
+    """Quotas of groups, then of their shards: every group and shard is within a block of its share."""
+    docs = documents(spark, 3000)
+    got = mixing.mix_sources(docs, block_tokens=16, shard_tokens=500, group=4).toPandas()
+    got["source"] = got["source"].where(got["source"].notna(), "")
+    for _, part in got.groupby("source"):
+        # At the most that a source may give, each shard stops at its own most, less than a block below its quota.
+        full = part["target"].iloc[0] == 2 * part["source_size"].iloc[0]
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 17 + full * 16 * part["shard"].nunique()
+        share = part["target"].iloc[0] / part["source_size"].iloc[0]
+        for size in (4, 1):
+            sums = part.groupby(part["shard"] // size)[["taken", "size"]].sum()
+            assert ((sums["taken"] - share * sums["size"]).abs() <= 16 * 4).all()
+
+
 def test_selection_by_hand(spark):
     rows = [tuple(r) for r in documents(spark).collect()] + [(None, "c", "a b c"), (7, "a", "a b c"), (7, "a", "a b c")]
     got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), block_tokens=16, shard_tokens=300)
