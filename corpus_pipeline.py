@@ -1,8 +1,13 @@
 """A corpus pipeline of five operators over ``documents``.
 
 Each stage gets what its predecessor kept (written as Parquet and read again) and returns the columns of documents; the
-last returns the mix. Nulls: a null text has no language and goes in the first stage; a null doc_id, lang or source is
-kept like any other.
+last returns the mix.
+
+Nulls: a null text has no language and goes in the first stage; a null doc_id, lang or source is kept like any other. An
+empty text, or one without a letter, goes like a null one. Very long texts are judged whole. Ties: of a group of copies the
+document with the smallest doc_id stays, of equal ids the one with the smaller text hash. Repeated rows are copies: one
+stays. Empty tables: without documents there are no rows; without labels the classifier keeps all, without a benchmark
+decontamination does. Further columns of documents, whatever their names, pass through all stages but the last untouched.
 """
 
 from __future__ import annotations

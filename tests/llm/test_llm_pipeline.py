@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,38 @@ def test_mix(stages):
 def test_run(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.count() > 0 and "taken" in got.columns
+
+
+CLASH = ("hash", "key", "rank", "fp", "root", "w", "word", "wids", "items", "size", "sid", "shard", "row", "n", "score")
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def folder(spark, tmp_path, documents, labels, benchmark):
+    for name, df in (("documents", documents), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    return f"file://{tmp_path}"
+
+
+def test_empty_tables(spark, tmp_path):
+    none = [spark.createDataFrame([], s) for s in (DOCUMENTS, "doc_id long, quality int, toxic int", "item_id long, text string")]
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, *none)).collect() == []
+
+
+def test_hostile_rows_and_clashing_columns(spark, tmp_path):
+    """Without labels and benchmark all that has a language and is no copy reaches the mix, with its other columns."""
+    draw = random.Random(7)
+    text = lambda n: " ".join(draw.choice(["the", "house", "was", "old", "and", f"w{draw.randrange(300)}"]) for _ in range(n))
+    base = [text(80) for _ in range(30)]
+    rows = [(i, t, "en", ["a", None][i % 2], len(t)) for i, t in enumerate(base)]
+    rows += [(50, base[0], "en", "b", 1), (None, base[1], None, "b", None), (3, base[3], "en", None, 1), (60, None, "en", "a", 0), (61, "", "en", "a", 0), (62, "123 ...", None, "a", 7), (63, text(60_000), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).withColumns({c: F.lit(f"clash {c}") for c in CLASH})
+    where = folder(spark, tmp_path, docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string"))
+    kept = spark.read.parquet(f"{where}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = saved(stage(spark, kept, where), name)
+        assert kept.columns == docs.columns, name
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == [*range(30), 63]
+    assert all(r[c] == f"clash {c}" for r in got for c in CLASH)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, kept, where).collect()
+    assert {r.doc_id for r in mixed} <= {*range(30), 63} and all(0 < r["taken"] <= 2 * r["size"] for r in mixed)
