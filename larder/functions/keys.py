@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def canonical_key(url: Column) -> Column:
-    """The key of a request: its URL without the fragment; the query stays."""
-    return F.regexp_replace(url, "(?s)#.*$", "")
+    """The key of a request: its URL without the fragment; the query stays, a leading ``./`` goes."""
+    return relative_key(F.regexp_replace(url, "(?s)#.*$", ""))
 
 
 def relative_key(url: Column) -> Column:
@@ -16,6 +16,21 @@ def relative_key(url: Column) -> Column:
     return F.regexp_replace(url, r"^(\./)+", "")
 
 
+def resolved(url: Column, base: Column) -> Column:
+    """A relative URL as an absolute one, seen from the absolute URL ``base``: ``./``, ``../``, ``/a``, ``//host`` and ``a``."""
+    origin = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    folder = F.regexp_extract(F.substr(base, F.length(origin) + 1), r"^([^?#]*/)", 1)
+    path = F.when(F.startswith(url, F.lit("/")), url).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), url))
+    tail = F.regexp_extract(path, r"(?s)[?#].*$", 0)
+    parts = F.split(F.regexp_replace(path, r"(?s)[?#].*$", ""), "/")
+    # A last part . or .. is a folder.
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    absolute = F.when(F.startswith(url, F.lit("//")), F.concat(F.regexp_extract(base, "^[^:]*:", 0), url)).otherwise(F.concat(origin, F.array_join(kept, "/"), tail))
+    return F.when(F.regexp_like(url, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), url).otherwise(absolute)
+
+
 def host(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("HOST"))
 
@@ -27,7 +42,10 @@ def extension(path: Column) -> Column:
 
 
 def in_scope(url: Column, scope: Column) -> Column:
-    """Whether a URL lies under a scope prefix. The scope's last slash counts: /apple is not under /app/."""
+    """Whether a URL lies under a scope prefix. The scope's last slash counts: /apple is not under /app/.
+
+    Both are absolute, or both paths; a relative scope is ``resolved`` against its descriptor's URL first.
+    """
     return F.startswith(url, scope)
 
 

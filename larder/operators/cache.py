@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.keys import canonical_key
+
 
 def is_get(method: Column) -> Column:
     """True for GET; a null method is not GET."""
@@ -24,24 +26,40 @@ def route(requests: DataFrame, method: str = "method") -> tuple[DataFrame, DataF
     return requests.where(is_get(F.col(method))), requests.where(~is_get(F.col(method)))
 
 
-def admitted(ok: Column) -> Column:
-    """Whether a response may be stored: present and ok."""
-    return F.coalesce(ok, F.lit(False))
+def outcome_of(status: Column, error: Column) -> Column:
+    """The outcome of a read: ``rejected`` after an error or without a status, ``ok`` for 200 to 299, else ``not_ok``."""
+    return F.when(error.isNotNull() | status.isNull(), "rejected").when(status.between(200, 299), "ok").otherwise("not_ok")
+
+
+def admitted(ok: Column, status: Column | None = None) -> Column:
+    """Whether a response may be stored: present, ok and, where the status is given, not partial (206)."""
+    may = F.coalesce(ok, F.lit(False))
+    return may if status is None else may & ~F.coalesce(status == 206, F.lit(False))
+
+
+def joinable(rows: DataFrame, key: str, spread: bool) -> DataFrame:
+    """Adds _k, the canonical form of a text key (others are as they are), and _s, by which rows without a key are spread."""
+    k = canonical_key(F.col(key)) if rows.schema[key].dataType.typeName() == "string" else F.col(key)
+    salt = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1000))).otherwise(0) if spread else F.lit(0)
+    return rows.withColumns({"_k": k, "_s": salt.cast("bigint")})
 
 
 def lookup(requests: DataFrame, stores: DataFrame, key: str = "key") -> DataFrame:
     """Left join of the first match: the oldest store (least created_ord) that has the key. Adds hit and cached.
 
-    ``stores`` has created_ord, the key and body. A null key matches nothing. The aggregate has one row a key, so a key
-    that many requests share is a hot key of the requests alone, which adaptive execution may split.
+    ``stores`` has created_ord, the key and body. Text keys match in their canonical form: without fragment and leading
+    ``./``. A null key matches nothing. The aggregate has one row a key, so a key that many requests share is a hot key of
+    the requests alone, which adaptive execution may split.
     """
-    first = stores.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct("body"), "created_ord").alias("_m"))
-    return requests.join(first, key, "left").withColumn("hit", F.col("_m").isNotNull()).withColumn("cached", F.col("_m.body")).drop("_m")
+    first = joinable(stores.where(F.col(key).isNotNull()), key, False).groupBy("_k", "_s").agg(F.min_by(F.struct("body"), "created_ord").alias("_m"))
+    found = joinable(requests, key, True).join(first, ["_k", "_s"], "left")
+    return found.select(*requests.columns, F.col("_m").isNotNull().alias("hit"), F.col("_m.body").alias("cached"))
 
 
 def misses(requests: DataFrame, stores: DataFrame, key: str = "key") -> DataFrame:
-    """The requests whose key no store has."""
-    return requests.join(stores.select(key).distinct(), key, "left_anti")
+    """The requests whose key, in its canonical form, no store has."""
+    have = joinable(stores, key, False).select("_k", "_s").distinct()
+    return joinable(requests, key, True).join(have, ["_k", "_s"], "left_anti").select(*requests.columns)
 
 
 def latest(responses: DataFrame, order: Sequence[str], key: str = "key", body: str = "body") -> DataFrame:
@@ -65,7 +83,7 @@ def served(cached: Column, network: Column) -> Column:
 
 
 def replay(requests: DataFrame, order: Sequence[str], clock: Column, key: str = "key", outcome: str = "outcome", body: str = "body") -> DataFrame:
-    """The reply to each GET request: adds cached, hit and served. Bodies of ok responses are not null.
+    """The reply to each GET request: adds cached, hit and served. A null body stores nothing.
 
     ``order`` must be unique within a key, or replies among equals are arbitrary; nulls come first. ``clock``, a bigint
     that does not decrease along ``order``, cuts a key's requests into periods. What a key's earlier periods stored comes
@@ -78,7 +96,7 @@ def replay(requests: DataFrame, order: Sequence[str], clock: Column, key: str =
     within = Window.partitionBy("_key", "_period").orderBy(*at)
     rows = rows.withColumn("_own", F.last("_stored", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)))
 
-    ends = requests.select(F.struct(F.col(key)).alias("_key"), F.coalesce(clock, F.lit(-(1 << 62))).alias("_period"), F.when(F.col(outcome) == "ok", F.struct(F.struct(*order).alias("o"), F.col(body).alias("b"))).alias("e"))
+    ends = requests.select(F.struct(F.col(key)).alias("_key"), F.coalesce(clock, F.lit(-(1 << 62))).alias("_period"), F.when((F.col(outcome) == "ok") & F.col(body).isNotNull(), F.struct(F.struct(*order).alias("o"), F.col(body).alias("b"))).alias("e"))
     ends = ends.groupBy("_key", "_period").agg(F.max("e").alias("e"))
     before = Window.partitionBy("_key").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_earlier", F.last("e.b", ignorenulls=True).over(before)).where("_earlier IS NOT NULL").select("_key", "_period", "_earlier")

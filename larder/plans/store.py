@@ -1,18 +1,23 @@
 """Versioned stores as folders of Parquet, published by a pointer that is written last.
 
-``<root>/versions/<name>`` holds the entries of a store, ``<root>/current`` the name of the published one. A load goes to
-a new folder and is complete before the pointer moves, so a failed load leaves the published version readable. Nothing
-is overwritten where it is read.
+``<root>/versions/<name>`` holds the entries of a store, ``<root>/current`` the name of the published one, and
+``<root>/created`` a numbered mark for each store, which tells their order however often a store is written to. A load goes
+to a folder of its own, is checked there as it was written, and moves into place complete, before the pointer moves; a
+failed load leaves the published version readable. Nothing is overwritten where it is read. Keys are kept in their
+canonical form, so two spellings of a key are one entry.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.keys import canonical_key
+
 
 class VersionedStore:
     """Keys and bodies (columns key, body) under named versions."""
@@ -28,41 +33,57 @@ class VersionedStore:
         return f"{self.root}/versions/{name}"
 
     def open(self, name: str) -> str:
-        """Create the store's folder if it is not there; opening twice is the same as once."""
+        """Create the store's folder and mark if they are not there; opening twice is the same as once."""
         self._files.mkdirs(self._path(self.folder(name)))
+        marks = self._marks()
+        if name not in marks.values():
+            self._files.create(self._path(f"{self.root}/created/{max(marks, default=0) + 1:012d}-{name}"), False).close()
         return self.folder(name)
 
+    def _list(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return sorted(x.getPath().getName() for x in self._files.listStatus(path)) if self._files.exists(path) else []
+
+    def _marks(self) -> dict[int, str]:
+        """Number and name of each store's mark."""
+        return {int(x[:12]): x[13:] for x in self._list("created") if not x.startswith(".")}
+
     def names(self) -> list[str]:
-        """The names of all stores, oldest first (one entry a version: a short list by design)."""
-        top = self._path(f"{self.root}/versions")
-        if not self._files.exists(top):
-            return []
-        found = [x for x in self._files.listStatus(top) if x.isDirectory()]
-        return [x.getPath().getName() for x in sorted(found, key=lambda x: (x.getModificationTime(), x.getPath().getName()))]
+        """The names of all stores in the order of their creation (one entry a version: a short list by design)."""
+        have = set(self._list("versions"))
+        return [name for _, name in sorted(self._marks().items()) if name in have]
 
     def load_all(self, name: str, keys: DataFrame, source: DataFrame) -> None:
         """Load every key of ``keys`` (column key) from ``source`` (key, ok, body), or nothing.
 
-        A key that the source lacks or has not ok fails the load before anything is written. Repeated keys are one; of
-        several sources of a key the one with the greatest body is taken.
+        A key that the source lacks or has not ok fails the load. What is checked is what was written, so a source that
+        changes meanwhile cannot pass unchecked. Repeated keys are one; of several sources of a key the one with the
+        greatest body is taken. A store is loaded once.
         """
-        asked = keys.select("key").distinct()
+        if self._files.exists(self._path(f"{self.folder(name)}/entries")):
+            raise ValueError(f"store {name} was loaded before")
+        asked = keys.select(canonical_key(F.col("key")).alias("key")).distinct()
+        source = source.withColumn("key", canonical_key(F.col("key")))
         found = source.groupBy("key").agg(F.max_by(F.struct("ok", "body"), F.struct(F.coalesce("ok", F.lit(False)), "body")).alias("r"))
         rows = asked.join(found, "key", "left").select("key", F.coalesce("r.ok", F.lit(False)).alias("ok"), "r.body")
-        bad = rows.where(~F.col("ok")).select("key").limit(10).collect()
+        loading = f"{self.root}/loading/{uuid.uuid4().hex}"
+        rows.write.parquet(loading)
+        bad = self.spark.read.schema(rows.schema).parquet(loading).where(~F.col("ok")).limit(10).collect()
         if bad:
-            raise ValueError(f"load of {name} failed, for example on: {[r[0] for r in bad]}")
-        rows.select("key", "body").write.parquet(f"{self.open(name)}/entries")
+            self._files.delete(self._path(loading), True)
+            raise ValueError(f"load of {name} failed, for example on: {[r.key for r in bad]}")
+        if not self._files.rename(self._path(loading), self._path(f"{self.open(name)}/entries")):
+            raise OSError(f"{loading} could not be moved")
 
     def put(self, name: str, entries: DataFrame, part: str) -> None:
         """Add a batch of written-through entries (key, body) to a store under a batch name; later names win."""
-        entries.select("key", "body").write.parquet(f"{self.open(name)}/put-{part}")
+        entries.select(canonical_key(F.col("key")).alias("key"), "body").write.parquet(f"{self.open(name)}/put-{part}")
 
     def read(self, name: str) -> DataFrame:
         """key, body of a store: the load, overlaid by the put batches in order of their names."""
         here = self._path(self.folder(name))
         parts = sorted(x.getPath().getName() for x in self._files.listStatus(here)) if self._files.exists(here) else []
-        frames = [self.spark.read.parquet(f"{self.folder(name)}/{p}").withColumn("_at", F.lit(i)) for i, p in enumerate(parts)]
+        frames = [self.spark.read.parquet(f"{self.folder(name)}/{p}").select("key", "body", F.lit(i).alias("_at")) for i, p in enumerate(parts)]
         if not frames:
             return self.spark.createDataFrame([], "key string, body string")
         both = frames[0]
@@ -102,6 +123,9 @@ class VersionedStore:
         gone = [n for n in self.names() if n != keep and n.startswith(namespace)]
         for n in gone:
             self._files.delete(self._path(self.folder(n)), True)
+        for number, n in self._marks().items():
+            if n in gone:
+                self._files.delete(self._path(f"{self.root}/created/{number:012d}-{n}"), False)
         return gone
 
     def install(self, name: str, keys: DataFrame, source: DataFrame, view: str | None = None) -> None:

@@ -2,7 +2,7 @@
 
 No table holds requests, stores or descriptors. Stand-ins: an event is a request (purchase: not GET; click, view: ok;
 signup: not ok; error: rejected; key props.k, body value), a page is a stored asset (host as store name, url as key), and
-the descriptor is the text below.
+every host of the pages has a descriptor like the one below, written to files and read back.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from larder.plans.store import VersionedStore, purged
 from larder.sources import descriptor
 from larder.streaming.replay import replay_batches
 
+#: A descriptor; the field names are fixed values of the web-app descriptor format.
 DESCRIPTOR = {
-    "name": "Reader", "short_name": "Rd", "description": "Opens documents", "start_url": "./start.html", "scope": "/en/", "display": "standalone", "background_color": "#102030", "theme_color": "#405060", "lang": "en",
+    "name": "Reader", "short_name": "Rd", "description": "Opens documents", "start_url": "./start.html", "scope": "../en/", "display": "standalone", "background_color": "#102030", "theme_color": "#405060", "lang": "en",
     "icons": [{"src": "i/small.png", "sizes": "192x192", "type": "image/png"}, {"src": "i/any.svg", "sizes": "any", "type": "image/svg+xml"}, {"src": "i/mask.png", "sizes": "512x256", "type": "image/png", "purpose": "maskable"}],
     "file_handlers": [{"action": "./open.html", "accept": {"text/html": [".html"], "application/xhtml+xml": [".html", ".xhtml"], "text/plain": []}, "icons": [{"src": "i/doc.png", "sizes": "64x64", "type": "image/png"}], "launch_type": "single-client"}],
 }
@@ -32,8 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see; only where the session names none, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larder-")
+    """A new folder that the driver and all executors see; a session in one process may name none, then a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="larder-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -89,14 +94,14 @@ def gate_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even pages as a store, and every third also in an older one: key page_id, body url."""
+    """Pages whose URL has no fragment as a store, and those whose URL has a query also in an older one: key page_id, body url."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("body"))
-    new = pages.where("key % 2 = 0").withColumn("created_ord", F.lit(2))
-    old = pages.where("key % 3 = 0").select("key", F.concat(F.lit("old:"), "body").alias("body"), F.lit(1).alias("created_ord"))
+    new = pages.where("body NOT LIKE '%#%'").withColumn("created_ord", F.lit(2))
+    old = pages.where("body LIKE '%?%'").select("key", F.concat(F.lit("old:"), "body").alias("body"), F.lit(1).alias("created_ord"))
     return new.unionByName(old)
 
 
-STORES = "s AS (SELECT page_id AS key, url AS body, 2 AS ord FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'old:' || url, 1 FROM pages WHERE page_id % 3 = 0)"
+STORES = "s AS (SELECT page_id AS key, url AS body, 2 AS ord FROM pages WHERE url NOT LIKE '%#%' UNION ALL SELECT page_id, 'old:' || url, 1 FROM pages WHERE url LIKE '%?%')"
 
 
 def lookup_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +112,26 @@ def lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.misses(requests(spark, sf_dir).select("req_id", "key"), page_store(spark, sf_dir))
 
 
+def lookup_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages looked up by URL over two stores, the older of which is written to last: it still answers first."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("key"))
+    assets = pages.select(keys.canonical_key(F.col("key")).alias("key")).distinct().select("key", F.lit(True).alias("ok"), F.concat(F.lit("v1:"), "key").alias("body"))
+    store = VersionedStore(spark, shared_dir(spark, "store"))
+    store.install("assets-v1", assets.where("key LIKE '%/en/%'").select("key"), assets)
+    store.install("assets-v2", assets.select("key"), assets.withColumn("body", F.concat(F.lit("v2:"), "key")))
+    store.put("assets-v1", assets.where("key LIKE '%?%'").withColumn("body", F.concat(F.lit("put:"), "key")), "0001")
+    return cache.lookup(pages, store.all_entries()).select("page_id", "hit", "cached")
+
+
+def lookup_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative keys that requests spell ``./a#f`` and the store ``a``, and the other way round."""
+    path = F.substr(keys.canonical_key(F.try_parse_url("url", F.lit("PATH"))), F.lit(2))
+    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), (F.col("url").contains("?")).alias("dotted"))
+    stored = pages.select(F.when(F.col("dotted"), F.col("path")).otherwise(F.concat(F.lit("./"), "path")).alias("key"), F.lit(1).alias("created_ord"), F.col("path").alias("body"))
+    asked = pages.select("page_id", F.when(F.col("dotted"), F.concat(F.lit("./"), "path", F.lit("#f"))).otherwise(F.col("path")).alias("key"))
+    return cache.lookup(asked, stored).select("page_id", "hit", "cached")
+
+
 def put_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = requests(spark, sf_dir).where(cache.is_get(F.col("method")) & (F.col("outcome") == "ok"))
     return cache.latest(rows, ["arrival", "req_id"])
@@ -141,8 +166,11 @@ def canon_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.try_parse_url("url", F.lit("PATH"))
-    return table(spark, sf_dir, "pages").select("page_id", keys.in_scope(path, F.lit(DESCRIPTOR["scope"])).alias("in_scope"))
+    """Whether a page lies in the scope of its host's descriptor, which is relative to the descriptor's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", keys.host(F.col("url")).alias("name"))
+    scopes = broadcast_if_small(apps(spark, sf_dir).select("name", "scope"))
+    rows = pages.join(scopes, "name", "left").withColumn("_base", F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.lit(PLACE)))
+    return rows.select("page_id", keys.in_scope(F.col("url"), keys.resolved(F.col("scope"), F.col("_base"))).alias("in_scope"))
 
 
 def install_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,33 +183,47 @@ def install_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.all_entries().select("store_name", "key", "body")
 
 
-def apps(spark: SparkSession) -> DataFrame:
-    text = spark.createDataFrame([(json.dumps(DESCRIPTOR),)], "text string")
-    return text.select(descriptor.parse_descriptor(F.col("text")).alias("d")).select("d.*")
+#: Where a host's descriptor lies.
+PLACE = "/app/site.json"
+
+
+def broadcast_if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows of a few short columns with a broadcast hint if they are at most ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptors of all hosts, one a line, written to files and read back. A host with a www name has a short one too."""
+    path, given = shared_dir(spark, "descriptors"), json.dumps(DESCRIPTOR)
+    hosts = list_stores(spark, sf_dir).where("store_name IS NOT NULL")
+    text = hosts.select(F.replace(F.replace(F.lit(given), F.lit('"Reader"'), F.concat(F.lit('"'), "store_name", F.lit('"'))), F.lit('"lang": "en"'), F.when(F.col("store_name").startswith("www."), '"lang": "de"').otherwise('"lang": "en"')))
+    text.write.text(path)
+    return descriptor.read_descriptor(spark, path, lines=True)
 
 
 def app_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descriptor.metadata(apps(spark))
+    found = apps(spark, sf_dir)
+    return descriptor.metadata(descriptor.located(found, F.concat(F.lit("https://"), "name", F.lit(PLACE))))
 
 
 def app_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = descriptor.icons(apps(spark)).withColumn("action", F.lit(None).cast("string"))
-    return both.unionByName(descriptor.handler_icons(apps(spark))).drop("name")
+    found = apps(spark, sf_dir)
+    return descriptor.icons(found).withColumn("action", F.lit(None).cast("string")).unionByName(descriptor.handler_icons(found))
 
 
 def app_accepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descriptor.accepted(apps(spark)).drop("name")
+    return descriptor.accepted(apps(spark, sf_dir))
 
 
 def route_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose extension a file handler opens."""
-    return descriptor.route_files(table(spark, sf_dir, "pages").select("page_id", "url"), descriptor.routes(apps(spark)), "url").select("page_id", "ext", "action")
+    return descriptor.route_files(table(spark, sf_dir, "pages").select("page_id", "url"), descriptor.routes(apps(spark, sf_dir)), "url").select("page_id", "ext", "action")
 
 
 def launch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of one host opened together."""
     files = table(spark, sf_dir, "pages").select("url", keys.host(F.col("url")).alias("launch_id"))
-    return descriptor.launches(files, descriptor.routes(apps(spark)), "url").select("launch_id", "action", F.array_join("files", " ").alias("files"))
+    return descriptor.launches(files, descriptor.routes(apps(spark, sf_dir)), "url").select("launch_id", "action", F.array_join("files", " ").alias("files"))
 
 
 ICONS = "('i/small.png', '192x192', 192, 192, 'image/png', 'any', NULL), ('i/any.svg', 'any', NULL, NULL, 'image/svg+xml', 'any', NULL), ('i/mask.png', '512x256', 512, 256, 'image/png', 'maskable', NULL), ('i/doc.png', '64x64', 64, 64, 'image/png', 'any', './open.html')"
@@ -190,7 +232,7 @@ PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
 QUERIES = {
     f.__name__: f
-    for f in (replay_swr, replay_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, app_metadata, app_icons, app_accepts, route_ext, launch)
+    for f in (replay_swr, replay_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, lookup_order, lookup_spelling, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, app_metadata, app_icons, app_accepts, route_ext, launch)
 }
 
 SQL = {
@@ -200,6 +242,8 @@ SQL = {
     "gate_ok": f"WITH {REQUESTS} SELECT req_id, coalesce(outcome = 'ok', false) AS admitted FROM r",
     "lookup_hit": f"WITH {REQUESTS}, {STORES}, f AS (SELECT key, arg_min(body, ord) AS body FROM s GROUP BY key) SELECT req_id, r.key, f.key IS NOT NULL AS hit, f.body AS cached FROM r LEFT JOIN f ON r.key = f.key",
     "lookup_miss": f"WITH {REQUESTS}, {STORES} SELECT key, req_id FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.key = r.key)",
+    "lookup_order": "WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS key FROM pages) SELECT page_id, true AS hit, CASE WHEN key LIKE '%?%' THEN 'put:' WHEN key LIKE '%/en/%' THEN 'v1:' ELSE 'v2:' END || key AS cached FROM p",
+    "lookup_spelling": f"SELECT page_id, true AS hit, substr({PATH}, 2) AS cached FROM pages",
     "put_latest": f"WITH {REQUESTS} SELECT key, arg_max(body, (arrival, req_id)) AS body FROM r WHERE outcome = 'ok' GROUP BY key",
     "tee": f"WITH {REQUESTS} SELECT req_id, body, target FROM r, (VALUES ('client'), ('cache')) t(target)",
     "recover": f"WITH {REQUESTS}, {STORES}, f AS (SELECT key, arg_min(body, ord) AS body FROM s GROUP BY key), j AS (SELECT req_id, f.body AS cached, CASE WHEN outcome = 'rejected' THEN f.body ELSE CAST(CAST(r.body AS DECIMAL(20,4)) AS VARCHAR) END AS network FROM r LEFT JOIN f ON r.key = f.key) SELECT req_id, CAST(length(network) AS INTEGER) AS network_len, CAST(length(coalesce(cached, network)) AS INTEGER) AS served_len FROM j",
@@ -208,9 +252,9 @@ SQL = {
     "canon_key": "SELECT page_id, regexp_replace(url, '#.*$', '') AS key FROM pages",
     "scoped": f"SELECT page_id, starts_with({PATH}, '/en/') AS in_scope FROM pages",
     "install_store": "SELECT 'assets-v2' AS store_name, regexp_replace(url, '#.*$', '') AS key, max(sha256(html)) AS body FROM pages GROUP BY ALL",
-    "app_metadata": "SELECT 'Reader' AS name, 'Rd' AS short_name, 'Opens documents' AS description, 'en' AS lang, './start.html' AS start_url, '/en/' AS scope, 'standalone' AS display, '#102030' AS background_color, '#405060' AS theme_color",
-    "app_icons": f"SELECT src, sizes, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, type, purpose, CAST(action AS VARCHAR) AS action FROM (VALUES {ICONS}) t(src, sizes, width, height, type, purpose, action)",
-    "app_accepts": "SELECT './open.html' AS action, 'single-client' AS launch_type, mime, ext FROM (VALUES ('text/html', '.html'), ('application/xhtml+xml', '.html'), ('application/xhtml+xml', '.xhtml')) t(mime, ext)",
+    "app_metadata": f"SELECT host AS name, 'Rd' AS short_name, 'Opens documents' AS description, CASE WHEN starts_with(host, 'www.') THEN 'de' ELSE 'en' END AS lang, 'https://' || host || '/app/start.html' AS start_url, 'https://' || host || '/en/' AS scope, 'standalone' AS display, '#102030' AS background_color, '#405060' AS theme_color FROM (SELECT DISTINCT {HOST} AS host FROM pages)",
+    "app_icons": f"SELECT host AS name, src, sizes, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, type, purpose, CAST(action AS VARCHAR) AS action FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES {ICONS}) t(src, sizes, width, height, type, purpose, action)",
+    "app_accepts": f"SELECT host AS name, './open.html' AS action, 'single-client' AS launch_type, mime, ext FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES ('text/html', '.html'), ('application/xhtml+xml', '.html'), ('application/xhtml+xml', '.xhtml')) t(mime, ext)",
     "route_ext": f"SELECT page_id, '.html' AS ext, './open.html' AS action FROM pages WHERE lower({PATH}) LIKE '%.html'",
     "launch": f"SELECT {HOST} AS launch_id, './open.html' AS action, string_agg(url, ' ' ORDER BY url) AS files FROM pages WHERE lower({PATH}) LIKE '%.html' GROUP BY ALL",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.keys import extension, size_part
+from larder.functions.keys import extension, resolved, size_part
 
 ICON = "STRUCT<src:STRING, sizes:STRING, type:STRING, purpose:STRING>"
 SCHEMA = f"""name STRING, short_name STRING, description STRING, start_url STRING, scope STRING, display STRING,
@@ -16,9 +16,15 @@ background_color STRING, theme_color STRING, lang STRING, icons ARRAY<{ICON}>,
 file_handlers ARRAY<STRUCT<action:STRING, accept:MAP<STRING,ARRAY<STRING>>, icons:ARRAY<{ICON}>, launch_type:STRING>>"""
 
 
-def read_descriptor(spark: SparkSession, path: str) -> DataFrame:
-    """One row a descriptor file; a malformed file is a row of nulls."""
-    return spark.read.schema(SCHEMA).json(path, multiLine=True)
+def read_descriptor(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row a descriptor file, or with ``lines`` one a line; a malformed one is a row of nulls."""
+    return spark.read.schema(SCHEMA).json(path, multiLine=not lines)
+
+
+def located(apps: DataFrame, url: Column) -> DataFrame:
+    """The descriptors with entry URL, scope and actions as absolute URLs, seen from ``url``, where each was read."""
+    handler = lambda h: h.withField("action", resolved(h["action"], url))
+    return apps.withColumns({"start_url": resolved(F.col("start_url"), url), "scope": resolved(F.col("scope"), url), "file_handlers": F.transform("file_handlers", handler)})
 
 
 def parse_descriptor(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """Replay of a request stream with keyed state.
 
-The state of a key is the last ok body. The rows of a key in a micro-batch are sorted by arrival; a row that comes in a
+The state of a key is the last ok body that is not null. The rows of a key in a micro-batch are sorted by arrival; a row that comes in a
 later batch is applied then, whatever its time. State has no expiry, as the batch replay has none: it grows with the
 number of keys.
 
@@ -27,10 +27,10 @@ def replay_key(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.
     last = state.get[0] if state.exists else None
     rows = pd.concat(parts).sort_values(["arrival", "req_id"])
     cached, served = [], []
-    for outcome, body in zip(rows["outcome"], rows["body"], strict=True):
+    for outcome, body in zip(rows["outcome"], rows["body"].astype(object).where(rows["body"].notna(), None), strict=True):
         cached.append(last)
         served.append(last if last is not None else None if outcome == "rejected" else body)
-        if outcome == "ok":
+        if outcome == "ok" and body is not None:
             last = float(body)
     if last is not None:
         state.update((last,))
@@ -52,7 +52,7 @@ def replay_batches(requests: DataFrame, folder: str, marks: str, order: Sequence
 
     def apply(batch: DataFrame, number: int) -> None:
         spark, key = batch.sparkSession, F.struct(F.col("key")).alias("_key")  # a null key is a key like any other
-        stored = cache.latest(batch.where(F.col("outcome") == "ok"), order).select("key", "body")
+        stored = cache.latest(batch.where((F.col("outcome") == "ok") & F.col("body").isNotNull()), order).select("key", "body")
         before = spark.read.schema(stored.schema).parquet(f"{folder}/state/{number - 1}") if number else stored.where(F.lit(False))
         rows = cache.replay(batch, order, clock).withColumn("_key", F.struct(F.col("key"))).join(before.select(key, F.col("body").alias("_last")), "_key", "left")
         cached = F.coalesce("cached", "_last")

@@ -108,3 +108,11 @@ def test_preference(spark):
 def test_tee(spark):
     got = cache.tee(spark.createDataFrame([(1, "b")], "req_id int, body string")).collect()
     assert {(r.req_id, r.body, r.target) for r in got} == {(1, "b", "client"), (1, "b", "cache")}
+
+
+def test_outcomes_of_statuses(spark):
+    rows = [(200, None), (299, None), (206, None), (304, None), (404, None), (None, None), (200, "reset"), (None, "reset")]
+    got = spark.createDataFrame(rows, "status int, error string").select(cache.outcome_of(F.col("status"), F.col("error")).alias("o"), "status")
+    got = got.select("o", cache.admitted(F.col("o") == "ok", F.col("status")).alias("a")).collect()
+    assert [r.o for r in got] == ["ok", "ok", "ok", "not_ok", "not_ok", "rejected", "rejected", "rejected"]
+    assert [r.a for r in got] == [True, True, False, False, False, False, False, False]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import keys
 from larder.sources import descriptor, documents
 
+# The field names of the web-app descriptor format.
 APP = {
     "name": "A", "start_url": "./i.html", "scope": "./", "lang": "en",
     "icons": [{"src": "a", "sizes": "192x128", "type": "image/png"}, {"src": "b", "sizes": "any", "purpose": "maskable"}],
@@ -55,7 +56,7 @@ def test_malformed_descriptor(spark, tmp_path):
 def test_keys(spark):
     rows = [("https://h.org/a/b.HTML?x=1.js#f",), ("./i/x.tar.gz",), ("i/x",), ("http://h.org",), (None,)]
     got = spark.createDataFrame(rows, "u string").select(keys.canonical_key(F.col("u")).alias("k"), keys.extension(F.col("u")).alias("e"), keys.relative_key(F.col("u")).alias("r"), keys.host(F.col("u")).alias("h")).collect()
-    assert [r.k for r in got] == ["https://h.org/a/b.HTML?x=1.js", "./i/x.tar.gz", "i/x", "http://h.org", None]
+    assert [r.k for r in got] == ["https://h.org/a/b.HTML?x=1.js", "i/x.tar.gz", "i/x", "http://h.org", None]
     assert [r.e for r in got] == [".html", ".gz", "", "", None]
     assert [r.r for r in got][1] == "i/x.tar.gz"
     assert [r.h for r in got] == ["h.org", None, None, "h.org", None]
@@ -78,3 +79,27 @@ def test_documents(spark, tmp_path):
     (folder / "bad.xml").write_text("<doc><n>1</doc>")
     got = documents.read_xml(spark, f"file://{folder}/bad.xml", "doc", "n string, _corrupt_record string").collect()
     assert got[0]._corrupt_record
+
+
+def relative_urls():
+    base = "https://h.org/a/b/site.json?x#y"
+    want = {
+        "./": "https://h.org/a/b/", ".": "https://h.org/a/b/", "c": "https://h.org/a/b/c", "./c/": "https://h.org/a/b/c/", "../": "https://h.org/a/", "../../../c?q=../#f": "https://h.org/c?q=../#f",
+        "/c/./d": "https://h.org/c/d", "//k.org/x": "https://k.org/x", "http://k.org/./x": "http://k.org/./x", "mailto:a": "mailto:a",
+    }
+    return base, want
+
+
+def test_resolved(spark):
+    base, want = relative_urls()
+    rows = [(u, base) for u in want] + [("./", "https://h.org"), (None, base)]
+    got = spark.createDataFrame(rows, "u string, b string").select("u", "b", keys.resolved(F.col("u"), F.col("b")).alias("r")).collect()
+    assert {r.u: r.r for r in got if r.b == base and r.u} == want
+    assert [r.r for r in got][-2:] == ["https://h.org/", None]
+
+
+def test_located_descriptor_scopes_pages(spark, tmp_path):
+    app = descriptor.located(apps(spark, tmp_path), F.lit("https://h.org/app/site.json")).collect()[0]
+    assert (app.start_url, app.scope, app.file_handlers[0].action) == ("https://h.org/app/i.html", "https://h.org/app/", "https://h.org/app/open")
+    rows = spark.createDataFrame([("https://h.org/app/x",), ("https://h.org/apple",)], "u string").select(keys.in_scope(F.col("u"), F.lit(app.scope)).alias("s"))
+    assert [r.s for r in rows.collect()] == [True, False]

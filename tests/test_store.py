@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from larder.operators import cache
 from larder.plans.store import VersionedStore, purged
 
 
@@ -66,3 +70,41 @@ def test_empty(store):
 def test_purged_names(spark):
     names = spark.createDataFrame([("v1",), ("v2",), ("v3",), (None,)], "store_name string")
     assert {r[0] for r in purged(names, "v3").collect()} == {"v1", "v2", None}
+
+
+def test_a_put_does_not_make_a_store_younger(spark, store):
+    """Order is that of creation: the older store answers first, whenever it was written to last."""
+    store.install("v1", keys(spark, "a"), source(spark, ("a", True, "1")))
+    store.install("v2", keys(spark, "a", "b"), source(spark, ("a", True, "2"), ("b", True, "2")))
+    store.put("v1", spark.createDataFrame([("a", "9"), ("c", "9")], "key string, body string"), "0001")
+    assert store.names() == ["v1", "v2"]
+    asked = spark.createDataFrame([("a",), ("b",), ("./c#x",), ("d",), (None,)], "key string")
+    got = {r.key: (r.hit, r.cached) for r in cache.lookup(asked, store.all_entries()).collect()}
+    assert got == {"a": (True, "9"), "b": (True, "2"), "./c#x": (True, "9"), "d": (False, None), None: (False, None)}
+    store.purge("v2")
+    store.install("v1", keys(spark, "a"), source(spark, ("a", True, "3")))
+    assert store.names() == ["v2", "v1"]
+
+
+def test_spellings_of_a_key_are_one(spark, store):
+    store.install("v1", keys(spark, "./a", "a", "a#x"), source(spark, ("a#y", True, "1")))
+    store.put("v1", spark.createDataFrame([("./b", "2"), ("./././a", "3")], "key string, body string"), "0001")
+    assert entries(store.read("v1")) == {"a": "3", "b": "2"}
+    asked = spark.createDataFrame([("./a#f",), ("b",), ("c",)], "key string")
+    assert {r.key for r in cache.misses(asked, store.all_entries()).collect()} == {"c"}
+
+
+def test_a_source_that_changes_is_checked_as_written(spark, store):
+    """Each run of the plan gives another answer; what is published was checked."""
+    tries = spark.sparkContext.accumulator(0)
+    flaky = F.udf(lambda _: tries.add(1) or time.time_ns() % 2 == 0, "boolean").asNondeterministic()
+    many = spark.range(4).select(F.col("id").cast("string").alias("key"))
+    for i in range(3):
+        try:
+            store.load_all(f"v{i}", many, many.select("key", flaky("key").alias("ok"), F.lit("x").alias("body")))
+            assert store.read(f"v{i}").count() == 4
+        except ValueError:
+            assert f"v{i}" not in store.names()
+    with pytest.raises(ValueError, match="loaded before"):
+        store.load_all("w", keys(spark, "a"), source(spark, ("a", True, "1")))
+        store.load_all("w", keys(spark, "a"), source(spark, ("a", True, "1")))

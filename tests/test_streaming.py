@@ -55,3 +55,22 @@ def test_streamed_query_replays_by_periods(spark, monkeypatch):
     monkeypatch.setattr(replay.cache, "replay", lambda rows, *a: used.append(1) or plain(rows, *a))
     assert queries.replay_streamed(spark, "/root/testdata/sf0.001").count() == 798
     assert used
+
+
+def test_streams_and_the_batch_agree_on_null_bodies(spark, tmp_path):
+    """An ok response without a body stores nothing, in both streams as in the batch; null stays null."""
+    draw = random.Random(8)
+    rows = [(n, str(datetime(2020, 1, 1) + timedelta(hours=n)), draw.choice(["a", "b", None]), draw.choice(["ok", "not_ok", "rejected", None]), draw.choice([None, float(n)])) for n in range(300)]
+    folder = f"file://{tmp_path}/in"
+    for part in (rows[:100], rows[100:200], rows[200:]):
+        batch(spark, folder, part)
+    given = spark.read.schema(SCHEMA).parquet(folder)
+    want = {r.req_id: (r.cached, r.served) for r in replay.cache.replay(given, ["arrival", "req_id"], queries.day()).collect()}
+    assert any(v == (None, None) for v in want.values())
+    source = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 100).parquet(folder)
+    out, marks = f"file://{tmp_path}/out", f"file://{tmp_path}/marks"
+    replay.replay_batches(source(), out, marks, ["arrival", "req_id"], queries.day()).awaitTermination()
+    assert {r.req_id: (r.cached, r.served) for r in spark.read.parquet(f"{out}/replies").collect()} == want
+    run(spark, folder, f"{out}-2", f"{marks}-2")
+    got = {r.req_id: (r.cached, r.served) for r in spark.read.parquet(f"{out}-2").collect()}
+    assert got == want
