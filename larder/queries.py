@@ -221,9 +221,9 @@ def route_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def launch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one host opened together."""
+    """Pages of one host opened together, as rows: a host may have any number of pages."""
     files = table(spark, sf_dir, "pages").select("url", keys.host(F.col("url")).alias("launch_id"))
-    return descriptor.launches(files, descriptor.routes(apps(spark, sf_dir)), "url").select("launch_id", "action", F.array_join("files", " ").alias("files"))
+    return descriptor.opened(files, descriptor.routes(apps(spark, sf_dir)), "url")
 
 
 ICONS = "('i/small.png', '192x192', 192, 192, 'image/png', 'any', NULL), ('i/any.svg', 'any', NULL, NULL, 'image/svg+xml', 'any', NULL), ('i/mask.png', '512x256', 512, 256, 'image/png', 'maskable', NULL), ('i/doc.png', '64x64', 64, 64, 'image/png', 'any', './open.html')"
@@ -256,5 +256,5 @@ SQL = {
     "app_icons": f"SELECT host AS name, src, sizes, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, type, purpose, CAST(action AS VARCHAR) AS action FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES {ICONS}) t(src, sizes, width, height, type, purpose, action)",
     "app_accepts": f"SELECT host AS name, './open.html' AS action, 'single-client' AS launch_type, mime, ext FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES ('text/html', '.html'), ('application/xhtml+xml', '.html'), ('application/xhtml+xml', '.xhtml')) t(mime, ext)",
     "route_ext": f"SELECT page_id, '.html' AS ext, './open.html' AS action FROM pages WHERE lower({PATH}) LIKE '%.html'",
-    "launch": f"SELECT {HOST} AS launch_id, './open.html' AS action, string_agg(url, ' ' ORDER BY url) AS files FROM pages WHERE lower({PATH}) LIKE '%.html' GROUP BY ALL",
+    "launch": f"SELECT {HOST} AS launch_id, './open.html' AS action, '' AS window, url AS file FROM pages WHERE lower({PATH}) LIKE '%.html'",
 }
