@@ -193,7 +193,7 @@ def broadcast_if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The descriptors of all hosts, one a line, written to files and read back. A host with a www name has a short one too."""
+    """The descriptors of all hosts, one a line, written to files and read back; those of www hosts are in German."""
     path, given = shared_dir(spark, "descriptors"), json.dumps(DESCRIPTOR)
     hosts = list_stores(spark, sf_dir).where("store_name IS NOT NULL")
     text = hosts.select(F.replace(F.replace(F.lit(given), F.lit('"Reader"'), F.concat(F.lit('"'), "store_name", F.lit('"'))), F.lit('"lang": "en"'), F.when(F.col("store_name").startswith("www."), '"lang": "de"').otherwise('"lang": "en"')))
