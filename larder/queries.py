@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from larder.functions import keys
 from larder.operators import cache
 from larder.plans.store import VersionedStore, purged
-from larder.sources import descriptor
+from larder.sources import descriptor, documents
 from larder.streaming.replay import replay_batches
 
 #: A descriptor; the field names are fixed values of the web-app descriptor format.
@@ -183,6 +183,38 @@ def install_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.all_entries().select("store_name", "key", "body")
 
 
+def refused_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load with one key that its source lacks fails as a whole: the published store stays, and no other is there."""
+    pages = table(spark, sf_dir, "pages").select(keys.canonical_key(F.col("url")).alias("key"), F.lit(True).alias("ok"), F.sha2("html", 256).alias("body"))
+    store = VersionedStore(spark, shared_dir(spark, "store"))
+    store.install("assets-v1", pages.select("key"), pages)
+    try:
+        store.install("assets-v2", pages.select("key").unionByName(spark.range(1).select(F.lit("absent").alias("key"))), pages)
+    except ValueError:
+        return store.all_entries().select(F.lit(store.current()).alias("published"), "store_name", "key", "body")
+    raise AssertionError("a load without one of its keys went through")
+
+
+def rebound_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a view of the first version reads once the second is published and the first purged."""
+    pages = table(spark, sf_dir, "pages").select(keys.canonical_key(F.col("url")).alias("key"), F.lit(True).alias("ok"), F.sha2("html", 256).alias("body"))
+    store, view = VersionedStore(spark, shared_dir(spark, "store")), f"assets_{uuid.uuid4().hex}"
+    store.install("assets-v1", pages.where("key LIKE '%/en/%'").select("key"), pages, view=view)
+    store.install("assets-v2", pages.select("key"), pages)
+    store.activate("assets-v2", view=view)
+    read = spark.table(view)
+    spark.catalog.dropTempView(view)
+    return read.select("key", "body")
+
+
+def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as XML elements and read back: attributes and values stay text, leading zeros too."""
+    path = shared_dir(spark, "documents")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("_id"), F.format_string("%012d", "page_id").alias("number"), "url")
+    rows.write.format("xml").option("rootTag", "pages").option("rowTag", "page").save(path)
+    return documents.read_xml(spark, path, "page", "_id string, number string, url string").withColumnRenamed("_id", "id")
+
+
 #: Where a host's descriptor lies.
 PLACE = "/app/site.json"
 
@@ -232,7 +264,7 @@ PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
 QUERIES = {
     f.__name__: f
-    for f in (replay_swr, replay_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, lookup_order, lookup_spelling, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, app_metadata, app_icons, app_accepts, route_ext, launch)
+    for f in (replay_swr, replay_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, lookup_order, lookup_spelling, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, refused_load, rebound_view, xml_documents, app_metadata, app_icons, app_accepts, route_ext, launch)
 }
 
 SQL = {
@@ -252,6 +284,9 @@ SQL = {
     "canon_key": "SELECT page_id, regexp_replace(url, '#.*$', '') AS key FROM pages",
     "scoped": f"SELECT page_id, starts_with({PATH}, '/en/') AS in_scope FROM pages",
     "install_store": "SELECT 'assets-v2' AS store_name, regexp_replace(url, '#.*$', '') AS key, max(sha256(html)) AS body FROM pages GROUP BY ALL",
+    "refused_load": "SELECT 'assets-v1' AS published, 'assets-v1' AS store_name, regexp_replace(url, '#.*$', '') AS key, max(sha256(html)) AS body FROM pages GROUP BY ALL",
+    "rebound_view": "SELECT regexp_replace(url, '#.*$', '') AS key, max(sha256(html)) AS body FROM pages GROUP BY ALL",
+    "xml_documents": "SELECT CAST(page_id AS VARCHAR) AS id, printf('%012d', page_id) AS number, url FROM pages",
     "app_metadata": f"SELECT host AS name, 'Rd' AS short_name, 'Opens documents' AS description, CASE WHEN starts_with(host, 'www.') THEN 'de' ELSE 'en' END AS lang, 'https://' || host || '/app/start.html' AS start_url, 'https://' || host || '/en/' AS scope, 'standalone' AS display, '#102030' AS background_color, '#405060' AS theme_color FROM (SELECT DISTINCT {HOST} AS host FROM pages)",
     "app_icons": f"SELECT host AS name, src, sizes, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, type, purpose, CAST(action AS VARCHAR) AS action FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES {ICONS}) t(src, sizes, width, height, type, purpose, action)",
     "app_accepts": f"SELECT host AS name, './open.html' AS action, 'single-client' AS launch_type, mime, ext FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES ('text/html', '.html'), ('application/xhtml+xml', '.html'), ('application/xhtml+xml', '.xhtml')) t(mime, ext)",
