@@ -9,9 +9,11 @@ log(m / (n(h) + m)), and the empty context has an arc for every word.
 
 The automaton is never in one place. Texts are written as slices of about ``slice_tokens`` tokens. A slice asks for the
 counts of its distinct n-grams only: their sorted 64-bit keys are dealt out by key range, the counts of all slices are
-summed there, and every slice gets back one number for each key it asked for, in its order. With them it has each arc and
-failure arc that its texts can meet, and scores each text in one left-to-right traversal, whose state after a token is the
-pair that ends there. An n-gram of any frequency is one entry a slice, so no word or context is a hot key.
+summed there, and every slice gets back one number for each key it asked for, in its order. Words and pairs come first;
+then triples, but for those with a pair that no other slice has: all of these are in the slice, which counts them itself.
+With the counts it has each arc and failure arc that its texts can meet, and scores each text in one left-to-right
+traversal, whose state after a token is the pair that ends there. An n-gram of any frequency is one entry a slice, so no
+word or context is a hot key.
 
 Keys: a word's key is a 64-bit hash; words whose keys meet are found by 16 further bits of another hash, and another seed
 is taken. Keys of pairs and triples are mixes of their words' keys and could meet with a chance of n^2 / 2^65 for n of them.
@@ -122,28 +124,45 @@ class Slice:
     def by_text(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, np.flatnonzero(self.first))
 
+    def own(self, order: int, pad: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams, sorted by key, and how often training texts of this slice have them."""
+        all_ = self.grams(order, pad)
+        keys, n = np.unique(all_, return_counts=True)
+        held, m = np.unique(all_[np.repeat(self.held_out, self.size)], return_counts=True)
+        n[np.searchsorted(keys, held)] -= m
+        return keys, n
+
     def requests(self, seed: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(order, keys, counts in training texts, checks of words): the distinct n-grams, sorted by key."""
-        out = np.repeat(self.held_out, self.size)
+        """(order, keys, counts, checks of words): the distinct words and pairs."""
         pad = word_keys([PAD], seed, bits)[0][0]
-        for order in ORDERS:
-            all_ = self.grams(order, pad)
-            keys, n = np.unique(all_, return_counts=True)
-            held, m = np.unique(all_[out], return_counts=True)
-            n[np.searchsorted(keys, held)] -= m
+        for order in ORDERS[:2]:
+            keys, n = self.own(order, pad)
             checks = np.zeros(0, np.uint16)
             if order == 1:
                 checks = np.zeros(len(keys), np.uint16)
                 checks[np.searchsorted(keys, self.keys)] = self.checks
             yield order, keys, n, checks
 
-    def score(self, counts: dict[int, np.ndarray], seed: int, bits: int, tokens: int, types: int, docs: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n_known, base and score of each text, from the counts of the distinct n-grams of each order."""
+    def shared_triples(self, shared: np.ndarray, pad: np.uint64) -> np.ndarray:
+        """Whether other slices can have a distinct triple, from whether they have each distinct pair."""
+        _, at = np.unique(self.grams(2, pad), return_inverse=True)
+        pair = shared[at]
+        pair &= self.before(pair, True)
+        _, first = np.unique(self.grams(3, pad), return_index=True)
+        return pair[first]
+
+    def score(self, counts: dict[int, np.ndarray], shared: np.ndarray, seed: int, bits: int, tokens: int, types: int, docs: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n_known, base and score of each text, from the counts of the words, pairs and shared triples."""
         pad = word_keys([PAD], seed, bits)[0][0]
 
         def count(order: int) -> np.ndarray:
+            found = counts.pop(order)
+            if order > 2:
+                _, n = self.own(order, pad)
+                n[self.shared_triples(shared, pad)] = found
+                found = n
             _, at = np.unique(self.grams(order, pad), return_inverse=True)
-            return counts.pop(order)[at]
+            return found[at]
 
         n = count(1)
         p = (n + 1) / (tokens + types + 1)
@@ -201,45 +220,83 @@ def dealt(index: DataFrame, slices: int) -> DataFrame:
     return index.select("path").repartition(max(1, min(slices, 1 << 16)))
 
 
-def counted(index: DataFrame, slices: int, ranges: int, seed: int, bits: int) -> DataFrame:
-    """path, order, range, counts, types, clash: for each slice the counts of its n-grams (a written table).
-
-    ``types`` sums to the distinct words with a count; ``clash`` tells that two words have one key.
+ASKED = "path string, order int, range bigint, keys binary, n binary, checks binary"
+COUNTED = "path string, order int, range bigint, counts binary, shared binary, types bigint, clash boolean"
+
+
+def request(path: str, order: int, ranges: int, below: int, keys: np.ndarray, n: np.ndarray, checks: np.ndarray) -> pa.RecordBatch:
+    """A slice's sorted keys by key range, which is told by the 32 bits from ``below``."""
+    place = ((keys >> np.uint64(below)) * np.uint64(ranges)) >> np.uint64(32)
+    # Keys are sorted, so a range is a run of them.
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(place.astype(np.int64))) + 1, [len(keys)]]))
+    rows: list[tuple] = []
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        # Differences of sorted keys are smaller than keys.
+        rows.append((path, order, int(place[i]), pack(np.diff(keys[i:j], prepend=np.uint64(0))), pack(n[i:j].astype(np.int64)), pack(checks[i:j])))
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "order", "range", "keys", "n", "checks"])
+
+
+def add(group: pa.Table) -> pa.Table:
+    """The counts of all slices for the keys of one range; each slice gets those it asked for."""
+    order = group.column("order")[0].as_py()
+    keys = [np.cumsum(unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("keys")]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    # Counts are whole numbers; their sum is exact in floats below 2^53.
+    total = np.bincount(at, np.concatenate([unpack(x.as_py(), np.int64) for x in group.column("n")]), len(distinct)).astype(np.int64)
+    clash = False
+    if order == 1:
+        checks = np.concatenate([unpack(x.as_py(), np.uint16) for x in group.column("checks")])
+        one = np.zeros(len(distinct), np.uint16)
+        one[at] = checks
+        clash = bool((one[at] != checks).any())
+    several = np.bincount(at, minlength=len(distinct)) > 1 if order == 2 else np.zeros(0, bool)
+    rows, end = [], 0
+    for k in keys:
+        mine, end = at[end : end + len(k)], end + len(k)
+        rows.append((pack(total[mine]), pack(several[mine]) if order == 2 else b"", int((total > 0).sum()) if order == 1 and not rows else 0, clash))
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
+    return pa.table([*(group.column(c) for c in ("path", "order", "range")), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["path", "order", "range", "counts", "shared", "types", "clash"])
+
+
+def joined(group: pa.Table, column: str, order: int, kind: type) -> np.ndarray:
+    """A slice's numbers of all ranges, in the order of its keys."""
+    rows = sorted((r, x) for o, r, x in zip(*(group.column(c).to_pylist() for c in ("order", "range", column)), strict=True) if o == order)
+    return np.concatenate([np.zeros(0, kind), *(unpack(x, kind) for _, x in rows)])
+
+
+def counted(asked: DataFrame) -> DataFrame:
+    """The counts of n-grams, a row for each request (a written table).
+
+    ``types`` sums to the distinct words with a count; ``clash`` tells that two words have one key; ``shared`` tells of pairs
+    whether several slices have them.
     """
+    return saved(asked.groupBy("order", "range").applyInArrow(add, COUNTED), "counts")
+
+
+def words_and_pairs(index: DataFrame, slices: int, ranges: int, seed: int, bits: int) -> DataFrame:
+    """The counts of the words and pairs of each slice."""
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
                 for order, keys, n, checks in Slice.read(path).requests(seed, bits):
-                    # Keys are sorted, so a range is a run of them.
-                    place = ((keys >> np.uint64(bits - 32 if order == 1 else 32)) * np.uint64(ranges)) >> np.uint64(32)
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(place.astype(np.int64))) + 1, [len(keys)]])
-                    rows = {c: [] for c in ("path", "order", "range", "keys", "n", "checks")}
-                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                        # Differences of sorted keys are smaller than keys.
-                        for c, x in zip(rows, (path, order, int(place[i]), pack(np.diff(keys[i:j], prepend=np.uint64(0))), pack(n[i:j].astype(np.int64)), pack(checks[i:j])), strict=True):
-                            rows[c].append(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], list(rows))
-
-    def add(group: pa.Table) -> pa.Table:
-        order = group.column("order")[0].as_py()
-        keys = [np.cumsum(unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("keys")]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        # Counts are whole numbers; their sum is exact in floats below 2^53.
-        total = np.bincount(at, np.concatenate([unpack(x.as_py(), np.int64) for x in group.column("n")]), len(distinct)).astype(np.int64)
-        clash = False
-        if order == 1:
-            checks = np.concatenate([unpack(x.as_py(), np.uint16) for x in group.column("checks")])
-            one = np.zeros(len(distinct), np.uint16)
-            one[at] = checks
-            clash = bool((one[at] != checks).any())
-        ends = np.cumsum([len(k) for k in keys])
-        counts = [pack(total[at[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
-        types = [int((total > 0).sum()) if order == 1 and i == 0 else 0 for i in range(len(keys))]
-        return pa.table([group.column("path"), group.column("order"), group.column("range"), pa.array(counts, pa.binary()), pa.array(types), pa.array([clash] * len(keys))], ["path", "order", "range", "counts", "types", "clash"])
+                    yield request(path, order, ranges, bits - 32 if order == 1 else 32, keys, n, checks)
+
+    return counted(dealt(index, slices).mapInArrow(ask, ASKED))
+
+
+def triples(counts: DataFrame, ranges: int, seed: int, bits: int) -> DataFrame:
+    """The counts of the triples of each slice that others can have."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        path, pad = group.column("path")[0].as_py(), word_keys([PAD], seed, bits)[0][0]
+        part = Slice.read(path)
+        at = part.shared_triples(joined(group, "shared", 2, bool), pad)
+        keys, n = part.own(3, pad)
+        return pa.Table.from_batches([request(path, 3, ranges, 32, keys[at], n[at], np.zeros(0, np.uint16))])
 
-    asked = dealt(index, slices).mapInArrow(ask, "path string, order int, range bigint, keys binary, n binary, checks binary")
-    return saved(asked.groupBy("order", "range").applyInArrow(add, "path string, order int, range bigint, counts binary, types bigint, clash boolean"), "counts")
+    return counted(counts.where("order = 2").select("path", "order", "range", "shared").groupBy("path").applyInArrow(ask, ASKED))
 
 
 def score(docs: DataFrame, held_out: str = "held_out", weights: tuple[float, float] = (256.0, 2.0), slice_tokens: int = 3_000_000, range_bytes: int = 8 << 20, bits: int = 64, seeds: Iterable[int] = range(256)) -> DataFrame:
@@ -255,7 +312,7 @@ def score(docs: DataFrame, held_out: str = "held_out", weights: tuple[float, flo
     for seed in seeds:
         index = write_slices(rows, seed, slice_tokens, bits)
         slices, n, n_docs = index.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
-        counts = counted(index, slices, ranges, seed, bits)
+        counts = words_and_pairs(index, slices, ranges, seed, bits)
         v, clash = counts.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.max("clash"), F.lit(False))).first()
         if not clash:
             break
@@ -263,14 +320,13 @@ def score(docs: DataFrame, held_out: str = "held_out", weights: tuple[float, flo
         raise ValueError("no seed tells the words apart")
 
     def answer(group: pa.Table) -> pa.Table:
-        mine = {order: [] for order in ORDERS}
-        for order, _, data in sorted(zip(*(group.column(c).to_pylist() for c in ("order", "range", "counts")), strict=True)):
-            mine[order].append(unpack(data, np.int64))
+        mine = {order: joined(group, "counts", order, np.int64) for order in ORDERS}
         part = Slice.read(group.column("path")[0].as_py())
-        known, base, found = part.score({k: np.concatenate(x) for k, x in mine.items()}, seed, bits, n, v, n_docs, weights)
+        known, base, found = part.score(mine, joined(group, "shared", 2, bool), seed, bits, n, v, n_docs, weights)
         return pa.table({"doc_id": pa.array(part.doc_ids, schema_kind), "held_out": part.held_out, "n_tokens": part.size, "n_known": known, "train_tokens": np.full(len(known), n), "base_score": base, "score": found})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema_kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    return counts.select("path", "order", "range", "counts").groupBy("path").applyInArrow(answer, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    both = counts.unionByName(triples(counts, ranges, seed, bits)).select("path", "order", "range", "counts", "shared")
+    return both.groupBy("path").applyInArrow(answer, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
