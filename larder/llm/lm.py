@@ -118,8 +118,11 @@ class Slice:
         word = self.keys[self.tokens]
         if order == 1:
             return word
-        pair = mixed(self.before(word, pad), word)
-        return pair if order == 2 else mixed(self.before(pair, pad), word)
+        keys = mixed(self.before(word, pad), word)
+        if order > 2:
+            keys = self.before(keys, pad)  # the pairs themselves are not held any longer
+            keys = mixed(keys, word)
+        return keys
 
     def by_text(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, np.flatnonzero(self.first))
@@ -158,18 +161,20 @@ class Slice:
         def count(order: int) -> np.ndarray:
             found = counts.pop(order)
             if order > 2:
+                at = self.shared_triples(shared, pad)
                 _, n = self.own(order, pad)
-                n[self.shared_triples(shared, pad)] = found
+                n[at] = found
                 found = n
             _, at = np.unique(self.grams(order, pad), return_inverse=True)
             return found[at]
 
+        last = count(3)  # before other arrays are held
         n = count(1)
         p = (n + 1) / (tokens + types + 1)
         known, base = self.by_text((n > 0).astype(np.int64)), self.by_text(np.log10(p))
         state = self.before(n, docs)  # the count of the context of one word before each token
         for order, weight in zip(ORDERS[1:], weights, strict=True):
-            n = count(order)
+            n = last if order > 2 else count(order)
             if order > 2:
                 n[self.first] = 0  # the context of two words has not been entered
             shorter = p
@@ -265,6 +270,11 @@ def joined(group: pa.Table, column: str, order: int, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(unpack(x, kind) for _, x in rows)])
 
 
+def by_slice(rows: DataFrame, slices: int):
+    """Groups of one slice each. Their number of tasks is set, as their bytes say little of their work."""
+    return rows.repartition(max(1, min(slices, 1 << 16)), "path").groupBy("path")
+
+
 def counted(asked: DataFrame) -> DataFrame:
     """The counts of n-grams, a row for each request (a written table).
 
@@ -286,7 +296,7 @@ def words_and_pairs(index: DataFrame, slices: int, ranges: int, seed: int, bits:
     return counted(dealt(index, slices).mapInArrow(ask, ASKED))
 
 
-def triples(counts: DataFrame, ranges: int, seed: int, bits: int) -> DataFrame:
+def triples(counts: DataFrame, slices: int, ranges: int, seed: int, bits: int) -> DataFrame:
     """The counts of the triples of each slice that others can have."""
 
     def ask(group: pa.Table) -> pa.Table:
@@ -296,7 +306,7 @@ def triples(counts: DataFrame, ranges: int, seed: int, bits: int) -> DataFrame:
         keys, n = part.own(3, pad)
         return pa.Table.from_batches([request(path, 3, ranges, 32, keys[at], n[at], np.zeros(0, np.uint16))])
 
-    return counted(counts.where("order = 2").select("path", "order", "range", "shared").groupBy("path").applyInArrow(ask, ASKED))
+    return counted(by_slice(counts.where("order = 2").select("path", "order", "range", "shared"), slices).applyInArrow(ask, ASKED))
 
 
 def score(docs: DataFrame, held_out: str = "held_out", weights: tuple[float, float] = (256.0, 2.0), slice_tokens: int = 3_000_000, range_bytes: int = 8 << 20, bits: int = 64, seeds: Iterable[int] = range(256)) -> DataFrame:
@@ -328,5 +338,5 @@ def score(docs: DataFrame, held_out: str = "held_out", weights: tuple[float, flo
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema_kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    both = counts.unionByName(triples(counts, ranges, seed, bits)).select("path", "order", "range", "counts", "shared")
-    return both.groupBy("path").applyInArrow(answer, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    both = counts.unionByName(triples(counts, slices, ranges, seed, bits)).select("path", "order", "range", "counts", "shared")
+    return by_slice(both, slices).applyInArrow(answer, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
