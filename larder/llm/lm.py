@@ -275,13 +275,13 @@ def by_slice(rows: DataFrame, slices: int):
     return rows.repartition(max(1, min(slices, 1 << 16)), "path").groupBy("path")
 
 
-def counted(asked: DataFrame) -> DataFrame:
-    """The counts of n-grams, a row for each request (a written table).
+def counted(asked: DataFrame, ranges: int) -> DataFrame:
+    """The counts of n-grams, a row for each request (a written table); tasks are as many as ranges of keys.
 
     ``types`` sums to the distinct words with a count; ``clash`` tells that two words have one key; ``shared`` tells of pairs
     whether several slices have them.
     """
-    return saved(asked.groupBy("order", "range").applyInArrow(add, COUNTED), "counts")
+    return saved(asked.repartition(min(ranges, 1 << 16), "order", "range").groupBy("order", "range").applyInArrow(add, COUNTED), "counts")
 
 
 def words_and_pairs(index: DataFrame, slices: int, ranges: int, seed: int, bits: int) -> DataFrame:
@@ -293,7 +293,7 @@ def words_and_pairs(index: DataFrame, slices: int, ranges: int, seed: int, bits:
                 for order, keys, n, checks in Slice.read(path).requests(seed, bits):
                     yield request(path, order, ranges, bits - 32 if order == 1 else 32, keys, n, checks)
 
-    return counted(dealt(index, slices).mapInArrow(ask, ASKED))
+    return counted(dealt(index, slices).mapInArrow(ask, ASKED), ranges)
 
 
 def triples(counts: DataFrame, slices: int, ranges: int, seed: int, bits: int) -> DataFrame:
@@ -306,7 +306,7 @@ def triples(counts: DataFrame, slices: int, ranges: int, seed: int, bits: int) -
         keys, n = part.own(3, pad)
         return pa.Table.from_batches([request(path, 3, ranges, 32, keys[at], n[at], np.zeros(0, np.uint16))])
 
-    return counted(by_slice(counts.where("order = 2").select("path", "order", "range", "shared"), slices).applyInArrow(ask, ASKED))
+    return counted(by_slice(counts.where("order = 2").select("path", "order", "range", "shared"), slices).applyInArrow(ask, ASKED), ranges)
 
 
 def score(docs: DataFrame, held_out: str = "held_out", weights: tuple[float, float] = (256.0, 2.0), slice_tokens: int = 3_000_000, range_bytes: int = 8 << 20, bits: int = 64, seeds: Iterable[int] = range(256)) -> DataFrame:
