@@ -53,12 +53,18 @@ def broadcast_if_small(table: DataFrame, rows: int = 1_000_000, size: int = 64 <
 def with_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: int = 1_000_000) -> DataFrame:
     """``rows`` joined on ``key`` with a written table that has each key once, however many rows share a key.
 
-    A small table is broadcast. Else the rows of a key with more than ``hot`` rows are dealt out over salts, and the table's
-    row of that key is copied for each; there is at most one such key for each ``hot`` rows.
+    A small table is broadcast, else the join is ``salted``.
     """
     small = broadcast_if_small(table)
-    if small is not table:
-        return rows.join(small, key, how)
+    return salted(rows, table, key, how, hot) if small is table else rows.join(small, key, how)
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: int = 1_000_000) -> DataFrame:
+    """The same by a shuffle join, for a table that need not be written.
+
+    The rows of a key with more than ``hot`` rows are dealt out over salts, and the table's row of that key is copied for
+    each; there is at most one such key for each ``hot`` rows.
+    """
     crowded = saved(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).alias("_salts")), "crowded")
     if crowded.isEmpty():
         return rows.join(table, key, how)

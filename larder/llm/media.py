@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import broadcast_if_small, saved, shared_dir
+from larder.llm.common import broadcast_if_small, salted, saved, shared_dir
 from larder.llm.files import attempt_name, open_read, open_write
 
 WIDTH = 576
@@ -189,8 +189,11 @@ def media_columns(docs: DataFrame, folder: str | None = None, level: int = 6) ->
     return attach(docs, with_metadata(store(docs, folder, level)))
 
 
-def attach(docs: DataFrame, by_digest: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, digest and the columns of ``by_digest`` for each row of docs."""
+def attach(docs: DataFrame, by_digest: DataFrame, hot: int = 1_000_000) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, digest and the columns of ``by_digest`` for each row of docs.
+
+    A payload that more than ``hot`` rows share is dealt out over several tasks.
+    """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keys = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded_length(F.col("text")).cast("long").alias("payload_bytes"), F.unhex(F.sha2(payload_of(F.col("text")), 256)).alias("digest"))
-    return keys.join(by_digest, "digest")
+    return salted(keys, by_digest, "digest", hot=hot)

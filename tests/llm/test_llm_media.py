@@ -56,6 +56,13 @@ def test_copies_share_a_member(spark, monkeypatch):
         monkeypatch.setattr(media, "broadcast_if_small", lambda table: table)
 
 
+def test_a_payload_that_most_rows_share(spark):
+    rows = docs(spark, [(i, "hot" if i % 3 else f"text {i}") for i in range(300)])
+    index = media.with_metadata(media.store(rows))
+    want, got = (sorted(map(tuple, media.attach(rows, index, hot=n).collect())) for n in (1000, 10))
+    assert got == want and len(got) == 300 and len({bytes(r[0]) for r in got}) == 101
+
+
 def test_no_rows(spark):
     assert media.media_columns(docs(spark, [])).count() == 0
 
