@@ -124,10 +124,13 @@ def store(docs: DataFrame, folder: str | None = None, level: int = 6) -> DataFra
     return saved(one.select("digest", "m.shard", "m.offset", "m.length"), "media-index")
 
 
-def spread(index: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
-    """The index dealt out for reading, neighbours of a shard together, about ``task_bytes`` of members to a task."""
+def spread(index: DataFrame, task_bytes: int = 8 << 20, run_bytes: int = 1 << 20) -> DataFrame:
+    """The index dealt out for reading, about ``task_bytes`` of members to a task, in runs of neighbours in a shard.
+
+    Runs are dealt out by hash: ranges would bring a sample of the index to the driver, the larger the more tasks there are.
+    """
     tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // task_bytes
-    return index.repartitionByRange(min(tasks, MOST_TASKS), "shard", "offset").sortWithinPartitions("shard", "offset")
+    return index.repartition(min(tasks, MOST_TASKS), "shard", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("shard", "offset")
 
 
 class Shards:
