@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -48,28 +48,28 @@ def kind(part: Column) -> Column:
 
 def format_chat(turns: DataFrame, loss_roles: Sequence[str] = ("assistant",), tokens: Mapping[str, int] = TOKENS) -> DataFrame:
     """conv_id, formatted, segments, attachments, attachment_tokens from rows conv_id, turn, role, parts."""
-    rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS)).alias("parts")).alias("_t"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-
     visit = lambda p: F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit("|>")))
-    body = lambda t: F.array_join(F.transform(t["parts"], visit), "")
-    convs = convs.select("conv_id", "_ts", F.transform("_ts", lambda t: F.struct(escape(t["role"]).alias("role"), t["role"].isin(*loss_roles).alias("loss"), body(t).alias("body"))).alias("_done"))
-
-    head = lambda t: F.length(t["role"]) + len(TURN) + len(TEXT)
-    start = F.aggregate(
-        "_done",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,start:int,length:int,loss:boolean>>").alias("out")),
-        lambda acc, t: F.struct(
-            (acc["at"] + head(t) + F.length(t["body"]) + len(END)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(t["role"].alias("role"), (acc["at"] + head(t)).alias("start"), F.length(t["body"]).alias("length"), t["loss"].alias("loss")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS)).alias("parts"))
+    # One shuffle, of the turns as they came; the window and the aggregate below keep its partitioning.
+    rows = rows.repartition("conv_id").withColumns({"_role": escape(F.col("role")), "_body": F.array_join(F.transform("parts", visit), "")})
+    rows = rows.withColumn("_size", F.length("_role") + F.length("_body") + len(TURN) + len(TEXT) + len(END))
+
+    # The place of each turn is a running sum over its predecessors, row by row.
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_at": F.row_number().over(before), "_end": F.sum("_size").over(before)})
+    start = (F.col("_end") - len(END) - F.length("_body")).cast("int")
+    each = F.transform(F.filter("parts", lambda p: kind(p) != "text"), lambda p: F.struct((F.col("_at") - 1).alias("turn_index"), kind(p).alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))
+    turn = F.struct(
+        F.col("_at").alias("at"),
+        F.concat(F.lit(TURN), "_role", F.lit(TEXT), "_body", F.lit(END)).alias("piece"),
+        F.struct(F.col("_role").alias("role"), start.alias("start"), F.length("_body").alias("length"), F.col("role").isin(*loss_roles).alias("loss")).alias("segment"),
+        each.alias("attached"),
     )
-    each = F.flatten(F.transform("_ts", lambda t, i: F.transform(t["parts"], lambda p: F.struct(i.alias("turn_index"), kind(p).alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))))
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_t"))
+
     given = F.create_map(*[F.lit(x) for pair in tokens.items() for x in pair])
-    attached = F.transform(F.filter(each, lambda p: p["type"] != "text"), lambda p, i: F.struct(i.alias("ordinal"), p["turn_index"].alias("turn_index"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], given[p["type"]].cast("bigint"), F.lit(0)).alias("tokens")))
-    whole = F.array_join(F.transform("_done", lambda t: F.concat(F.lit(TURN), t["role"], F.lit(TEXT), t["body"], F.lit(END))), "")
-    out = convs.select("conv_id", whole.alias("formatted"), start.alias("segments"), attached.alias("attachments"))
+    attached = F.transform(F.flatten("_t.attached"), lambda p, i: F.struct(i.alias("ordinal"), p["turn_index"].alias("turn_index"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], given[p["type"]].cast("bigint"), F.lit(0)).alias("tokens")))
+    out = convs.select("conv_id", F.array_join("_t.piece", "").alias("formatted"), F.col("_t.segment").alias("segments"), attached.alias("attachments"))
     return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]))
 
 

@@ -50,9 +50,12 @@ def test_typed_parts(spark):
 
 
 def test_long_conversation(spark):
-    rows = [(1, i, "assistant", f"t{i}") for i in range(2000)]
-    got = formatted(spark, rows).collect()[0]
-    assert got.loss == "".join(f"t{i}" for i in range(2000))
+    """A hundred thousand turns take seconds: their places are a running sum."""
+    turns = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), chat.text_parts(F.concat(F.lit("t"), F.col("id"))).alias("parts"))
+    got = chat.format_chat(turns).collect()[0]
+    assert [got.formatted[s.start : s.start + s.length] for s in got.segments] == [f"t{i}" for i in range(100_000)]
+    read = spark.createDataFrame([(got.formatted,)], "t string").select(F.size(chat.read_chat(F.col("t"))).alias("n"))
+    assert read.first().n == 100_000
 
 
 def test_no_python_in_the_plan(spark):
