@@ -19,6 +19,13 @@ from pyspark.sql import functions as F
 from larder.functions.keys import canonical_key
 
 
+def checked(name: str) -> str:
+    """The name of a store or of a batch of entries, if it is one."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
+        raise ValueError(f"not a store name: {name!r}")
+    return name
+
+
 class VersionedStore:
     """Keys and bodies (columns key, body) under named versions."""
 
@@ -28,9 +35,7 @@ class VersionedStore:
         self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def folder(self, name: str) -> str:
-        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
-            raise ValueError(f"not a store name: {name!r}")
-        return f"{self.root}/versions/{name}"
+        return f"{self.root}/versions/{checked(name)}"
 
     def open(self, name: str) -> str:
         """Create the store's folder and mark if they are not there; opening twice is the same as once."""
@@ -77,18 +82,17 @@ class VersionedStore:
 
     def put(self, name: str, entries: DataFrame, part: str) -> None:
         """Add a batch of written-through entries (key, body) to a store under a batch name; later names win."""
-        entries.select(canonical_key(F.col("key")).alias("key"), "body").write.parquet(f"{self.open(name)}/put-{part}")
+        entries.select(canonical_key(F.col("key")).alias("key"), "body").write.parquet(f"{self.open(name)}/put-{checked(part)}")
 
     def read(self, name: str) -> DataFrame:
         """key, body of a store: the load, overlaid by the put batches in order of their names."""
         here = self._path(self.folder(name))
-        parts = sorted(x.getPath().getName() for x in self._files.listStatus(here)) if self._files.exists(here) else []
-        frames = [self.spark.read.parquet(f"{self.folder(name)}/{p}").select("key", "body", F.lit(i).alias("_at")) for i, p in enumerate(parts)]
-        if not frames:
+        parts = [f"{self.folder(name)}/{x.getPath().getName()}" for x in self._files.listStatus(here)] if self._files.exists(here) else []
+        if not parts:
             return self.spark.createDataFrame([], "key string, body string")
-        both = frames[0]
-        for more in frames[1:]:
-            both = both.unionByName(more)
+        # One scan of all parts, however many batches were put; ``entries`` sorts before every ``put-``.
+        at = F.regexp_extract("_metadata.file_path", "/([^/]+)/[^/]+$", 1)
+        both = self.spark.read.parquet(*parts).select("key", "body", at.alias("_at"))
         return both.groupBy("key").agg(F.max_by(F.struct("body"), "_at").alias("b")).select("key", "b.body")
 
     def publish(self, name: str, view: str | None = None) -> None:

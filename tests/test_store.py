@@ -59,6 +59,17 @@ def test_puts_overlay_the_load(spark, store):
     assert entries(store.read("v1")) == {"a": "9", "b": "2", "c": "3"}
 
 
+def test_many_puts_are_one_scan(spark, store):
+    store.install("v1", keys(spark, "a"), source(spark, ("a", True, "1")))
+    for i in range(12):
+        store.put("v1", spark.createDataFrame([("a" if i < 7 else "b", str(i)), (f"k{i}", "x")], "key string, body string"), f"{i:04d}")
+    read = store.read("v1")
+    assert entries(read) == {"a": "6", "b": "11"} | {f"k{i}": "x" for i in range(12)}
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    with pytest.raises(ValueError, match="not a store name"):
+        store.put("v1", read, "x/../y")
+
+
 def test_empty(store):
     assert (store.current(), store.names(), store.all_entries().count(), store.read("none").count()) == (None, [], 0, 0)
     with pytest.raises(ValueError):
