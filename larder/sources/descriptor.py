@@ -65,9 +65,13 @@ def routes(apps: DataFrame) -> DataFrame:
     return accepted(apps).select("ext", "action", "launch_type").distinct()
 
 
-def route_files(files: DataFrame, table: DataFrame, path: str = "path") -> DataFrame:
-    """The files that a route opens, each with its action."""
-    return files.withColumn("ext", extension(F.col(path))).join(table, "ext")
+def route_files(files: DataFrame, table: DataFrame, path: str = "path", most: int = 100_000) -> DataFrame:
+    """The files that a route opens, each with its action.
+
+    Files have few extensions, so a shuffle would put most of them in one task: up to ``most`` routes (an extension and an
+    action each, and counted first) are broadcast.
+    """
+    return files.withColumn("ext", extension(F.col(path))).join(F.broadcast(table) if table.count() <= most else table, "ext")
 
 
 def opened(files: DataFrame, table: DataFrame, path: str = "path", launch: str = "launch_id") -> DataFrame:

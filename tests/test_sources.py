@@ -38,6 +38,8 @@ def test_routes_do_not_double(spark, tmp_path):
     files = spark.createDataFrame([(1, "x/a.json"), (1, "x/b.XML"), (1, "c.pdf"), (1, None), (2, "d.csv"), (2, "e.csv")], "launch_id int, path string")
     table = descriptor.routes(app)
     assert {(r.path, r.action) for r in descriptor.route_files(files, table).collect()} == {("x/a.json", "./open"), ("x/b.XML", "./open"), ("d.csv", "./many"), ("e.csv", "./many")}
+    few, many = (sorted(map(tuple, descriptor.route_files(files, table, most=n).collect())) for n in (100, 1))
+    assert few == many
     got = sorted((r.launch_id, r.files) for r in descriptor.launches(files, table).collect())
     assert got == [(1, ["x/a.json", "x/b.XML"]), (2, ["d.csv"]), (2, ["e.csv"])]
 
