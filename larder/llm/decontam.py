@@ -101,6 +101,12 @@ def find_windows(docs: DataFrame, windows: DataFrame, most_windows: int = 200_00
     return rows.groupBy("key").agg(F.max("n_words").alias("n_words"), own.alias("copies"), F.collect_set("span").alias("spans"))
 
 
+def repeated(rows: DataFrame, times: str, run: int = 10_000) -> DataFrame:
+    """Each row as often as its column ``times`` says, in runs, so that no array holds all its copies."""
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / run).cast("int"))))
+    return runs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(run), F.col(times) - F.col("_run") * run)))).drop("_run", "_copy")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, digest: bool = False, **how: int) -> DataFrame:
     """doc_id, hash, n_words, n_hit, n_items, items, contaminated: a row for each row of ``docs``.
 
@@ -128,5 +134,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, digest: boo
     sets = saved(each.select("wids", F.size("items").cast("long").alias("n_items"), of(F.col("items")).alias("items")), "set-items")
     hits = with_unique(found.where(F.size("wids") > 0), sets, "wids").drop("wids")
     none = found.where(F.size("wids") == 0).drop("wids").withColumns({"n_items": F.lit(0).cast("long"), "items": of(F.array().cast("array<string>"))})
-    out = hits.unionByName(none).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    return out.select("key.doc_id", "key.hash", F.col("n_words").cast("long").alias("n_words"), "n_hit", "n_items", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return repeated(hits.unionByName(none), "copies").select("key.doc_id", "key.hash", F.col("n_words").cast("long").alias("n_words"), "n_hit", "n_items", "items", (F.col("n_hit") > 0).alias("contaminated"))

@@ -79,3 +79,9 @@ def test_a_window_that_very_many_items_share(spark):
 
 def test_query_equals_sql(spark, compare):
     assert compare(spark, "op6_decontaminate", "sf0.01")["contaminated"].any()
+
+
+def test_repeated_in_runs(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 7), ("c", 12), ("d", 8)], "k string, n int")
+    got = decontam.repeated(rows, "n", run=4).groupBy("k", "n").count().collect()
+    assert {(r.k, r.n, r["count"]) for r in got} == {("a", 1, 1), ("b", 7, 7), ("c", 12, 12), ("d", 8, 8)}
