@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, decontam, html, langid, lm, media, mixing, quality, simhash, warc
+from larder.llm import chat, decontam, html, importance, langid, lm, manifest, media, mixing, packing, quality, simhash, warc
+from larder.llm.common import ascii_lower
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +126,94 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "shard", "offset", "length")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of an ASCII or UTF-8 text in DuckDB: bytes, then eight shifts each.
+CRC = "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, octet_length(encode({x})) + 1), lambda i: ('0x' || substr(hex(encode({x})), 2 * i - 1, 2))::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: xor(v >> 1, 3988292384::UBIGINT * (v & 1::UBIGINT)))))"
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), dw AS (
+  SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM d) GROUP BY ALL
+), v AS (
+  SELECT word, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (SELECT word, n AS s, 0 AS t FROM dw UNION ALL SELECT word, 0, 1 FROM b) GROUP BY word
+), k AS (
+  SELECT word, s, t, ({CRC.format(x="word")} % 10000)::BIGINT AS bucket FROM v
+), g AS (
+  SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * ((SELECT sum(s) FROM v) + 10000)::DOUBLE / ((sum(s) + 1)::DOUBLE * ((SELECT sum(t) FROM v) + 10000)::DOUBLE)))::BIGINT AS gain FROM k GROUP BY bucket
+), m AS (
+  SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM dw JOIN k USING (word) JOIN g USING (bucket) GROUP BY rid
+), x AS (
+  SELECT rid, doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(total // n_features - (CASE WHEN total % n_features < 0 THEN 1 ELSE 0 END), 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN m USING (rid)
+), y AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place FROM y
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 THEN place END AS rank FROM z
+"""
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    found = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.packed(found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "deal"), docs.count())
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = docs.select("doc_id", "lang", manifest.leaf([*fields, F.col("text")]).alias("leaf"), F.when(tampered, manifest.leaf([*fields, ascii_lower(F.col("text"))])).alias("claimed"))
+    return manifest.prove(rows, "lang", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce({CRC.format(x="doc_id::VARCHAR")} % 3 = 0, false) AS tampered
+  FROM documents
+), l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) AS other, tampered FROM f
+), leaves AS (
+  SELECT doc_id, leaf, CASE WHEN tampered THEN other ELSE leaf END AS claimed, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM l
+), nodes AS (
+  SELECT tree, 0 AS h, p, n, leaf AS digest FROM leaves
+  UNION ALL SELECT tree, h + 1, p // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY p)) FROM nodes WHERE n > 1 GROUP BY tree, h, p // 8, n
+), subroots AS (
+  SELECT tree, digest AS subroot, max(h) OVER () AS high, count(*) OVER () AS trees FROM nodes WHERE n = 1
+), forest AS (
+  SELECT high AS h, tree AS p, trees AS n, subroot AS digest FROM subroots
+  UNION ALL SELECT h + 1, p // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY p)) FROM forest WHERE n > 1 GROUP BY h, p // 8, n
+), pairs AS (
+  SELECT v.tree, v.p, x.h, coalesce(string_agg(x.digest, '' ORDER BY x.p) FILTER (x.p < v.p >> (3 * x.h)), '') AS l, coalesce(string_agg(x.digest, '' ORDER BY x.p) FILTER (x.p > v.p >> (3 * x.h)), '') AS r
+  FROM leaves v JOIN nodes x ON x.tree = v.tree AND x.n > 1 AND x.p // 8 = v.p >> (3 * x.h + 3) GROUP BY v.tree, v.p, x.h
+  UNION ALL
+  SELECT v.tree, v.p, x.h, coalesce(string_agg(x.digest, '' ORDER BY x.p) FILTER (x.p < v.tree >> (3 * (x.h - high))), ''), coalesce(string_agg(x.digest, '' ORDER BY x.p) FILTER (x.p > v.tree >> (3 * (x.h - high))), '')
+  FROM leaves v JOIN subroots s USING (tree) JOIN forest x ON x.n > 1 AND x.p // 8 = v.tree >> (3 * (x.h - high) + 3) GROUP BY v.tree, v.p, x.h
+), paths AS (
+  SELECT tree, p, string_agg(l || r, '' ORDER BY h) AS proof, list({{'l': l, 'r': r}} ORDER BY h) AS path FROM pairs GROUP BY tree, p
+), folded AS (
+  SELECT doc_id, leaf, tree, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend({{'l': claimed, 'r': ''}}, coalesce(path, [])), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root
+  FROM leaves LEFT JOIN paths USING (tree, p)
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subroots USING (tree), (SELECT digest AS root FROM forest WHERE n = 1)
+"""
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
@@ -136,9 +225,14 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_media": op10_media,
+    "op11_importance": op11_importance,
+    "op12_pack": op12_pack,
+    "op13_manifest": op13_manifest,
 }
 SQL = {
     "op2_chat_format": OP2_SQL,
     "op6_decontaminate": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_importance": OP11_SQL,
+    "op13_manifest": OP13_SQL,
 }

@@ -1,0 +1,131 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from larder.llm import manifest, queries
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def field(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def grow(nodes):
+    """All levels of a tree by loops, and for each leaf its siblings (left, right) a level."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][i : i + 8]) for i in range(0, len(levels[-1]), 8)])
+    paths = []
+    for p in range(len(nodes)):
+        path = []
+        for level in levels[:-1]:
+            run = p - p % 8
+            path.append((level[run:p], level[p + 1 : run + 8]))
+            p //= 8
+        paths.append(path)
+    return levels[-1][0], paths
+
+
+def brute(rows):
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row."""
+    groups = {}
+    for doc_id, source, lang, n, text in rows:
+        head = [field(v) for v in (doc_id, source, lang, n)]
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text) if text is not None else None
+        leaf = h(*head, field(text))
+        tampered = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 0
+        groups.setdefault(lang, []).append((doc_id is not None, doc_id or 0, leaf, h(*head, field(low)) if tampered else leaf, doc_id))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {lang: (sorted(groups[lang], key=lambda r: r[:3])) for lang in order}
+    grown = {lang: grow([r[2] for r in trees[lang]]) for lang in order}
+    root, above = grow([grown[lang][0] for lang in order]) if order else (None, [])
+    out = []
+    for lang, up in zip(order, above, strict=True):
+        for row, path in zip(trees[lang], grown[lang][1], strict=True):
+            cur = row[3]
+            for left, right in path + up:
+                cur = h(*left, cur, *right)
+            out.append((row[4], row[2], grown[lang][0], root, h(*[x for left, right in path + up for x in (*left, *right)]), cur, cur == root))
+    return sorted(out, key=str)
+
+
+def got(spark, rows, **k):
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("tree", "n", "place", "leaf", "rank", "_row")})
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "lang", manifest.leaf([*fields, F.col("text")]).alias("leaf"), F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.leaf([*fields, queries.ascii_lower(F.col("text"))])).alias("claimed"))
+    done = manifest.prove(leaves, "lang", "doc_id", **k)
+    names = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root")
+    return sorted(((*(r[c] for c in names), r["folded_root"] == r["root"]) for r in done.collect()), key=str)
+
+
+def documents(n, langs, seed=3):
+    draw = random.Random(seed)
+    return [(i, draw.choice(["web", None, ""]), draw.choice(langs), draw.choice([None, i]), draw.choice(["Ab c", "plain", "É", "", None])) for i in draw.sample(range(10 * n), n)]
+
+
+@pytest.mark.parametrize(("n", "height", "stack"), [(700, 1, 1), (700, 1, 2), (1500, 1, 3), (300, 2, 1), (700, 2, 2)])
+def test_against_loops(spark, n, height, stack):
+    rows = documents(n, ["en"] * 6 + ["de", "fr", None])
+    assert got(spark, rows, height=height, stack=stack) == brute(rows)
+
+
+def test_many_groups(spark):
+    """Groups of one leaf, of a run, of one more than a run, and more than eight groups."""
+    rows = [(i, "s", f"l{g:02d}", i, "Text") for g, n in enumerate([1, 8, 9, 64, 65, 1, 2, 3, 1, 1, 1]) for i in range(1000 * g, 1000 * g + n)]
+    assert got(spark, rows, height=1, stack=2) == brute(rows)
+
+
+def test_hostile_rows(spark):
+    rows = [(None, None, None, None, None), (None, None, None, None, None), (1, "a", "en", 3, ""), (1, "a", "en", 3, ""), (1, "b", "en", 3, "X" * 300_000), (-5, "é", "日", 0, "\U0001f600 A"), (7, "", "", -1, "-")]
+    assert got(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_few_rows(spark, n):
+    rows = documents(n, ["en"])
+    assert got(spark, rows) == brute(rows)
+
+
+def test_proofs_are_given(spark):
+    rows = spark.createDataFrame([(i, "en", bytes([i]) * 32, None) for i in range(20)], "doc_id long, lang string, leaf binary, claimed binary")
+    found = manifest.prove(rows, "lang", "doc_id", proofs=True).collect()
+    assert {len(r.proof) for r in found} == {64 * (7 + 2), 64 * (3 + 2)}
+    assert all(hashlib.sha256(r.proof.encode()).hexdigest() == r.proof_sha256 and r.folded_root == r.root for r in found)
+
+
+@pytest.mark.parametrize(("n", "height", "stack"), [(512, 1, 3), (300, 1, 3), (4096, 2, 2), (65, 2, 2), (9, 1, 3)])
+def test_traversal_holds_little(n, height, stack):
+    """Paths of a block's leaves, taken from the stream no further ahead than the longest way."""
+    leaves = [h(str(i)).encode() for i in range(n)]
+    taken = []
+
+    def stream():
+        for i, node in enumerate(leaves):
+            taken.append(i)
+            yield node, i
+
+    tops = [x.decode() for x in leaves]
+    for _ in range(height * (stack - 1)):
+        tops = [h(*tops[i : i + 8]) for i in range(0, len(tops), 8)]
+    root, paths = grow([x.decode() for x in leaves])
+    levels, ahead = manifest.tree_height(n), 8 ** (height * (stack - 1))
+    for node, i, path in manifest.traverse(stream(), [x.encode() for x in tops], levels, height, stack):
+        assert len(taken) <= i + ahead + 1
+        assert [(left.decode(), right.decode()) for left, right in path] == [("".join(a), "".join(b)) for a, b in paths[i]]
+        assert manifest.folded(node, path).decode() == root
+    assert len(taken) == n
+
+
+def test_query(spark, compare):
+    found = compare(spark, "op13_manifest")
+    assert found["verified"].any() and not found["verified"].all()
