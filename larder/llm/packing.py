@@ -1,10 +1,10 @@
 """Packing of tokenized documents into sequences of bounded length: first-fit decreasing in randomised groups.
 
 1. A document's token ids, with an end id, are cut into pieces of ``capacity``; the last one is shorter. Ids come from a
-   tokenizer of the library tokenizers, asked once for each stretch of white space and the word after it while its
-   ids are kept: byte-level tokens never reach from a word into the white space after it, so such stretches have the same
-   ids by themselves. A text with one of the tokenizer's added tokens, or with white space beyond ASCII's, is encoded
-   as a whole.
+   tokenizer of the library tokenizers. A byte-level one is asked once for each stretch of text while its ids are kept: its
+   tokens reach neither from a word into the white space after it nor from a run of letters into what else follows, so
+   such stretches have the same ids by themselves. A text with one of the tokenizer's added tokens, or with white space
+   beyond ASCII's, is encoded as a whole, as are all texts by a tokenizer of another kind.
 2. Documents are dealt into groups of about ``group_docs`` by a hash of id, text and row. In each group the pieces are
    placed longest first into the first sequence with room, found by going down a tournament tree whose inner nodes hold
    the most room below them. A group is one task's; groups do not know of each other, so they run anywhere and grow with
@@ -20,6 +20,7 @@ Repeated rows are documents of their own. An empty table gives no rows. Extra co
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -30,7 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRETCH = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+#: A space and a run of Latin letters that no other letter follows; or white space and what comes before the next.
+STRETCH = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])|[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others as those from 256 on.
+AS_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173))}
 #: White space beyond ASCII's, and controls that some count as such.
 OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, deal bigint"
@@ -39,35 +44,36 @@ PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids bin
 class Encoder:
     """Text to ids as unsigned 32-bit little-endian bytes. Of the stretches met before, up to 2 * ``most`` are kept."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.older, self.most = Tokenizer.from_file(path), {}, {}, most
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        self.by_bytes = made["model"]["type"] == "BPE" and not made["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def __call__(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text) or any(a in text for a in self.added):
+        if not self.by_bytes or OTHER_SPACE.search(text) or any(a in text for a in self.added):
             return self._encode([text])[0]
         stretches = STRETCH.findall(text)
-        try:
-            return b"".join(map(self.kept.__getitem__, stretches))
-        except KeyError:
-            pass
         if len(self.kept) > self.most:
             self.kept, self.older = {}, self.kept
-        new = []
-        for s in dict.fromkeys(stretches):
-            if s not in self.kept:
-                if s in self.older:
-                    self.kept[s] = self.older[s]
-                else:
-                    new.append(s)
-        self.kept.update(zip(new, self._encode(new), strict=True))
-        return b"".join(map(self.kept.__getitem__, stretches))
+        kept, older, others, tokenize = self.kept, self.older, [], self.tokenizer.model.tokenize
+        for s in set(stretches).difference(kept):
+            if s in older:
+                kept[s] = older[s]
+            elif WORD.fullmatch(s):  # one word to the model, as it is
+                ids = [t.id for t in tokenize(s.encode().decode("latin-1").translate(AS_CHARS))]
+                kept[s] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(s)
+        kept.update(zip(others, self._encode(others), strict=True))
+        return b"".join(map(kept.__getitem__, stretches))
 
 
 @lru_cache(maxsize=4)

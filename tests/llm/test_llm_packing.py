@@ -30,6 +30,8 @@ def test_stretches_have_the_same_ids(spark, plain):
     encode = packing.Encoder(PATH, most=50)
     draw = random.Random(2)
     texts = SPACES + ["".join(draw.choices([" ", "  ", "\n", "a", "B", "é", "'s", "1", ".", "\t", "日"], k=40)) for _ in range(500)]
+    texts += ["wordş ab²x ab1 e\u0301é ªb ßÿ×÷ don'state x'll's|y word.%%% a-b_c éÉ.é", "Straße, naïve… œuvre Ÿ"]
+    texts += ["".join(draw.choices([" ", "'", "s", "S", "é", "ş", "²", "1", "_", ".", "%", "ª", "\u0301", "\n"], k=30)) for _ in range(2000)]
     texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for _ in range(2):
         for t in texts:
@@ -124,3 +126,13 @@ def test_query(spark, plain):
         assert (r.length, r.doc_tokens, r.ids_crc32) == (len(ids), len(tokens[r.doc_id]), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
     assert max(filled.values()) <= 2048 and sum(filled.values()) / (2048 * len(filled)) > 0.98
+
+
+def test_a_tokenizer_of_another_kind(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+    for text in ("Some Words, and  MORE.", "é \n ü"):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert not encode.by_bytes and encode(text) == struct.pack(f"<{len(ids)}I", *ids)
