@@ -1,22 +1,32 @@
-"""Versioned stores as folders of Parquet, published by a pointer that is written last.
+"""Versioned stores of keyed entries on Parquet, published by a pointer that is written last.
 
-``<root>/versions/<name>`` holds the entries of a store, ``<root>/current`` the name of the published one, and
-``<root>/created`` a numbered mark for each store, which tells their order however often a store is written to. A load goes
-to a folder of its own, is checked there as it was written, and moves into place complete, before the pointer moves; a
-failed load leaves the published version readable. Nothing is overwritten where it is read. Keys are kept in their
-canonical form, so two spellings of a key are one entry.
+``<root>/registry`` is a log of the stores' names in the order of their creation, ``<root>/versions/<id>`` a log of what each
+store consists of, ``<root>/data/folder=<id>`` a folder of entries, ``<root>/current`` the name of the published store. Logs settle
+races between writers (see ``log``): two that open stores at once both get one, two loaders of a name get one load and one
+error, two puts get numbers that follow each other.
+
+A store is read as its base overlaid by its deltas: a load writes the base, each put a delta, and the store numbers them, so
+the last put wins whatever it is called. ``compact`` merges them into a new base. Entries lie in ``buckets`` folders by a
+hash of their key, so a lookup of few keys reads few files. Nothing is overwritten where it is read: a folder is written
+whole, then named in a log, and deleted only when no store names it and no lease holds it. Keys are kept in their canonical
+form, so two spellings of a key are one entry.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.functions.keys import canonical_key
+from larder.plans.log import Files, Log
 
 
 def checked(name: str) -> str:
@@ -29,108 +39,248 @@ def checked(name: str) -> str:
 class VersionedStore:
     """Keys and bodies (columns key, body) under named versions."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, lease_seconds: int = 86_400) -> None:
+        """A lease ends by itself after ``lease_seconds``, so a reader or writer that died holds nothing for ever."""
+        self.spark, self.files, self.buckets, self.lease_seconds = spark, Files(spark, root), buckets, lease_seconds
+        self.registry = Log(self.files, "registry")
+        self._views: dict[str, str] = {}
 
-    def folder(self, name: str) -> str:
-        return f"{self.root}/versions/{checked(name)}"
+    # Names
 
     def open(self, name: str) -> str:
-        """Create the store's folder and mark if they are not there; opening twice is the same as once."""
-        self._files.mkdirs(self._path(self.folder(name)))
-        marks = self._marks()
-        if name not in marks.values():
-            self._files.create(self._path(f"{self.root}/created/{max(marks, default=0) + 1:012d}-{name}"), False).close()
-        return self.folder(name)
+        """Create the store if it is not there; opening twice is the same as once. Returns its id, new for each creation."""
+        checked(name)
+        new = uuid.uuid4().hex
+
+        def add(state: dict | None) -> dict | None:
+            stores = state["stores"] if state else []
+            return None if any(n == name for n, _ in stores) else {"stores": [*stores, [name, new]]}
 
-    def _list(self, folder: str) -> list[str]:
-        path = self._path(f"{self.root}/{folder}")
-        return sorted(x.getPath().getName() for x in self._files.listStatus(path)) if self._files.exists(path) else []
+        return dict(self.registry.update(add)["stores"])[name]
 
-    def _marks(self) -> dict[int, str]:
-        """Number and name of each store's mark."""
-        return {int(x[:12]): x[13:] for x in self._list("created") if not x.startswith(".")}
+    def _stores(self) -> dict[str, str]:
+        state = self.registry.state()
+        return dict(state["stores"]) if state else {}
 
     def names(self) -> list[str]:
         """The names of all stores in the order of their creation (one entry a version: a short list by design)."""
-        have = set(self._list("versions"))
-        return [name for _, name in sorted(self._marks().items()) if name in have]
+        return list(self._stores())
+
+    def _log(self, name: str) -> Log | None:
+        there = self._stores().get(checked(name))
+        return Log(self.files, f"versions/{there}") if there else None
+
+    def _state(self, name: str) -> dict:
+        log = self._log(name)
+        return (log.state() if log else None) or {"base": None, "buckets": self.buckets, "deltas": [], "next": 1, "labels": {}, "schema": None}
+
+    # Leases
+
+    def _lease(self, folders: Sequence[str]) -> str:
+        mark = f"leases/{uuid.uuid4().hex}"
+        self.files.write(mark, json.dumps({"until": time.time() + self.lease_seconds, "folders": list(folders)}))
+        return mark
+
+    def _leased(self) -> set[str]:
+        held: set[str] = set()
+        for x in self.files.list("leases"):
+            text = self.files.read(f"leases/{x}")
+            if text:
+                lease = json.loads(text)
+                if lease["until"] < time.time():
+                    self.files.delete(f"leases/{x}")
+                else:
+                    held.update(lease["folders"])
+        return held
+
+    def _held(self, name: str) -> tuple[dict, str]:
+        """A store's state, and a lease of its folders taken while the store still named them."""
+        while True:
+            state = self._state(name)
+            mark = self._lease(folders_of(state))
+            if self._state(name) == state:
+                return state, mark
+            self.files.delete(mark)
+
+    @contextmanager
+    def snapshot(self, name: str) -> Iterator[DataFrame]:
+        """The store as it is now; whatever is purged or compacted meanwhile, its files stay until the block ends."""
+        state, mark = self._held(name)
+        try:
+            yield self._read(state)
+        finally:
+            self.files.delete(mark)
+
+    def vacuum(self) -> list[str]:
+        """Delete the folders that no store names and no lease holds; returns them."""
+        there = [x.removeprefix("folder=") for x in self.files.list("data")]
+        held = self._leased()
+        named = {f for n in self.names() for f in folders_of(self._state(n))}
+        gone = [f for f in there if f not in held and f not in named]
+        for f in gone:
+            self.files.delete(data_of(f))
+        return gone
+
+    # Entries
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+    @contextmanager
+    def _written(self, rows: DataFrame, buckets: int) -> Iterator[str]:
+        """A new folder with ``rows``, leased until the block ends."""
+        folder = f"f{uuid.uuid4().hex}"
+        mark = self._lease([folder])
+        try:
+            rows.withColumn("bucket", self._bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(self.files.uri(data_of(folder)))
+            yield folder
+        except BaseException:
+            self.files.delete(data_of(folder))
+            raise
+        finally:
+            self.files.delete(mark)
 
     def load_all(self, name: str, keys: DataFrame, source: DataFrame) -> None:
         """Load every key of ``keys`` (column key) from ``source`` (key, ok, body), or nothing.
 
         A key that the source lacks or has not ok fails the load. What is checked is what was written, so a source that
         changes meanwhile cannot pass unchecked. Repeated keys are one; of several sources of a key the one with the
-        greatest body is taken. A store is loaded once.
+        greatest body is taken. A store is loaded once: of two loaders the second fails, however close they are.
         """
-        if self._files.exists(self._path(f"{self.folder(name)}/entries")):
-            raise ValueError(f"store {name} was loaded before")
+        loaded = ValueError(f"store {name} was loaded before")
+        if self._state(name)["base"]:
+            raise loaded
         asked = keys.select(canonical_key(F.col("key")).alias("key")).distinct()
         source = source.withColumn("key", canonical_key(F.col("key")))
         found = source.groupBy("key").agg(F.max_by(F.struct("ok", "body"), F.struct(F.coalesce("ok", F.lit(False)), "body")).alias("r"))
         rows = asked.join(found, "key", "left").select("key", F.coalesce("r.ok", F.lit(False)).alias("ok"), "r.body")
-        loading = f"{self.root}/loading/{uuid.uuid4().hex}"
-        rows.write.parquet(loading)
-        bad = self.spark.read.schema(rows.schema).parquet(loading).where(~F.col("ok")).limit(10).collect()
-        if bad:
-            self._files.delete(self._path(loading), True)
-            raise ValueError(f"load of {name} failed, for example on: {[r.key for r in bad]}")
-        if not self._files.rename(self._path(loading), self._path(f"{self.open(name)}/entries")):
-            raise OSError(f"{loading} could not be moved")
-
-    def put(self, name: str, entries: DataFrame, part: str) -> None:
-        """Add a batch of written-through entries (key, body) to a store under a batch name; later names win."""
-        entries.select(canonical_key(F.col("key")).alias("key"), "body").write.parquet(f"{self.open(name)}/put-{checked(part)}")
-
-    def read(self, name: str) -> DataFrame:
-        """key, body of a store: the load, overlaid by the put batches in order of their names."""
-        here = self._path(self.folder(name))
-        parts = [f"{self.folder(name)}/{x.getPath().getName()}" for x in self._files.listStatus(here)] if self._files.exists(here) else []
-        if not parts:
+        with self._written(rows, self.buckets) as folder:
+            bad = self.spark.read.schema(rows.schema).parquet(self.files.uri(data_of(folder))).where(~F.col("ok")).limit(10).collect()
+            if bad:
+                raise ValueError(f"load of {name} failed, for example on: {[r.key for r in bad]}")
+
+            def base(state: dict | None) -> dict:
+                state = state or self._state_of(rows)
+                if state["base"]:
+                    raise loaded
+                return state | {"base": folder}
+
+            self._change(name, base)
+
+    def _state_of(self, rows: DataFrame) -> dict:
+        return {"base": None, "buckets": self.buckets, "deltas": [], "next": 1, "labels": {}, "schema": rows.select("key", "body").schema.json()}
+
+    def _change(self, name: str, change) -> dict:
+        return Log(self.files, f"versions/{self.open(name)}").update(change)
+
+    def put(self, name: str, entries: DataFrame, part: str | None = None) -> int:
+        """Add a batch of written-through entries (key, body) to a store; returns the number that the store gives it.
+
+        Later puts win over earlier ones and over the load; of equal keys in a batch the greatest body is taken. A batch
+        with a name, ``part``, is put once: putting it again, as a stream does after a failure, changes nothing.
+        """
+        part = checked(part) if part is not None else None
+        before = self._state(name)
+        if part is not None and part in before["labels"]:
+            return before["labels"][part]
+        rows = entries.groupBy(canonical_key(F.col("key")).alias("key")).agg(F.max(F.struct("body")).alias("b")).select("key", "b.body")
+        with self._written(rows, before["buckets"]) as folder:
+
+            def add(state: dict | None) -> dict | None:
+                state = state or self._state_of(rows)
+                if part is not None and part in state["labels"]:
+                    return None
+                labels = state["labels"] | ({part: state["next"]} if part is not None else {})
+                return state | {"deltas": [*state["deltas"], [state["next"], folder]], "next": state["next"] + 1, "labels": labels}
+
+            state = self._change(name, add)
+        number = next((n for n, f in state["deltas"] if f == folder), None)
+        if number is None:
+            self.files.delete(data_of(folder))
+            return state["labels"][part]
+        return number
+
+    def _read(self, state: dict, keys: Sequence[str] | None = None) -> DataFrame:
+        folders = folders_of(state)
+        if not folders:
             return self.spark.createDataFrame([], "key string, body string")
-        # One scan of all parts, however many batches were put; ``entries`` sorts before every ``put-``.
-        at = F.regexp_extract("_metadata.file_path", "/([^/]+)/[^/]+$", 1)
-        both = self.spark.read.parquet(*parts).select("key", "body", at.alias("_at"))
+        schema = StructType.fromJson(json.loads(state["schema"]))
+        schema = schema.add("folder", "string").add("bucket", "integer")
+        rows = self.spark.read.schema(schema).option("basePath", self.files.uri("data")).parquet(*(self.files.uri(data_of(f)) for f in folders))
+        if keys is not None:
+            asked = self.spark.createDataFrame([(k,) for k in keys], "key string").select(canonical_key(F.col("key")).alias("key"))
+            hit = {r.b: None for r in asked.select(self._bucket(state["buckets"]).alias("b")).collect()}
+            rows = rows.where(F.col("bucket").isin(list(hit))).join(F.broadcast(asked.distinct()), "key", "left_semi")
+        # One scan of all parts, however many batches were put; the folder of a row tells its number.
+        numbers = {f: n for n, f in state["deltas"]} | ({state["base"]: 0} if state["base"] else {})
+        at = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col("folder")]
+        both = rows.select("key", "body", at.alias("_at"))
+        if len(numbers) == 1:
+            return both.select("key", "body")
         return both.groupBy("key").agg(F.max_by(F.struct("body"), "_at").alias("b")).select("key", "b.body")
 
+    def read(self, name: str, keys: Sequence[str] | None = None) -> DataFrame:
+        """key, body of a store: the load, overlaid by the puts in their order. ``keys``: of these few keys, from their buckets alone."""
+        return self._read(self._state(name), keys)
+
+    def compact(self, name: str) -> None:
+        """Merge a store's base and the deltas there are into a new base; deltas put meanwhile stay on top of it."""
+        state, mark = self._held(name)
+        try:
+            log = self._log(name)
+            if not state["deltas"] or not log:
+                return
+            last = state["deltas"][-1][0]
+            with self._written(self._read(state), state["buckets"]) as folder:
+
+                def merged(now: dict | None) -> dict | None:
+                    if not now or now["base"] != state["base"]:
+                        return None  # another compaction was faster
+                    return now | {"base": folder, "deltas": [d for d in now["deltas"] if d[0] > last]}
+
+                log.update(merged)
+        finally:
+            self.files.delete(mark)
+        self.vacuum()
+
+    # Versions
+
+    def _bind(self, name: str, view: str) -> None:
+        """Bind a view to a store. The lease of what it was bound to ends, but files go with the next purge or vacuum only."""
+        state, mark = self._held(name)
+        self._read(state).createOrReplaceTempView(view)
+        old, self._views[view] = self._views.get(view), mark
+        if old:
+            self.files.delete(old)
+
     def publish(self, name: str, view: str | None = None) -> None:
         """Move the pointer to a complete store; a view of that name is bound to it anew."""
         if name not in self.names():
             raise ValueError(f"no store {name}")
-        new, old = self._path(f"{self.root}/current.new"), self._path(f"{self.root}/current")
-        out = self._files.create(new, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        # Rename with overwrite is atomic; FileSystem.rename would not replace the old pointer.
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else self._files.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        array = self.spark.sparkContext._gateway.new_array(options, 1)
-        array[0] = options.OVERWRITE
-        context.rename(new, old, array)
+        self.files.replace("current", name)
         if view:
-            self.read(name).createOrReplaceTempView(view)
+            self._bind(name, view)
 
     def current(self) -> str | None:
-        pointer = self._path(f"{self.root}/current")
-        if not self._files.exists(pointer):
-            return None
-        stream = self._files.open(pointer)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        return self.files.read("current")
 
     def purge(self, keep: str, namespace: str = "") -> list[str]:
-        """Delete every store but ``keep`` (and those outside ``namespace``, a name prefix); returns the deleted names."""
-        gone = [n for n in self.names() if n != keep and n.startswith(namespace)]
-        for n in gone:
-            self._files.delete(self._path(self.folder(n)), True)
-        for number, n in self._marks().items():
-            if n in gone:
-                self._files.delete(self._path(f"{self.root}/created/{number:012d}-{n}"), False)
-        return gone
+        """Drop every store but ``keep`` (and those outside ``namespace``, a name prefix); returns the dropped names.
+
+        Their names go at once, their files when no lease holds them: now, or with a later purge or ``vacuum``.
+        """
+        gone: dict[str, str] = {}
+
+        def drop(state: dict | None) -> dict | None:
+            gone.clear()
+            gone.update({n: i for n, i in (state or {"stores": []})["stores"] if n != keep and n.startswith(namespace)})
+            return {"stores": [x for x in state["stores"] if x[0] not in gone]} if gone else None
+
+        self.registry.update(drop)
+        self.vacuum()
+        for there in gone.values():
+            self.files.delete(f"versions/{there}")
+        return list(gone)
 
     def install(self, name: str, keys: DataFrame, source: DataFrame, view: str | None = None) -> None:
         """Load, then cut over at once."""
@@ -138,10 +288,10 @@ class VersionedStore:
         self.publish(name, view)
 
     def activate(self, name: str, view: str | None = None) -> list[str]:
-        """Purge all others, then rebind the readers."""
+        """Purge all others, then rebind the readers. What was read through the view before is still there until the next purge."""
         gone = self.purge(name)
         if view:
-            self.read(name).createOrReplaceTempView(view)
+            self._bind(name, view)
         return gone
 
     def all_entries(self) -> DataFrame:
@@ -159,6 +309,15 @@ class VersionedStore:
             yield self.read(n).select(F.lit(n).alias("store_name"), F.lit(i).alias("created_ord"), "key", "body")
 
 
+def data_of(folder: str) -> str:
+    return f"data/folder={folder}"
+
+
+def folders_of(state: dict) -> list[str]:
+    """The data folders that a store consists of."""
+    return [*[state["base"]] * bool(state["base"]), *(f for _, f in state["deltas"])]
+
+
 def purged(names: DataFrame, keep: str, column: str = "store_name") -> DataFrame:
     """The names a purge deletes: all but ``keep``; a null name is not ``keep`` and goes."""
     return names.where(~F.col(column).eqNullSafe(F.lit(keep)))

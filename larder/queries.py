@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from larder.functions import keys
 from larder.operators import cache
+from larder.plans.log import Files
 from larder.plans.store import VersionedStore, purged
-from larder.sources import descriptor, documents
+from larder.sources import descriptor, documents, remote
 from larder.streaming.replay import replay_batches
+from larder.streaming.tee import tee_batches
 
 #: A descriptor; the field names are fixed values of the web-app descriptor format.
 DESCRIPTOR = {
@@ -73,6 +76,12 @@ REPLAY = f"""WITH {REQUESTS}, c AS (SELECT *, last_value(CASE WHEN outcome = 'ok
 """
 
 
+READS = """b AS (SELECT req_id, key, arrival, CAST(t.n AS INTEGER) AS attempts, CAST(t.status AS INTEGER) AS status, t.error, t.outcome, t.admitted, CAST(t.status AS VARCHAR) AS header,
+  CASE t.status WHEN 200 THEN v WHEN 206 THEN 'part:' || v WHEN 404 THEN 'absent' END AS body
+  FROM (SELECT r.req_id, r.key, r.arrival, CAST(CAST(body AS DECIMAL(20,4)) AS VARCHAR) AS v, CASE WHEN event_type = 'view' THEN event_type || key % 2 ELSE event_type END AS kind FROM r JOIN events ON event_id = req_id)
+  JOIN (VALUES ('click', 1, 200, NULL, 'ok', true), ('view0', 2, 206, NULL, 'ok', false), ('view1', 3, 503, NULL, 'not_ok', false), ('signup', 1, 404, NULL, 'not_ok', false), ('error', 3, NULL, 'timeout', 'rejected', false)) t(kind, n, status, error, outcome, admitted) USING (kind))"""
+
+
 def replay_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay as a stream over the events' files, run until they are read; a key is spread over days."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -82,6 +91,101 @@ def replay_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/replies").select("req_id", "key", "cached", "served")
 
 
+def in_files(rows: DataFrame, order: list[str], files: int, folder: str) -> int:
+    """Write rows as about ``files`` files that a stream takes in ``order``; returns how many there are."""
+    rows.repartitionByRange(files, *order).write.parquet(folder)
+    there = Files(rows.sparkSession, folder)
+    names = there.list("")
+    for i, name in enumerate(names):  # a stream goes by the time of modification, which only follows the names by chance
+        there.set_time(name, (int(time.time()) - len(names) + i) * 1000)
+    return len(names)
+
+
+def event_files(spark: SparkSession, sf_dir: str, batches: int = 6) -> DataFrame:
+    """The events as a stream of about ``batches`` micro-batches, in order of time."""
+    events, folder = table(spark, sf_dir, "events"), shared_dir(spark, "events")
+    n = in_files(events, ["ts", "event_id"], batches, folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-n // batches)).parquet(folder)
+
+
+def replay_microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay as a stream of several micro-batches, each on top of the state that the one before left."""
+    asked, _ = cache.route(as_requests(event_files(spark, sf_dir)))
+    out, marks = shared_dir(spark, "replies"), shared_dir(spark, "progress")
+    replay_batches(asked, out, marks, ["arrival", "req_id"], day(), buckets=16).awaitTermination()
+    return spark.read.parquet(f"{out}/replies").select("req_id", "key", "cached", "served")
+
+
+def text_of(value: str) -> Column:
+    return F.col(value).cast("decimal(20,4)").cast("string")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads behind GET requests, recorded attempt by attempt and read as a source.
+
+    A click's is answered at once, a view's fails twice or more and comes in part or not at all, a signup's is not found, an
+    error's gets no answer.
+    """
+    asked, _ = cache.route(requests(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), "event_type"), "req_id"))
+    answer = lambda status, body: F.struct(F.lit(status).cast("int").alias("status"), F.lit(None).cast("string").alias("error"), F.create_map(F.lit("x-status"), F.lit(str(status))).alias("headers"), body.cast("string").alias("body"))
+    none = F.struct(F.lit(None).cast("int").alias("status"), F.lit("timeout").alias("error"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("body"))
+    body, kind, busy = text_of("body"), F.col("event_type"), answer(503, F.lit(None))
+    tries = F.when(kind == "click", F.array(answer(200, body))).when((kind == "view") & (F.col("key") % 2 == 0), F.array(busy, answer(206, F.concat(F.lit("part:"), body))))
+    tries = tries.when(kind == "view", F.array(busy, busy, busy, answer(200, body))).when(kind == "signup", F.array(answer(404, F.lit("absent")))).otherwise(F.array(none, none, none, none))
+    path = shared_dir(spark, "reads")
+    remote.record(asked.select(F.col("req_id").alias("id"), F.posexplode(tries).alias("attempt", "t")).select("id", "attempt", "t.*"), path)
+    return remote.read_exchanges(spark, path, retries=2)
+
+
+def remote_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reads came to: attempts, the last status, the outcome that follows from it, and whether it may be stored."""
+    outcome = cache.outcome_of(F.col("status"), F.col("error"))
+    found = reads(spark, sf_dir).withColumn("outcome", outcome)
+    return found.select(F.col("id").alias("req_id"), "attempts", "status", "error", "outcome", cache.admitted(F.col("outcome") == "ok", F.col("status")).alias("admitted"), F.col("headers")["x-status"].alias("header"), "body")
+
+
+def replay_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay with outcomes that come from the statuses of the reads behind."""
+    asked, _ = cache.route(requests(spark, sf_dir).drop("outcome", "body"))
+    found = reads(spark, sf_dir).select(F.col("id").alias("req_id"), cache.kept_outcome(F.col("status"), F.col("error")).alias("outcome"), "body")
+    return cache.replay(asked.join(found, "req_id"), ["arrival", "req_id"], day()).select("req_id", "key", "cached", "served")
+
+
+def lookup_vary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by language over stored responses that depend on the language, on nothing, or on everything."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "url", F.explode(F.array(F.lit("en"), F.lit("de"))).alias("lang"))
+    vary = F.when(F.col("url").contains("?"), "*").when(F.col("url").contains("/en/"), "Accept-Language, accept,").otherwise(F.lit(None))
+    stores = pages.select(F.when(F.col("lang") == "en", 1).otherwise(2).alias("created_ord"), "key", vary.alias("vary"), F.create_map(F.lit("ACCEPT-LANGUAGE"), "lang").alias("headers"), F.concat("lang", F.lit(":"), "url").alias("body"))
+    events = table(spark, sf_dir, "events")
+    language = F.when(F.col("event_type") == "click", F.create_map(F.lit("Accept-Language"), F.lit("en"), F.lit("x"), F.lit("y"))).when(F.col("event_type") == "view", F.create_map(F.lit("accept-language"), F.lit("de")))
+    asked = events.select(F.col("event_id").alias("req_id"), F.get_json_object("props", "$.k").cast("long").alias("key"), language.alias("headers"))
+    return cache.lookup_variants(asked, stores).select("req_id", "key", "hit", "cached")
+
+
+def put_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load and twelve puts, the last of which wins whatever its name; the same after the store is compacted."""
+    assets = table(spark, sf_dir, "pages").select(keys.canonical_key(F.col("url")).alias("key"), F.lit(True).alias("ok"), F.concat(F.lit("load:"), "url").alias("body"))
+    store, numbers = VersionedStore(spark, shared_dir(spark, "store")), F.sequence(F.length("key") % 3 + 1, F.lit(12), F.lit(3))
+    store.load_all("assets", assets.select("key"), assets)
+    puts = assets.select("key", F.explode(numbers).alias("n")).select("n", "key", F.concat(F.lit("put"), F.col("n").cast("string")).alias("body"))
+    for n in range(1, 13):
+        store.put("assets", puts.where(F.col("n") == n), str(n))
+    before = shared_dir(spark, "before")
+    store.read("assets").write.parquet(before)
+    store.compact("assets")
+    return store.read("assets").join(spark.read.parquet(before).select("key", F.col("body").alias("before")), "key")
+
+
+def tee_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of GET requests as a stream to the client and, those that are ok, to the store."""
+    asked, _ = cache.route(as_requests(event_files(spark, sf_dir)))
+    asked = asked.withColumns({"key": F.col("key").cast("string"), "body": text_of("body")})
+    store, out = VersionedStore(spark, shared_dir(spark, "store")), shared_dir(spark, "replies")
+    tee_batches(asked, out, shared_dir(spark, "progress"), store, "assets", "events", ["arrival", "req_id"], F.col("outcome") == "ok").awaitTermination()
+    client = spark.read.parquet(out).select(F.lit("client").alias("target"), "req_id", "key", "body")
+    return client.unionByName(store.read("assets").select(F.lit("cache").alias("target"), F.lit(None).cast("long").alias("req_id"), "key", "body"))
+
+
 def gate_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both branches of the router."""
     get, other = cache.route(requests(spark, sf_dir))
@@ -264,12 +368,23 @@ PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
 QUERIES = {
     f.__name__: f
-    for f in (replay_swr, replay_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, lookup_order, lookup_spelling, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, refused_load, rebound_view, xml_documents, app_metadata, app_icons, app_accepts, route_ext, launch)
+    for f in (replay_swr, replay_streamed, replay_microbatches, replay_remote, remote_read, lookup_vary, put_order, tee_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, lookup_order, lookup_spelling, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, refused_load, rebound_view, xml_documents, app_metadata, app_icons, app_accepts, route_ext, launch)
 }
 
 SQL = {
     "replay_swr": REPLAY + "SELECT req_id, key, cached, cached IS NOT NULL AS hit, coalesce(cached, CASE WHEN outcome <> 'rejected' THEN body END) AS served FROM c",
     "replay_streamed": REPLAY + "SELECT req_id, key, cached, coalesce(cached, CASE WHEN outcome <> 'rejected' THEN body END) AS served FROM c",
+    "replay_microbatches": REPLAY + "SELECT req_id, key, cached, coalesce(cached, CASE WHEN outcome <> 'rejected' THEN body END) AS served FROM c",
+    "remote_read": f"WITH {REQUESTS}, {READS} SELECT req_id, attempts, status, error, outcome, admitted, header, body FROM b",
+    "replay_remote": f"""WITH {REQUESTS}, {READS}, c AS (SELECT req_id, key, outcome, body, last_value(CASE WHEN admitted THEN body END IGNORE NULLS) OVER
+  (PARTITION BY key ORDER BY arrival, req_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cached FROM b)
+SELECT req_id, key, cached, coalesce(cached, CASE WHEN outcome <> 'rejected' THEN body END) AS served FROM c""",
+    "lookup_vary": f"""WITH {REQUESTS}, l AS (SELECT event_id AS req_id, CASE event_type WHEN 'click' THEN 'en:' WHEN 'view' THEN 'de:' END AS lang FROM events),
+  f AS (SELECT r.req_id, key, CASE WHEN url LIKE '%?%' THEN NULL WHEN url LIKE '%/en/%' THEN lang || url ELSE 'en:' || url END AS cached FROM r JOIN l USING (req_id) LEFT JOIN pages ON page_id = key)
+SELECT req_id, key, cached IS NOT NULL AS hit, cached FROM f""",
+    "put_order": "SELECT key, body, body AS before FROM (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS key, 'put' || (CASE length(key) % 3 WHEN 0 THEN 10 WHEN 1 THEN 11 ELSE 12 END) AS body FROM pages)",
+    "tee_streamed": f"""WITH {REQUESTS}, t AS (SELECT req_id, arrival, outcome, CAST(key AS VARCHAR) AS key, CAST(CAST(body AS DECIMAL(20,4)) AS VARCHAR) AS body FROM r WHERE method = 'GET')
+SELECT 'client' AS target, req_id, key, body FROM t UNION ALL SELECT 'cache', NULL, key, arg_max(body, (arrival, req_id)) FROM t WHERE outcome = 'ok' GROUP BY key""",
     "gate_method": f"WITH {REQUESTS} SELECT req_id, method, CASE WHEN method = 'GET' THEN 'store' ELSE 'default' END AS branch FROM r",
     "gate_ok": f"WITH {REQUESTS} SELECT req_id, coalesce(outcome = 'ok', false) AS admitted FROM r",
     "lookup_hit": f"WITH {REQUESTS}, {STORES}, f AS (SELECT key, arg_min(body, ord) AS body FROM s GROUP BY key) SELECT req_id, r.key, f.key IS NOT NULL AS hit, f.body AS cached FROM r LEFT JOIN f ON r.key = f.key",

@@ -5,7 +5,7 @@ later batch is applied then, whatever its time. State has no expiry, as the batc
 number of keys.
 
 ``replay_batches`` spreads a key's rows over periods, as the batch replay does, so a key may have any share of a
-micro-batch. ``replay_stream`` is a streaming DataFrame with Spark's own keyed state; one task holds all rows that a key
+micro-batch; its state is kept in bucketed files, of which a batch reads and writes those of its keys (see ``state``). ``replay_stream`` is a streaming DataFrame with Spark's own keyed state; one task holds all rows that a key
 has in a micro-batch, so it is for sources whose batches are small for every key.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators import cache
+from larder.streaming.state import BucketedState
 
 OUTPUT = "req_id long, key string, cached double, served double"
 
@@ -42,23 +43,32 @@ def replay_stream(requests: DataFrame) -> DataFrame:
     return requests.groupBy("key").applyInPandasWithState(replay_key, OUTPUT, "last double", "append", "NoTimeout")
 
 
-def replay_batches(requests: DataFrame, folder: str, marks: str, order: Sequence[str], clock: Column) -> StreamingQuery:
+def replay_batches(requests: DataFrame, folder: str, marks: str, order: Sequence[str], clock: Column, buckets: int = 64) -> StreamingQuery:
     """Starts a stream of replies to GET requests (key, outcome, body and the columns of ``order``), run until all are read.
 
-    Each micro-batch is replayed by ``cache.replay`` with ``order`` and ``clock``, then meets the state before it in a join.
-    Replies go to ``folder``/replies/batch=N and the state after it to ``folder``/state/N, written anew if a batch is
-    repeated. ``folder`` and ``marks`` belong together: a later run goes on from both.
+    Each micro-batch is replayed by ``cache.replay`` with ``order`` and ``clock`` on top of the state before it, of which only
+    the buckets of the batch's keys are read. Replies go to ``folder``/replies/batch=N and the buckets with new values to
+    ``folder``/state, both written anew if a batch is repeated. ``folder`` and ``marks`` belong together: a later run goes on
+    from both.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark, key = batch.sparkSession, F.struct(F.col("key")).alias("_key")  # a null key is a key like any other
-        stored = cache.latest(batch.where((F.col("outcome") == "ok") & F.col("body").isNotNull()), order).select("key", "body")
-        before = spark.read.schema(stored.schema).parquet(f"{folder}/state/{number - 1}") if number else stored.where(F.lit(False))
-        rows = cache.replay(batch, order, clock).withColumn("_key", F.struct(F.col("key"))).join(before.select(key, F.col("body").alias("_last")), "_key", "left")
-        cached = F.coalesce("cached", "_last")
-        answer = cache.served(cached, cache.recovered(F.col("outcome"), F.col("body"), cached))
-        rows.select(*batch.columns, cached.alias("cached"), answer.alias("served")).write.mode("overwrite").parquet(f"{folder}/replies/batch={number}")
-        both = before.withColumn("_new", F.lit(0)).unionByName(stored.withColumn("_new", F.lit(1)))
-        both.groupBy("key").agg(F.max_by("body", "_new").alias("body")).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        state = BucketedState(batch.sparkSession, f"{folder}/state", buckets)
+        batch = batch.withColumn("bucket", state.bucket(F.col("key"), number)).persist()
+        try:
+            stored = batch.where((F.col("outcome") == "ok") & F.col("body").isNotNull())
+            touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            before = state.read(number, touched, stored.select("key", "body").schema)
+            rows = cache.replay(batch, order, clock, "key", "outcome", "body", before)
+            rows.drop("bucket", "hit").write.mode("overwrite").parquet(f"{folder}/replies/batch={number}")
+            # What the changed buckets held and what the batch stored, the batch's last value first.
+            last = cache.latest(stored, order).select("key", "body", F.lit(1).alias("_new"))
+            bucket = state.bucket(F.col("key"), number)
+            changed = stored.select("bucket").distinct()
+            held = before.withColumn("bucket", bucket).join(F.broadcast(changed), "bucket", "left_semi").select("key", "body", F.lit(0).alias("_new"))
+            both = held.unionByName(last).groupBy("key").agg(F.max_by("body", "_new").alias("body"))
+            state.write(number, both.withColumn("bucket", bucket))
+        finally:
+            batch.unpersist()
 
     return requests.writeStream.foreachBatch(apply).option("checkpointLocation", marks).trigger(availableNow=True).start()

@@ -116,3 +116,31 @@ def test_outcomes_of_statuses(spark):
     got = got.select("o", cache.admitted(F.col("o") == "ok", F.col("status")).alias("a")).collect()
     assert [r.o for r in got] == ["ok", "ok", "ok", "not_ok", "not_ok", "rejected", "rejected", "rejected"]
     assert [r.a for r in got] == [True, True, False, False, False, False, False, False]
+
+
+def test_variants_of_a_key(spark):
+    """A stored response answers requests whose headers, of those that it names, are the same as its own request's."""
+    stores = spark.createDataFrame(
+        [
+            (3, "a", None, None, "any"),
+            (1, "a", "Accept-Language", {"ACCEPT-language": "en"}, "en"),
+            (2, "a", " accept-language ,Accept-Language,", {"accept-language": "de"}, "de"),
+            (2, "a", "accept-language, x", {"accept-language": "de", "X": "1"}, "de1"),
+            (0, "a", "*", {"accept-language": "en"}, "never"),
+            (0, "b", "x, *", None, "never"),
+            (1, "c", "x", None, None),
+            (1, "d", "x", {"x": ""}, "empty"),
+            (0, None, None, None, "no key"),
+        ],
+        "created_ord int, key string, vary string, headers map<string,string>, body string",
+    )
+    en, de = {"Accept-Language": "en", "other": "z"}, {"accept-language": "de"}
+    asked = [(1, "a", en), (2, "./a#f", de), (3, "a", None), (4, "a", de | {"x": "1"}), (5, "b", en), (6, "c", {"X": None}), (7, "c", None), (8, "d", {"x": ""}), (9, "d", None), (10, None, en), (11, "e", en)]
+    found = cache.lookup_variants(spark.createDataFrame(asked, "req_id long, key string, headers map<string,string>"), stores)
+    got = {r.req_id: (r.hit, r.cached) for r in found.collect()}
+    assert got == {1: (True, "en"), 2: (True, "de"), 3: (True, "any"), 4: (True, "de"), 5: (False, None), 6: (False, None), 7: (True, None), 8: (True, "empty"), 9: (False, None), 10: (False, None), 11: (False, None)}
+
+
+def test_names_of_vary(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("B, a,,A ",), ("*",), ("a,*",)], "vary string")
+    assert [tuple(r) for r in rows.select(cache.vary_names(F.col("vary")), cache.storable(F.col("vary"))).collect()] == [([], True), ([], True), (["a", "b"], True), (["*"], False), (["*", "a"], False)]

@@ -119,3 +119,75 @@ def test_a_source_that_changes_is_checked_as_written(spark, store):
     with pytest.raises(ValueError, match="loaded before"):
         store.load_all("w", keys(spark, "a"), source(spark, ("a", True, "1")))
         store.load_all("w", keys(spark, "a"), source(spark, ("a", True, "1")))
+
+
+def test_the_last_put_wins_whatever_its_name(spark, store):
+    for part in ("9", "10", "1", None):
+        store.put("v", spark.createDataFrame([("a", f"put{part}")], "key string, body string"), part)
+    assert entries(store.read("v")) == {"a": "putNone"}
+    assert store.put("v", spark.createDataFrame([("a", "again")], "key string, body string"), "10") == 2
+    assert entries(store.read("v")) == {"a": "putNone"}
+    assert store.put("v", spark.createDataFrame([("a", "x"), ("a", "y"), ("a", None)], "key string, body string")) == 5
+    assert entries(store.read("v")) == {"a": "y"}
+
+
+def test_compaction_changes_nothing_but_files(spark, store):
+    store.install("v", keys(spark, "a", "b"), source(spark, ("a", True, "1"), ("b", True, "2")))
+    for i in range(5):
+        store.put("v", spark.createDataFrame([("a", str(i)), (f"k{i}", None)], "key string, body string"), f"p{i}")
+    store.put("v", spark.createDataFrame([], "key string, body string"))
+    before = entries(store.read("v"))
+    assert before == {"a": "4", "b": "2"} | {f"k{i}": None for i in range(5)}
+    store.compact("v")
+    assert entries(store.read("v")) == before and len(store.files.list("data")) == 1
+    assert store.put("v", spark.createDataFrame([("a", "late")], "key string, body string"), "p3") == 4
+    assert store.put("v", spark.createDataFrame([("a", "new")], "key string, body string"), "p9") == 7
+    assert entries(store.read("v")) == before | {"a": "new"}
+    store.compact("v")
+    store.compact("v")
+    store.compact("none")
+    assert entries(store.read("v")) == before | {"a": "new"} and store.names() == ["v"]
+
+
+def test_few_keys_are_read_from_their_buckets(spark, store):
+    many = spark.range(2000).select(F.col("id").cast("string").alias("key"), F.lit(True).alias("ok"), F.concat(F.lit("v"), "id").alias("body"))
+    store.load_all("v", many.select("key"), many)
+    store.put("v", spark.createDataFrame([("7", "new")], "key string, body string"))
+    found = store.read("v", keys=["./7", "8#x", "absent"])
+    assert entries(found) == {"7": "new", "8": "v8"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    files = {f.rsplit("/bucket=", 1)[1].split("/")[0] for f in store.read("v").inputFiles()}
+    assert len(files) == 16
+
+
+def test_a_purge_leaves_what_is_being_read(spark, store):
+    """A version that is read, by a snapshot or through a view, stays readable across ``activate``; then its files go."""
+    good = source(spark, ("a", True, "1"), ("b", True, "2"))
+    store.install("v1", keys(spark, "a"), good, view="held")
+    through_view = spark.table("held")
+    with store.snapshot("v1") as old:
+        store.install("v2", keys(spark, "b"), good)
+        assert store.activate("v2", view="held") == ["v1"]
+        assert (store.names(), entries(old), entries(through_view), entries(spark.table("held"))) == (["v2"], {"a": "1"}, {"a": "1"}, {"b": "2"})
+        assert len(store.files.list("data")) == 2 and store.vacuum() == []
+    assert len(store.vacuum()) == 1 and len(store.files.list("data")) == 1
+    assert entries(spark.table("held")) == {"b": "2"}
+
+
+def test_leases_end(spark, tmp_path):
+    """What a dead writer or reader held goes once its lease is over."""
+    root = f"file://{tmp_path}"
+    dead = VersionedStore(spark, root, lease_seconds=-1)
+    dead.put("v", spark.createDataFrame([("a", "1")], "key string, body string"))
+    with dead.snapshot("v") as old:
+        VersionedStore(spark, root).purge("none")
+        assert dead.files.list("data") == [] and old is not None
+    assert dead.files.list("leases") == []
+
+
+def test_a_store_made_anew_has_nothing_of_the_old(spark, store):
+    store.put("v", spark.createDataFrame([("a", "1")], "key string, body string"), "p")
+    assert store.purge("none") == ["v"] and store.read("v").count() == 0
+    assert store.put("v", spark.createDataFrame([("b", "2")], "key string, body string"), "p") == 1
+    assert entries(store.read("v")) == {"b": "2"}

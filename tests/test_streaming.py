@@ -1,11 +1,19 @@
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from larder import queries
+from larder.plans.log import Files
+from larder.plans.store import VersionedStore
 from larder.streaming import replay
 from larder.streaming.replay import replay_stream
+from larder.streaming.state import BucketedState
+from larder.streaming.tee import tee_batches
 
 SCHEMA = "req_id long, arrival timestamp, key string, outcome string, body double"
 
@@ -74,3 +82,116 @@ def test_streams_and_the_batch_agree_on_null_bodies(spark, tmp_path):
     run(spark, folder, f"{out}-2", f"{marks}-2")
     got = {r.req_id: (r.cached, r.served) for r in spark.read.parquet(f"{out}-2").collect()}
     assert got == want
+
+
+def tree(folder):
+    """batch -> buckets that it wrote and that are still there."""
+    here = folder.removeprefix("file://")
+    return {int(b): sorted(int(x.split("=")[1]) for x in os.listdir(f"{here}/data/{b}") if x.startswith("bucket=")) for b in sorted(os.listdir(f"{here}/data"))}
+
+
+def keyed(spark, state, batch, pairs):
+    rows = spark.createDataFrame(pairs, "key string, body double")
+    return rows.withColumn("bucket", state.bucket(F.col("key"), batch))
+
+
+def values(state, batch, touched=range(8)):
+    return {r.key: r.body for r in state.read(batch, list(touched), "key string, body double").collect()}
+
+
+def test_a_batch_rewrites_its_buckets_alone(spark, tmp_path):
+    folder = f"file://{tmp_path}/state"
+    state = BucketedState(spark, folder, buckets=8)
+    assert values(state, 0) == {}
+    all_keys = [(f"k{i}", float(i)) for i in range(100)] + [(None, -1.0)]
+    assert state.write(0, keyed(spark, state, 0, all_keys)) == list(range(8))
+    one = state.bucket(F.lit("k5"), 1)
+    b = spark.range(1).select(one).first()[0]
+    held = values(state, 1, [b])
+    assert "k5" in held and len(held) < 40
+    # Versions 0 and 1 are kept, so the files of both are there; then what only version 0 named goes.
+    assert state.write(1, keyed(spark, state, 1, list((held | {"k5": 50.0}).items()))) == [b]
+    assert tree(folder) == {0: list(range(8)), 1: [b]}
+    assert state.write(2, keyed(spark, state, 2, list((held | {"k5": 51.0}).items()))) == [b]
+    assert tree(folder) == {0: [x for x in range(8) if x != b], 1: [b], 2: [b]}
+    assert values(state, 3) == dict(all_keys) | {"k5": 51.0}
+    assert values(state, 2) == dict(all_keys) | {"k5": 50.0}
+    # A repeated batch starts from the version before it; the number of buckets is that of the first write.
+    again = BucketedState(spark, folder, buckets=5)
+    assert again.write(2, keyed(spark, again, 2, list((held | {"k5": 52.0}).items()))) == [b]
+    assert values(again, 3) == dict(all_keys) | {"k5": 52.0}
+    assert again.write(3, keyed(spark, again, 3, [])) == []
+    assert values(again, 4) == dict(all_keys) | {"k5": 52.0}
+    assert Files(spark, folder).list("versions") == ["000000000002", "000000000003"]
+
+
+@pytest.mark.parametrize("fails_after", ["replies", "state"])
+def test_a_failed_batch_is_repeated(spark, tmp_path, monkeypatch, fails_after):
+    """A batch that fails after its replies, or after its state, gives the same as one that did not."""
+    draw = random.Random(6)
+    rows = [(n, str(datetime(2020, 1, 1) + timedelta(hours=n)), draw.choice(["a", "b", "c", None]), draw.choice(["ok", "not_ok", "rejected"]), float(n)) for n in range(200)]
+    folder, out, marks = (f"file://{tmp_path}/{x}" for x in ("in", "out", "marks"))
+    batch(spark, folder, rows[:100])
+    batch(spark, folder, rows[100:])
+    want = {r.req_id: (r.cached, r.served) for r in replay.cache.replay(spark.read.schema(SCHEMA).parquet(folder), ["arrival", "req_id"], queries.day()).collect()}
+    plain, failed = BucketedState.write, []
+
+    def write(self, number, rows):
+        if number == 1 and not failed:
+            failed.append(1)
+            if fails_after == "state":
+                plain(self, number, rows)
+            raise RuntimeError("lost")
+        return plain(self, number, rows)
+
+    monkeypatch.setattr(BucketedState, "write", write)
+    start = lambda: replay.replay_batches(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), out, marks, ["arrival", "req_id"], queries.day(), buckets=4)
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    start().awaitTermination()
+    assert failed and {r.req_id: (r.cached, r.served) for r in spark.read.parquet(f"{out}/replies").collect()} == want
+    assert spark.read.parquet(f"{out}/replies").count() == 200
+
+
+def test_state_is_not_joined_to_requests(spark, tmp_path):
+    """The state of a hot key meets one row a period; the requests meet their period's row, so no join has the key alone."""
+    rows = spark.range(1000).select(F.col("id").alias("req_id"), F.lit("hot").alias("key"), F.lit("not_ok").alias("outcome"), F.lit(1.0).alias("body"), (F.col("id") % 50).alias("arrival"))
+    before = spark.createDataFrame([("hot", 7.0), ("other", 8.0)], "key string, body double")
+    found = replay.cache.replay(rows, ["arrival", "req_id"], F.col("arrival"), before=before)
+    assert {(r.cached, r.served) for r in found.collect()} == {(7.0, 7.0)} and found.count() == 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "_period" in plan.split("Join ")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("fails_after", ["replies", "put"])
+def test_two_sinks_are_equal_after_a_failure(spark, tmp_path, monkeypatch, fails_after):
+    folder, out, marks = (f"file://{tmp_path}/{x}" for x in ("in", "out", "marks"))
+    rows = [(n, str(datetime(2020, 1, 1) + timedelta(hours=n)), f"k{n % 7}", "ok" if n % 3 else "not_ok", float(n)) for n in range(60)]
+    for part in (rows[:20], rows[20:40], rows[40:]):
+        batch(spark, folder, part)
+    store, plain, failed = VersionedStore(spark, f"file://{tmp_path}/store"), VersionedStore.put, []
+
+    def put(self, name, entries, part=None):
+        if part == "s-1" and not failed:
+            failed.append(1)
+            if fails_after == "put":
+                plain(self, name, entries, part)
+            raise RuntimeError("lost")
+        return plain(self, name, entries, part)
+
+    monkeypatch.setattr(VersionedStore, "put", put)
+    start = lambda: tee_batches(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), out, marks, store, "v", "s", ["arrival", "req_id"], F.col("outcome") == "ok")
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    start().awaitTermination()
+    assert failed and sorted(r.req_id for r in spark.read.parquet(out).collect()) == list(range(60))
+    assert {r.key: r.body for r in store.read("v").collect()} == {k: b for _, _, k, o, b in rows if o == "ok"}
+    assert len(store._state("v")["deltas"]) == 3
+
+
+def test_files_of_a_stream_are_in_order(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 7).select(F.col("id"), F.xxhash64("id").alias("at"))
+    n = queries.in_files(rows, ["at"], 5, f"file://{tmp_path}/in")
+    files, seen = Files(spark, f"file://{tmp_path}/in"), []
+    spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").writeStream.foreachBatch(lambda b, i: seen.append(b.agg(F.min("at"), F.max("at")).first())).option("checkpointLocation", f"file://{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
+    assert n == 5 == len(files.list("")) == len(seen) and [x for r in seen for x in r] == sorted(x for r in seen for x in r)
