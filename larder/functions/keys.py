@@ -6,9 +6,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+ORIGIN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*"
+
+
 def canonical_key(url: Column) -> Column:
-    """The key of a request: its URL without the fragment; the query stays, a leading ``./`` goes."""
-    return relative_key(F.regexp_replace(url, "(?s)#.*$", ""))
+    """The key of a request, one for all spellings of a URL; the query stays as it is.
+
+    The fragment goes; scheme and host are in lower case (not beside a user name), their default port goes, and an absolute
+    URL without a path has the path ``/``; ``.`` and ``..`` parts of the path are resolved, of a relative one as far as it
+    says itself.
+    """
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    origin = F.regexp_extract(bare, ORIGIN, 0)
+    plain = F.regexp_replace(F.when(F.contains(origin, F.lit("@")), origin).otherwise(F.lower(origin)), "^(http://.*):80$|^(https://.*):443$", "$1$2")
+    rest = F.substr(bare, F.length(origin) + 1)
+    path, query = F.regexp_extract(rest, r"(?s)^[^?]*", 0), F.regexp_extract(rest, r"(?s)\?.*$", 0)
+    rooted = F.when((origin != "") & (path == ""), F.lit("/")).otherwise(path)
+    dotted = F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)"))
+    return F.concat(plain, F.when(dotted, without_dots(path, (origin != "") | F.startswith(path, F.lit("/")))).otherwise(rooted), query)
+
+
+def without_dots(path: Column, absolute: Column) -> Column:
+    """A path without ``.`` and ``..`` parts. Above the root there is nothing; a relative path keeps what leads out of it."""
+    parts = F.split(path, "/")
+    # A last part . or .. is a folder.
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def add(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        stuck = F.when(absolute, F.size(done) <= 1).otherwise(last.isNull() | (last == ".."))
+        up = F.when(stuck & absolute, done).when(stuck, F.concat(done, F.array(part))).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), add), "/")
 
 
 def relative_key(url: Column) -> Column:

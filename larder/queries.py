@@ -20,6 +20,7 @@ from larder.operators import cache
 from larder.plans.log import Files
 from larder.plans.store import VersionedStore, purged
 from larder.sources import descriptor, documents, remote
+from larder.streaming.launch import launch_batches, watched
 from larder.streaming.replay import replay_batches
 from larder.streaming.tee import tee_batches
 
@@ -337,6 +338,27 @@ def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptor.read_descriptor(spark, path, lines=True)
 
 
+#: How some descriptors go wrong: an unknown member, mistyped ones, an extension in place of a list of them, broken JSON.
+WRONG = DESCRIPTOR | {"theme": {"dark": True}, "lang": 5, "icons": "none", "file_handlers": [{"action": "./open.html", "accept": {"text/html": ".HTML", "application/xml": ["xml", 7], "text/plain": [], "text/css": {"a": 1}}}, "none", {"action": "./b.html"}]}
+
+
+def odd_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, v: descriptors of all hosts written to files and read as variants; www hosts' are wrong, m hosts' malformed."""
+    path, given = shared_dir(spark, "descriptors"), lambda d: F.replace(F.lit(json.dumps(d)), F.lit('"Reader"'), F.concat(F.lit('"'), "store_name", F.lit('"')))
+    hosts = list_stores(spark, sf_dir).where("store_name IS NOT NULL")
+    www, mobile = F.col("store_name").startswith("www."), F.col("store_name").startswith("m.")
+    hosts.select(F.when(www, given(WRONG)).when(mobile, F.concat(F.lit('{"name": "'), "store_name", F.lit('", '))).otherwise(given(DESCRIPTOR))).write.text(path)
+    return descriptor.read_variants(spark, path, lines=True).select(F.regexp_extract("text", '"name": "([^"]*)"', 1).alias("name"), "v")
+
+
+def app_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descriptor.members(odd_apps(spark, sf_dir))
+
+
+def app_accepts_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descriptor.accepted_anyhow(odd_apps(spark, sf_dir))
+
+
 def app_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = apps(spark, sf_dir)
     return descriptor.metadata(descriptor.located(found, F.concat(F.lit("https://"), "name", F.lit(PLACE))))
@@ -362,13 +384,28 @@ def launch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptor.opened(files, descriptor.routes(apps(spark, sf_dir)), "url")
 
 
+def launch_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in a watched folder in two goes, a folder a host: the second finds some windows open."""
+    accept = {"application/json": [".json"], "application/xml": [".xml"], "text/xml": [".xml"]}
+    given = json.dumps(DESCRIPTOR | {"file_handlers": [{"action": "./open.html", "accept": accept, "launch_type": "single-client"}]})
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", keys.host(F.col("url")).alias("host")).repartition("host")
+    routes = descriptor.routes(list_stores(spark, sf_dir).select(descriptor.parse_descriptor(F.lit(given)).alias("d")).select("d.*"))
+    folder, out, marks = (shared_dir(spark, x) for x in ("watched", "launches", "progress"))
+    for i, (rows, kind) in enumerate(((pages.where("url LIKE '%/en/%'"), "json"), (pages, "xml"))):
+        writer = rows.write.partitionBy("host").format(kind)
+        (writer.option("rowTag", "page") if kind == "xml" else writer).save(f"{folder}/go{i}")
+        files = watched(spark, folder).select(F.regexp_extract("path", "/host=([^/]*)/", 1).alias("launch_id"), "path")
+        launch_batches(files, routes, out, marks).awaitTermination()
+    return spark.read.parquet(f"{out}/launches").select("launch_id", "action", "window", keys.extension(F.col("file")).alias("ext"), "fresh").distinct()
+
+
 ICONS = "('i/small.png', '192x192', 192, 192, 'image/png', 'any', NULL), ('i/any.svg', 'any', NULL, NULL, 'image/svg+xml', 'any', NULL), ('i/mask.png', '512x256', 512, 256, 'image/png', 'maskable', NULL), ('i/doc.png', '64x64', 64, 64, 'image/png', 'any', './open.html')"
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
 QUERIES = {
     f.__name__: f
-    for f in (replay_swr, replay_streamed, replay_microbatches, replay_remote, remote_read, lookup_vary, put_order, tee_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, lookup_order, lookup_spelling, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, refused_load, rebound_view, xml_documents, app_metadata, app_icons, app_accepts, route_ext, launch)
+    for f in (replay_swr, replay_streamed, replay_microbatches, replay_remote, remote_read, lookup_vary, put_order, tee_streamed, gate_method, gate_ok, lookup_hit, lookup_miss, lookup_order, lookup_spelling, put_latest, tee, recover, list_stores, purge, canon_key, scoped, install_store, refused_load, rebound_view, xml_documents, app_metadata, app_icons, app_accepts, app_members, app_accepts_odd, route_ext, launch, launch_watched)
 }
 
 SQL = {
@@ -405,6 +442,15 @@ SELECT 'client' AS target, req_id, key, body FROM t UNION ALL SELECT 'cache', NU
     "app_metadata": f"SELECT host AS name, 'Rd' AS short_name, 'Opens documents' AS description, CASE WHEN starts_with(host, 'www.') THEN 'de' ELSE 'en' END AS lang, 'https://' || host || '/app/start.html' AS start_url, 'https://' || host || '/en/' AS scope, 'standalone' AS display, '#102030' AS background_color, '#405060' AS theme_color FROM (SELECT DISTINCT {HOST} AS host FROM pages)",
     "app_icons": f"SELECT host AS name, src, sizes, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, type, purpose, CAST(action AS VARCHAR) AS action FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES {ICONS}) t(src, sizes, width, height, type, purpose, action)",
     "app_accepts": f"SELECT host AS name, './open.html' AS action, 'single-client' AS launch_type, mime, ext FROM (SELECT DISTINCT {HOST} AS host FROM pages), (VALUES ('text/html', '.html'), ('application/xhtml+xml', '.html'), ('application/xhtml+xml', '.xhtml')) t(mime, ext)",
+    "app_members": f"""WITH h AS (SELECT DISTINCT {HOST} AS host FROM pages), m(member, kind, wrong) AS (VALUES {", ".join(f"('{c}', '{k}', '{ {'lang': 'BIGINT', 'icons': 'STRING'}.get(c, k)}')" for c, k in descriptor.KINDS.items())}, ('theme', NULL, 'OBJECT'))
+SELECT host AS name, member, CASE WHEN starts_with(host, 'www.') THEN wrong ELSE kind END AS kind, CASE WHEN kind IS NULL THEN 'unknown' WHEN starts_with(host, 'www.') AND wrong <> kind THEN 'mistyped' END AS reason
+FROM h, m WHERE NOT starts_with(host, 'm.') AND (kind IS NOT NULL OR starts_with(host, 'www.')) UNION ALL SELECT host, NULL, NULL, 'malformed' FROM h WHERE starts_with(host, 'm.')""",
+    "app_accepts_odd": f"""WITH h AS (SELECT DISTINCT {HOST} AS host FROM pages)
+SELECT host AS name, action, mime, ext, reason FROM h, (VALUES (false, './open.html', 'text/html', '.html', NULL), (false, './open.html', 'application/xhtml+xml', '.html', NULL), (false, './open.html', 'application/xhtml+xml', '.xhtml', NULL),
+  (true, './open.html', 'text/html', '.html', 'text'), (true, './open.html', 'application/xml', 'xml', 'no extension'), (true, './open.html', 'application/xml', NULL, 'mistyped'), (true, './open.html', 'text/css', NULL, 'mistyped'), (true, NULL, NULL, NULL, 'mistyped'), (true, './b.html', NULL, NULL, 'mistyped')) t(wrong, action, mime, ext, reason)
+WHERE NOT starts_with(host, 'm.') AND wrong = starts_with(host, 'www.')""",
     "route_ext": f"SELECT page_id, '.html' AS ext, './open.html' AS action FROM pages WHERE lower({PATH}) LIKE '%.html'",
+    "launch_watched": f"""WITH h AS (SELECT {HOST} AS host, bool_or(url LIKE '%/en/%') AS first FROM pages GROUP BY ALL)
+SELECT host AS launch_id, './open.html' AS action, '' AS window, '.json' AS ext, true AS fresh FROM h WHERE first UNION ALL SELECT host, './open.html', '', '.xml', NOT first FROM h""",
     "launch": f"SELECT {HOST} AS launch_id, './open.html' AS action, '' AS window, url AS file FROM pages WHERE lower({PATH}) LIKE '%.html'",
 }

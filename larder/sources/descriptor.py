@@ -1,6 +1,8 @@
 """Application descriptors: nested JSON with icons and file associations.
 
-The schema is explicit: inferred, the MIME types of ``accept`` would become column names.
+The schema is explicit: inferred, the MIME types of ``accept`` would become column names. A member of another type than the
+schema's reads as null there, without a word; ``members`` and ``accepted_anyhow`` read descriptors as variants instead, tell
+what is unknown or mistyped, and take an extension given as text where a list should be.
 """
 
 from __future__ import annotations
@@ -90,3 +92,57 @@ def launches(files: DataFrame, table: DataFrame, path: str = "path", launch: str
     A launch is one row with an array of its files, so one task holds them; ``opened`` has them as rows.
     """
     return opened(files, table, path, launch).groupBy(launch, "action", "window").agg(F.array_sort(F.collect_list("file")).alias("files")).drop("window")
+
+
+#: The members of a descriptor and their kinds: fixed values of the web-app descriptor format.
+KINDS = {c: "STRING" for c in ("name", "short_name", "description", "start_url", "scope", "display", "background_color", "theme_color", "lang")} | {"icons": "ARRAY", "file_handlers": "ARRAY"}
+
+
+def read_variants(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """path, text, v: one row a descriptor file, or with ``lines`` one a line, as a variant; v is null for a malformed one."""
+    texts = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return texts.withColumn("v", F.try_parse_json("text"))
+
+
+def kind_of(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, ..., VOID for a JSON null."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def members(apps: DataFrame) -> DataFrame:
+    """The columns of ``apps`` but v, with a row for each member of its v: member, kind and reason.
+
+    The reason is ``unknown`` for a member that the format lacks, ``mistyped`` for one of another kind than the format's,
+    null for the others. A descriptor that is no JSON object is one row, without member, with the reason ``malformed``.
+    """
+    rest = [c for c in apps.columns if c != "v"]
+    is_object = F.coalesce(kind_of(F.col("v")) == "OBJECT", F.lit(False))
+    found = apps.where(is_object).lateralJoin(apps.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    wanted = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("key")]
+    found = found.select(*rest, F.col("key").alias("member"), kind_of(F.col("value")).alias("kind"), wanted.alias("_wanted"))
+    reason = F.when(F.col("_wanted").isNull(), "unknown").when(F.col("kind") != F.col("_wanted"), "mistyped")
+    none = F.lit(None).cast("string")
+    bad = apps.where(~is_object).select(*rest, none.alias("member"), none.alias("kind"), F.lit("malformed").alias("reason"))
+    return found.select(*rest, "member", "kind", reason.alias("reason")).unionByName(bad)
+
+
+def accepted_anyhow(apps: DataFrame) -> DataFrame:
+    """The columns of ``apps`` but v, with action, mime, ext (lower-cased) and reason: ``accepted`` of descriptors as variants.
+
+    What a type accepts should be a list of texts. A single text is taken as a list of one (reason ``text``); what is no text,
+    or no list, is a row without ext (``mistyped``), and a text without a leading dot stays, as ``no extension``. Handlers that
+    are no objects, or whose accept is none, have one row without mime (``mistyped``).
+    """
+    rest = [c for c in apps.columns if c != "v"]
+    each = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    rows = apps.select(*rest, F.explode(each(F.col("v"), "$.file_handlers")).alias("_h"))
+    types = F.when(kind_of(F.try_variant_get("_h", "$.accept", "variant")) == "OBJECT", F.try_variant_get("_h", "$.accept", "map<string,variant>"))
+    rows = rows.select(*rest, F.try_variant_get("_h", "$.action", "string").alias("action"), F.explode_outer(types).alias("mime", "_e"))
+    kind = kind_of(F.col("_e"))
+    texts = F.when(kind == "ARRAY", each(F.col("_e"), "$")).otherwise(F.array("_e"))
+    # An empty list accepts nothing, and is well formed.
+    rows = rows.where(~F.coalesce((kind == "ARRAY") & (F.size(texts) == 0), F.lit(False)))
+    rows = rows.select(*rest, "action", "mime", (kind == "STRING").alias("_alone"), (kind == "ARRAY").alias("_list"), F.explode(texts).alias("_x"))
+    text = F.when((kind_of(F.col("_x")) == "STRING") & (F.col("_alone") | F.col("_list")), F.lower(F.try_variant_get("_x", "$", "string")))
+    reason = F.when(F.col("ext").isNull(), "mistyped").when(~F.startswith("ext", F.lit(".")), "no extension").when(F.col("_alone"), "text")
+    return rows.withColumn("ext", text).select(*rest, "action", "mime", "ext", reason.alias("reason"))

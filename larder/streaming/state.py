@@ -38,7 +38,7 @@ class BucketedState:
     def bucket(self, key: Column, batch: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.before(batch)["buckets"])).cast("int")
 
-    def read(self, batch: int, touched: list[int], schema: StructType) -> DataFrame:
+    def read(self, batch: int, touched: list[int], schema: StructType | str) -> DataFrame:
         """The state before ``batch`` in the buckets ``touched``."""
         at = self.before(batch)["at"]
         paths = [self.files.uri(f"data/{at[str(b)]:012d}/bucket={b}") for b in touched if str(b) in at]

@@ -105,3 +105,27 @@ def test_located_descriptor_scopes_pages(spark, tmp_path):
     assert (app.start_url, app.scope, app.file_handlers[0].action) == ("https://h.org/app/i.html", "https://h.org/app/", "https://h.org/app/open")
     rows = spark.createDataFrame([("https://h.org/app/x",), ("https://h.org/apple",)], "u string").select(keys.in_scope(F.col("u"), F.lit(app.scope)).alias("s"))
     assert [r.s for r in rows.collect()] == [True, False]
+
+
+def test_spellings_of_a_url(spark):
+    cases = {
+        "icons/../a": "a", "./a": "a", "./././a#x": "a", "a/./b/": "a/b/", "../a": "../a", "a/../../b": "../b", "..": "../", ".": "", "a/..": "", "a/b/..": "a/", "../..": "../../",
+        "HTTP://H.com/A?B=C#d": "http://h.com/A?B=C", "https://h.com:443": "https://h.com/", "http://h.com:80/x": "http://h.com/x", "http://h.com:8080?q": "http://h.com:8080/?q", "https://h.com:80/": "https://h.com:80/",
+        "http://h.com/a/../../b/./c": "http://h.com/b/c", "http://h.com/..": "http://h.com/", "http://h.com/a/.": "http://h.com/a/", "/a/../b": "/b", "/..": "/", "http://U@H.com/a": "http://U@H.com/a",
+        "a?x=/../y": "a?x=/../y", "a..b/.c/..d": "a..b/.c/..d", "": "", "#f": "", "?q": "?q", None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "url string")
+    assert {r.url: r.k for r in rows.select("url", keys.canonical_key(F.col("url")).alias("k")).collect()} == cases
+    twice = rows.select(keys.canonical_key(F.col("url")).alias("k")).select("k", keys.canonical_key(F.col("k")).alias("again"))
+    assert twice.where("NOT k <=> again").count() == 0
+
+
+def test_odd_descriptors(spark, tmp_path):
+    texts = ['{"file_handlers": [{"action": "a", "accept": {"x/y": ".A", "x/z": [], "x/w": [".b", null, ["c"]], "x/v": null}}, 5]}', '{"file_handlers": {"accept": {}}, "name": null}', "[1]", "{", "null", "{}"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(t)
+    apps = descriptor.read_variants(spark, f"file://{tmp_path}/*.json").select(F.regexp_extract("path", "([0-9])[.]json", 1).cast("int").alias("i"), "v")
+    got = {tuple(r) for r in descriptor.members(apps).collect()}
+    assert got == {(0, "file_handlers", "ARRAY", None), (1, "file_handlers", "OBJECT", "mistyped"), (1, "name", "VOID", "mistyped"), (2, None, None, "malformed"), (3, None, None, "malformed"), (4, None, None, "malformed")}
+    got = sorted(map(str, map(tuple, descriptor.accepted_anyhow(apps).collect())))
+    assert got == sorted(map(str, [(0, "a", "x/y", ".a", "text"), (0, "a", "x/w", ".b", None), (0, "a", "x/w", None, "mistyped"), (0, "a", "x/w", None, "mistyped"), (0, "a", "x/v", None, "mistyped"), (0, None, None, None, "mistyped")]))

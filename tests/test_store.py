@@ -191,3 +191,31 @@ def test_a_store_made_anew_has_nothing_of_the_old(spark, store):
     assert store.purge("none") == ["v"] and store.read("v").count() == 0
     assert store.put("v", spark.createDataFrame([("b", "2")], "key string, body string"), "p") == 1
     assert entries(store.read("v")) == {"b": "2"}
+
+
+def test_a_missing_key_opens_no_entries(spark, tmp_path):
+    """Bases are skipped by their filters, puts by their ranges of keys; keys that are there are found in all stores."""
+    store = VersionedStore(spark, f"file://{tmp_path}", filter_rows=1)
+    many = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(True).alias("ok"), F.concat(F.lit("v"), "id").alias("body"))
+    store.load_all("v1", many.select("key").where("key < 'k5'"), many)
+    store.load_all("v2", many.select("key"), many)
+    store.put("v2", spark.createDataFrame([("k1", "new"), ("k2", None)], "key string, body string"))
+    store.put("v2", spark.createDataFrame([], "key string, body string"))
+    absent = [f"k9{i:05d}" for i in range(40)]
+    passed = sum(store.find([k]).inputFiles() != [] for k in absent)
+    assert passed <= 8 and store.find(["a", None, "zz"]).inputFiles() == []
+    miss = next(k for k in absent if store.find([k]).inputFiles() == [])
+    plan = store.find([miss])._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and store.find([miss]).count() == 0
+    found = {(r.store_name, r.created_ord, r.key, r.body) for r in store.find(["./k1", "k2#x", "k700", "k700", miss]).collect()}
+    assert found == {("v1", 0, "k1", "v1"), ("v2", 1, "k1", "new"), ("v1", 0, "k2", "v2"), ("v2", 1, "k2", None), ("v2", 1, "k700", "v700")}
+    assert {x.split("folder=")[1][:33] for x in store.find(["k700"]).inputFiles()} == {store._state("v2")["base"]}
+    store.compact("v2")
+    assert {r.body for r in store.find(["k1"]).collect()} == {"v1", "new"} and len(store.files.list("filters")) == 2
+    assert store.find([miss]).inputFiles() == []
+    everything = [r.key for r in many.select("key").collect()]
+    assert store.find(everything).where("store_name = 'v2'").count() == 1000
+
+
+def test_find_without_stores(store):
+    assert store.find(["a"]).count() == 0 and store.find([]).columns == ["store_name", "created_ord", "key", "body"]

@@ -11,6 +11,7 @@ from larder import queries
 from larder.plans.log import Files
 from larder.plans.store import VersionedStore
 from larder.streaming import replay
+from larder.streaming.launch import launch_batches, watched
 from larder.streaming.replay import replay_stream
 from larder.streaming.state import BucketedState
 from larder.streaming.tee import tee_batches
@@ -195,3 +196,39 @@ def test_files_of_a_stream_are_in_order(spark, tmp_path):
     files, seen = Files(spark, f"file://{tmp_path}/in"), []
     spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").writeStream.foreachBatch(lambda b, i: seen.append(b.agg(F.min("at"), F.max("at")).first())).option("checkpointLocation", f"file://{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
     assert n == 5 == len(files.list("")) == len(seen) and [x for r in seen for x in r] == sorted(x for r in seen for x in r)
+
+
+def test_launches_over_batches(spark, tmp_path, monkeypatch):
+    """Windows stay open over batches; files that no route opens stay out; a batch that failed after its state is the same."""
+    routes = spark.createDataFrame([(".json", "edit", "single-client"), (".csv", "table", "multiple-clients")], "ext string, action string, launch_type string")
+    folder, out, marks = f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/marks"
+    files = lambda: watched(spark, folder).select(F.regexp_extract("path", "/in/([^/]+)/", 1).alias("launch_id"), "path")
+
+    def arrive(*names):
+        for n in names:
+            (tmp_path / "in" / n).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / n).write_text("x")
+
+    def launched():
+        launch_batches(files(), routes, out, marks, buckets=3).awaitTermination()
+        rows = spark.read.parquet(f"{out}/launches").collect() if (tmp_path / "out/launches").exists() else []
+        return sorted((r.batch, r.launch_id, r.action, r.window[-5:], r.file[-5:], r.fresh) for r in rows)
+
+    arrive("a/1.json", "a/2.JSON", "b/1.txt", "a/1.csv")
+    first = [(0, "a", "edit", "", "1.json"[-5:], True), (0, "a", "edit", "", ".JSON", True), (0, "a", "table", "1.csv", "1.csv", True)]
+    assert launched() == sorted(first)
+    plain, failed = BucketedState.write, []
+
+    def write(self, number, rows):
+        plain(self, number, rows)
+        if not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(BucketedState, "write", write)
+    arrive("a/3.json", "b/2.json", "a/2.csv")
+    with pytest.raises(Exception, match="lost"):
+        launched()
+    second = [(1, "a", "edit", "", ".json", False), (1, "b", "edit", "", ".json", True), (1, "a", "table", "2.csv", "2.csv", True)]
+    assert launched() == sorted(first + second)
+    assert launched() == sorted(first + second)
