@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 
 ORIGIN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*"
 
+#: What a key that may not be canonical has: a fragment, a part . or .., or capitals or a port in its origin.
+OTHER_FORM = r"#|(^|/)\.\.?([/?]|$)|^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*[A-Z:]|^[a-z0-9+.-]*[A-Z][a-zA-Z0-9+.-]*://"
+
 
 def canonical_key(url: Column) -> Column:
     """The key of a request, one for all spellings of a URL; the query stays as it is.
 
-    The fragment goes; scheme and host are in lower case (not beside a user name), their default port goes, and an absolute
-    URL without a path has the path ``/``; ``.`` and ``..`` parts of the path are resolved, of a relative one as far as it
-    says itself.
+    The fragment goes; scheme and host are in lower case (not beside a user name), their default port goes; ``.`` and ``..`` parts
+    of the path are resolved, of a relative one as far as it says itself. An absolute URL without a path stays without one.
     """
+    # Most keys are canonical, which one pattern tells; a lambda's argument is computed once, however often it is named.
+    return F.when(F.regexp_like(url, F.lit(OTHER_FORM)), F.transform(F.array(url), in_canonical_form)[0]).otherwise(url)
+
+
+def in_canonical_form(url: Column) -> Column:
     bare = F.regexp_replace(url, "(?s)#.*$", "")
     origin = F.regexp_extract(bare, ORIGIN, 0)
     plain = F.regexp_replace(F.when(F.contains(origin, F.lit("@")), origin).otherwise(F.lower(origin)), "^(http://.*):80$|^(https://.*):443$", "$1$2")
     rest = F.substr(bare, F.length(origin) + 1)
     path, query = F.regexp_extract(rest, r"(?s)^[^?]*", 0), F.regexp_extract(rest, r"(?s)\?.*$", 0)
-    rooted = F.when((origin != "") & (path == ""), F.lit("/")).otherwise(path)
     dotted = F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)"))
-    return F.concat(plain, F.when(dotted, without_dots(path, (origin != "") | F.startswith(path, F.lit("/")))).otherwise(rooted), query)
+    return F.concat(plain, F.when(dotted, without_dots(path, (origin != "") | F.startswith(path, F.lit("/")))).otherwise(path), query)
 
 
 def without_dots(path: Column, absolute: Column) -> Column:

@@ -110,7 +110,7 @@ def test_located_descriptor_scopes_pages(spark, tmp_path):
 def test_spellings_of_a_url(spark):
     cases = {
         "icons/../a": "a", "./a": "a", "./././a#x": "a", "a/./b/": "a/b/", "../a": "../a", "a/../../b": "../b", "..": "../", ".": "", "a/..": "", "a/b/..": "a/", "../..": "../../",
-        "HTTP://H.com/A?B=C#d": "http://h.com/A?B=C", "https://h.com:443": "https://h.com/", "http://h.com:80/x": "http://h.com/x", "http://h.com:8080?q": "http://h.com:8080/?q", "https://h.com:80/": "https://h.com:80/",
+        "HTTP://H.com/A?B=C#d": "http://h.com/A?B=C", "https://h.com:443": "https://h.com", "http://h.com:80/x": "http://h.com/x", "http://h.com:8080?q": "http://h.com:8080?q", "https://h.com:80/": "https://h.com:80/",
         "http://h.com/a/../../b/./c": "http://h.com/b/c", "http://h.com/..": "http://h.com/", "http://h.com/a/.": "http://h.com/a/", "/a/../b": "/b", "/..": "/", "http://U@H.com/a": "http://U@H.com/a",
         "a?x=/../y": "a?x=/../y", "a..b/.c/..d": "a..b/.c/..d", "": "", "#f": "", "?q": "?q", None: None,
     }
