@@ -11,8 +11,10 @@
 Shards have about ``shard_tokens`` words, so that a source with a third of all rows is spread over many tasks. A document's
 shard is a hash of its doc_id and text, so null and equal ids are spread too; rows with equal doc_id and text are dealt out
 by their place in the written table of sizes where there are more than ``most_copies`` of them.
-Nulls: a null text has size 0, a null source is a source of its own and comes last, null doc_ids are documents like any
-other. Repeated rows are documents of their own. Without any word all targets and taken counts are 0. Other columns of
+Nulls: a null text has size 0 and takes 0 words, as any text without words, without a place on a ring; a null source is a source of its own and comes last, null doc_ids are documents like any
+other. Repeated rows are documents of their own; equal
+quotients go to the lesser source or shard. Very long texts are one document, of which a run may take a part. No rows give
+no rows. Without any word all targets and taken counts are 0. Other columns of
 the input, whatever their names, are ignored.
 """
 
@@ -124,9 +126,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: f
     cells = cells.withColumn("_rounds", F.floor(F.col("_quota") / ring)).withColumn("_rest", F.col("_quota") - F.col("_rounds") * F.col("cell_size"))
     cells = cells.withColumn("_from", F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "shard"), F.ceil(ring / block_tokens)) * block_tokens)
     w = Window.partitionBy("sid", "shard").orderBy("_at", "doc_id", "size")
-    placed = dealt.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
+    # Rows without words take none; they are in no ring, or they would all lie in the few shards that words call for.
+    placed = dealt.where("size > 0").withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
     placed = placed.join(cells, ["sid", "shard"])
     over = lambda a, b: F.greatest(F.lit(0), F.least(F.col("_end"), b) - F.greatest(F.col("_start"), a))
     stop = F.col("_from") + F.col("_rest")
     taken = F.col("_rounds") * F.col("size") + over(F.col("_from"), stop) + over(F.lit(0), stop - F.col("cell_size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "source_blocks", "shard", taken.cast("long").alias("taken"))
+    out = ["doc_id", "source", "size", "source_size", "target", "source_blocks", "shard"]
+    return placed.select(*out, taken.cast("long").alias("taken")).unionByName(dealt.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken")))

@@ -157,3 +157,15 @@ def test_selection_by_hand(spark):
     rows = [tuple(r) for r in documents(spark).collect()] + [(None, "c", "a b c"), (7, "a", "a b c"), (7, "a", "a b c")]
     got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), block_tokens=16, shard_tokens=300)
     assert sorted(((r.doc_id, r.taken) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_wordless_rows_are_in_no_window(spark):
+    """Very many null texts beside few words: no task that orders a shard has them."""
+    empty = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("text"))
+    some = spark.createDataFrame([(-1, "s", "a b c"), (-2, "s", "d")], DOCS)
+    got = mixing.mix_sources(empty.unionByName(some), block_tokens=1)
+    rows = {r.doc_id: (r.size, r.taken) for r in got.collect()}
+    assert len(rows) == 20_002 and sum(t for _, t in rows.values()) == 6 and rows[-1][0] == 3
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "size" in plan.split("Window")[1].split("Filter")[1].split("\n")[0]
+    assert got.where("size = 0").rdd.glom().map(len).filter(lambda n: n).count() > 1
