@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. First pass, each block alone:
 
 * bad: inside a menu, header, footer, sidebar, notice, advert, form or comment section (by element, role, class or id; a
   name says nothing of a main element, of an article that is named like one, or of a container that holds the page),
-  hidden, or mostly link text;
+  hidden, or mostly link text. A name counts as a whole: ``ad-slot`` names an advert, ``ad-free`` and ``related-work`` name
+  nothing. Ids of headings, paragraphs and other single blocks say nothing, for they are mostly made from the text, their
+  classes only what a single block can be;
 * good: long with many stop words;
 * otherwise bad if it is long with few stop words, else ambiguous: ``near`` or ``few`` (fairly long, with or without a share
   of stop words) or ``short``.
@@ -12,21 +14,25 @@ A page is cut into blocks at block-level tags. First pass, each block alone:
 A page of few stop words throughout is in a language or script that the list lacks; there length and links decide alone.
 
 Second pass: ambiguous blocks inherit the label of their nearest decided neighbours. Where these differ, ``near`` blocks are
-good, and ``short`` ones follow the neighbour of their own section, else the closer (a heading the following, a tie is bad).
-``few`` blocks come first: they are good only if their neighbours in their own section are. If no block is good, the ``near`` ones are.
+good if the good neighbour is of their own section, and ``short`` ones follow the neighbour of their own section, else the
+closer (a heading the following, a tie is bad).
+``few`` blocks come first: they are good only if their neighbours in their own section are. If no block is good, the ``near``
+ones are, and if there are none of these, all with a word that are not bad: a short page.
 
 Article, main and so named elements are a feature of the rules. The surest kind of them with at least as much text as is
 good by itself outside them is taken to hold the article (others are teasers or cards); of several the small ones without a
-good block are cards too. What is outside is bad. Inside, few stop words make no block bad, and links only where three or
-more blocks of nothing else follow each other (a menu); the other rules stay, and ambiguous blocks inherit from the decided
-blocks inside or the holder's own edge, which is good; where these differ they are good.
+good block are cards too. What is outside is bad. Inside, the first pass runs with other thresholds: few stop words make no
+block bad, and links only in a menu, a run of short blocks of nothing else (two in a bulleted list, three elsewhere; a
+numbered list is no menu). Ambiguous blocks inherit from the decided blocks inside or the holder's own edge, which is good;
+where these differ they are good.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one \\n. Scripts,
 styles, comments, titles and other markup never are text. Nothing is cut or capped, and every page takes linear time.
 
 Nulls: a null or empty html gives an empty text. Broken and truncated markup is read as far as it goes: an
 unclosed or self-closed tag hides nothing but itself, except unclosed script, style and comment, which are code to the
-end. Rows are independent, so ties and repeated rows give equal results. Other columns are ignored.
+end. Rows are independent, so ties and repeated rows give equal results; very long pages are one row, read whole. No rows
+give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +57,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Containers that gather what belongs together; lists, tables and their parts do not.
 SECTIONS = frozenset("article aside body details dialog div footer form header main nav section".split())
 # Words of class, id and role that name what is not the article.
-BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification outbrain paywall popup promo promoted promotion recommended related respond reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar widget widgets".split())
+BAD_WORDS = frozenset("ad ads adslot adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification outbrain paywall popup promo promoted promotion recommended related respond responses reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar widget widgets".split())
+# Words that stand beside those in names of the same things.
+PART_WORDS = frozenset("area article articles bar block bottom box button buttons container content footer global header icons inner item items left link links list main outer page panel post posts primary reader readers right row secondary section site slot story stories thread top unit user users wrap wrapper".split())
+# Those that a single block, not a section, can have as its class.
+BLOCK_WORDS = frozenset("ad ads advert advertisement breadcrumb breadcrumbs cookie disclaimer newsletter notice promo share sharing sponsored subscribe".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("article articlebody content entry post story".split())
 # Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
@@ -74,8 +84,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ARTICLE, MAIN, NAMED, NONE = 4, 2, 1, 0
 
 SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.1, 10
-#: A menu inside an article has so many blocks of link text or more; a card has at most this share of the largest text.
-MENU, CARD = 3, 0.2
+#: A menu inside an article has so many blocks of link text or more, each shorter than an item; a card has at most this share
+#: of the largest text.
+MENU, ITEM, CARD = 3, 40, 0.2
 
 
 class Container:
@@ -171,17 +182,29 @@ def raw_ends(tags: list[Tag]) -> dict[int, int]:
     return ends
 
 
-def told(attrs: str) -> tuple[set[str], bool]:
-    """The words of an element's class, id, role and itemprop, and whether it is hidden."""
-    words: set[str] = set()
+def told(attrs: str) -> tuple[list[str], list[str], bool]:
+    """The names in an element's class, role and itemprop, those in its id, and whether it is hidden."""
+    names: list[str] = []
+    ids: list[str] = []
     hidden = False
     for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
         name = name.lower()
-        if name in ("class", "id", "role", "itemprop"):
-            words.update(NAME_WORD.findall(CAMEL.sub(r"\1 \2", value).lower()))
+        if name in ("class", "role", "itemprop"):
+            names += value.strip("\"'").split()
+        elif name == "id":
+            ids.append(value.strip("\"'"))
         elif name == "hidden" or name == "style" and UNSEEN_STYLE.search(value) or name == "aria-hidden" and value.strip("\"'").lower() == "true":
             hidden = True
-    return words, hidden
+    return names, ids, hidden
+
+
+def words_of(name: str) -> list[str]:
+    return NAME_WORD.findall(CAMEL.sub(r"\1 \2", name).lower())
+
+
+def names_one_of(names: list[str], wanted: frozenset[str]) -> bool:
+    """Whether a name as a whole says one of ``wanted``: it has one, and beside them only words that go with them."""
+    return any(wanted.intersection(words) and all(w in wanted or w in PART_WORDS for w in words) for words in map(words_of, names))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -223,8 +246,8 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             in_link, heading, alone_bad = False, not t.closes and name in HEADINGS, False
             if name not in CONTAINERS and not t.closes and t.attrs:
-                words, hidden = told(t.attrs)
-                alone_bad = hidden or bool(words & BAD_WORDS)
+                names, _, hidden = told(t.attrs)
+                alone_bad = hidden or not heading and any(n.lower() in BLOCK_WORDS for n in names)
         if name in CONTAINERS or name == "button":
             if t.closes:
                 if opened[name]:
@@ -232,12 +255,13 @@ def blocks_of(page: str) -> list[Block]:
                         opened[shut.name] -= 1
                     opened[name] -= 1
             elif not t.attrs.endswith("/"):
-                words, hidden = told(t.attrs)
+                names, ids, hidden = told(t.attrs)
+                words = {w for n in names + ids for w in words_of(n)}
                 outer = stack[-1]
                 body, inside = name == "body", outer.main
                 bad = name in BAD_ELEMENTS or hidden and not body or not inside and name == "header"
                 main = ARTICLE if name == "article" else MAIN if name == "main" else NAMED if words & MAIN_WORDS and not body else NONE
-                by_name = not body and bool(words & BAD_WORDS) or not inside and bool(words & HEADER_WORDS)
+                by_name = not body and names_one_of(names + ids, BAD_WORDS) or not inside and names_one_of(names + ids, HEADER_WORDS)
                 doubted = not bad and by_name and name != "main" and not (name == "article" and words & MAIN_WORDS)
                 stack.append(Container(name, len(containers), outer, bad, main, doubted))
                 containers.append(stack[-1])
@@ -280,17 +304,19 @@ def count_stop_words(blocks: list[Block]) -> bool:
     return sum(b.stops for b in long_) >= FEW_STOPS * sum(b.words for b in long_)
 
 
-def by_density(b: Block, known: bool) -> str:
-    """The label of a block by its links, length and stop words alone."""
-    if b.link > LINKS:
+def by_density(b: Block, known: bool, inside: bool = False, menu: bool = False) -> str:
+    """The label of a block by its links, length and stop words alone; ``inside`` what holds the article, by other thresholds."""
+    if menu or b.link > LINKS and not inside:
         return "bad"
     if len(b.text) < SHORT:
-        return "bad" if b.link > 0 else "short"
+        return "bad" if b.link > 0 and not inside else "short"
     long_ = len(b.text) >= LONG
+    if inside and b.link > LINKS:
+        return "near"
     if not known:
         return "good" if long_ else "near"
     if b.stops < FEW_STOPS * b.words or not b.words:
-        return "bad" if long_ else "few"
+        return "near" if inside else "bad" if long_ else "few"
     return "good" if long_ and b.stops >= MANY_STOPS else "near"
 
 
@@ -314,16 +340,16 @@ def inside_holder(blocks: list[Block], labels: list[str]) -> set[int] | None:
 
 
 def menus(blocks: list[Block], among: list[int]) -> set[int]:
-    """Places of runs of at least MENU blocks of one list or parent that are nothing but short links."""
+    """Places of runs of blocks of one list or parent that are nothing but short links."""
     found: set[int] = set()
     run: list[int] = []
     parent = None
     for i in [*among, -1]:
-        link = i >= 0 and blocks[i].link > 0.9 and len(blocks[i].text) < SHORT
+        link = i >= 0 and blocks[i].link > 0.9 and len(blocks[i].text) < ITEM
         c = blocks[i].inside
         here = c.outer or c if c.name in SECTIONS else c
         if run and not (link and here is parent):
-            if len(run) >= MENU:
+            if parent.name != "ol" and len(run) >= (2 if parent.name in ("ul", "menu") else MENU):
                 found.update(run)
             run = []
         if link:
@@ -343,10 +369,7 @@ def classify(blocks: list[Block]) -> None:
     among = sorted(inside)
     menu = menus(blocks, among)
     for i, b in enumerate(blocks):
-        if i not in inside or i in menu:
-            labels[i] = b.label = "bad"
-        elif labels[i] in ("bad", "few"):  # by links or few stop words, which say less of a block here
-            labels[i] = "short" if len(b.text) < SHORT else "near"
+        labels[i] = b.label = by_density(b, known, True, i in menu) if i in inside else "bad"
     for i in among:
         labels[i] = "good" if labels[i] == "near" else labels[i]
     inherit(blocks, labels, among, "good")
@@ -360,6 +383,10 @@ def inherit(blocks: list[Block], labels: list[str], among: list[int], edge: str)
     if not any(labels[i] == "good" for i in among):
         for i in among:
             labels[i] = "good" if labels[i] == "near" else labels[i]
+    if edge == "bad" and not any(labels[i] == "good" for i in among):
+        for i in among:
+            if labels[i] != "bad" and any(len(w) > 1 for w in LETTERS.findall(blocks[i].text)):
+                labels[i] = "good"
     for kinds in (("few",), ("near", "short")):
         settle(blocks, labels, among, edge, kinds)
     for i in among:
@@ -384,8 +411,10 @@ def settle(blocks: list[Block], labels: list[str], among: list[int], edge: str,
             labels[i] = "good" if here and "bad" not in here else "bad"
         elif first == second:
             labels[i] = first
-        elif labels[i] == "near" or edge == "good":
+        elif edge == "good" or labels[i] == "near" and own[first == "bad"]:
             labels[i] = "good"
+        elif labels[i] == "near":
+            labels[i] = "bad"  # alone in its section, between good and bad
         elif b.heading or own[0] == own[1] and right < left or own[1] and not own[0]:
             labels[i] = second
         elif own[0] and not own[1] or left < right:
