@@ -1,20 +1,25 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed words and word pairs, one of target texts and one of raw texts, give each document the
-log of their ratio. Gumbel top-k, the k highest of log ratio + Gumbel noise, draws k documents without replacement in
-proportion to the ratio. By default k is the sum of min(1, ratio): the documents that rejection sampling towards the
-target would accept. The noise is a hash of doc_id and seed, so reruns agree.
-
-Both models are fitted on at most ``sample_rows`` labelled rows, taken by hashed doc_id: all of them are the raw text,
-those of quality 1 that are not toxic the target. One sample for both keeps its chance mix of languages and topics out of
-the ratio: a raw model of all documents against a target of labelled ones lost a quarter and more of the clean documents,
-whose own rare words the target happens to lack. The bound makes the broadcast of the sample's ids safe. The scores, k and
-the k-th key cover all rows. The key comes from a distributed rank over (key, doc_id); the rows below it leave by a join on
-doc_id and the text's hash, so no text is scored twice.
-
-Nulls: a null or empty text has log ratio 0; a null doc_id has its own noise; null labels and ids teach nothing; a doc_id
-with several labels is a target only if all agree. Without any target row every ratio is 1. Equal keys (repeated rows)
-stay or go together. No rows give no rows. Extra columns, whatever their names, pass through the filter untouched.
+log of their ratio. The raw model counts all documents. The target model counts at most ``sample_rows`` labelled ones, taken
+by hashed doc_id, of those that are of quality 1 and not toxic, and is drawn towards the raw model by a prior: with t of the
+target's features in a bucket where e are expected of raw text, the ratio is (t + prior) / (e + prior). A document's own
+features are left out of both models when it is weighed, or its rare words would all speak against it.
+
+The log ratio is that of ``features`` features, each with the document's mean, so a long document is not judged more
+strictly than a short one. The weight is truncated: a mean within ``slack`` of 0 counts as 0, for a bounded sample has its
+chance mix of languages and topics. Gumbel top-k, the k highest of weight + Gumbel noise, draws k documents without
+replacement in proportion to the ratio. By default k is the sum of the ratios, each at most 1: the documents that
+rejection sampling towards the target would accept. The noise is a hash of doc_id and seed, so reruns agree.
+
+The bound of the sample makes the broadcast of its ids safe; of the models 2 x BUCKETS numbers meet on the driver. The k-th
+key comes from a distributed rank over (key, doc_id); the rows below it leave by a join on doc_id and the text's hash, so no
+text is scored twice.
+
+Nulls: a null or empty text has weight 0; a null doc_id has its own noise; null labels and ids teach nothing; a doc_id with
+several labels is a target only if all agree, and all rows of a target's doc_id are. Without any target row every ratio is 1.
+Very long texts are read whole, one at a time. Equal keys (repeated rows) stay or go together. No rows give no rows. Extra
+columns, whatever their names, pass through the filter untouched.
 """
 
 from __future__ import annotations
@@ -67,44 +72,58 @@ def sample(labels: DataFrame, sample_rows: int, seed: int) -> DataFrame:
     return rows.where(F.col("u") < share).orderBy("u", "doc_id").limit(sample_rows).select("doc_id", "good")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, seed: int = 42, least: float = 5.0) -> np.ndarray:
-    """Log ratio of target to raw for each bucket.
+def marked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text as binary, hash of the text, and whether the document is in the target."""
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
+    good = F.broadcast(chosen.where("good"))  # at most the sample's rows
+    return rows.join(good, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
 
-    A bucket that the target would be expected to have fewer than ``least`` times tells nothing (ratio 1).
-    """
-    chosen = saved(sample(labels, sample_rows, seed), "sample")
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "good")
+
+def fit(rows: DataFrame) -> np.ndarray:
+    """Features of all rows of ``marked`` (first row) and of the target's (second), by bucket."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, hashes = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), Hashes()
+        sums, hashes = np.zeros((2, BUCKETS), np.int64), Hashes()
         for b in batches:
             for t, good in zip(b.column("text"), b.column("good").to_pylist(), strict=True):
                 n = np.bincount(grams(t.as_py(), hashes), minlength=BUCKETS)
-                raw += n
+                sums[0] += n
                 if good:
-                    target += n
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+                    sums[1] += n
+        at = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["bucket", "raw", "target"])
+
+    found = rows.where("text IS NOT NULL").select("text", "good").mapInArrow(count, "bucket bigint, raw bigint, target bigint")
+    model = np.zeros((2, BUCKETS))
+    for bucket, raw, target in found.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # at most BUCKETS rows
+        model[:, bucket] = raw, target
+    return model
+
 
-    sums = rows.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, t in sums.collect():  # at most BUCKETS rows
-        raw[bucket], target[bucket] = r, t
-    if not target.any():
-        return np.zeros(BUCKETS)
-    expected = raw * (target.sum() / raw.sum())
-    return np.where(expected < least, 0.0, np.log(target + 1) - np.log(expected + 1))
+def mean_ratio(found: np.ndarray, good: bool, model: np.ndarray, prior: float) -> float:
+    """The mean log ratio of a document's features, by the models without the document."""
+    buckets, n = np.unique(found, return_counts=True)
+    raw, target = model[0, buckets] - n, model[1, buckets] - n * good
+    all_raw, all_target = model[0].sum() - len(found), model[1].sum() - len(found) * good
+    expected = raw * (all_target / max(all_raw, 1.0))
+    return float(n @ (np.log(target + prior) - np.log(expected + prior))) / len(found)
 
 
-def weigher(docs: DataFrame, ratio: np.ndarray):
-    """A column function: text as binary -> log ratio."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def weigher(docs: DataFrame, model: np.ndarray, prior: float, features: float, slack: float):
+    """A column function: text as binary, and whether it is in the target -> weight."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         table, hashes = shared.value, Hashes()
-        for batch in texts:
-            yield pd.Series([float(table[grams(t, hashes)].sum()) if t else 0.0 for t in batch], dtype=float)
+        taught = table[1].any()
+
+        def weight(text: bytes | None, good: bool) -> float:
+            found = grams(text, hashes) if text and taught else ()
+            return features * min(0.0, mean_ratio(found, good, table, prior) + slack) if len(found) else 0.0
+
+        for texts, goods in parts:
+            yield pd.Series([weight(t, g) for t, g in zip(texts, goods, strict=True)], dtype=float)
 
     return run
 
@@ -115,11 +134,11 @@ def gumbel(doc_id: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = 30_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = 30_000, seed: int = 42, prior: float = 5.0, features: float = 40.0, slack: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Scores (doc_id, log_weight, key, selected: a row for each row of docs) and the selected rows of ``docs``."""
-    weigh = weigher(docs, fit(docs, labels, sample_rows, seed))
-    weight = weigh(F.col("text").cast("binary"))
-    scored = docs.select("doc_id", F.xxhash64("text").alias("hash"), weight.alias("log_weight")).withColumn("key", F.col("log_weight") + gumbel("doc_id", seed))
+    rows = marked(docs, saved(sample(labels, sample_rows, seed), "sample"))
+    weigh = weigher(docs, fit(rows), prior, features, slack)
+    scored = rows.select("doc_id", "hash", weigh("text", "good").alias("log_weight")).withColumn("key", F.col("log_weight") + gumbel("doc_id", seed))
     scored = saved(scored, "scores")
     if k is None:
         k = round(scored.agg(F.sum(F.exp(F.least("log_weight", F.lit(0.0))))).first()[0] or 0)

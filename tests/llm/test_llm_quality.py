@@ -34,17 +34,15 @@ def test_junk_goes_and_clean_stays(spark):
 
 
 class ByHand:
-    """Both models in plain Python: buckets of words and word pairs, counted in dicts."""
+    """Both models in plain Python: buckets of words and word pairs, counted in dicts; all rows are the raw text."""
 
-    def __init__(self, rows, labelled, good):
-        raw, target = Counter(), Counter()
+    def __init__(self, rows, good):
+        self.good, self.raw, self.target = good, Counter(), Counter()
         for i, text in rows:
-            if i in labelled:
-                raw.update(self.grams(text))
+            self.raw.update(self.grams(text))
             if i in good:
-                target.update(self.grams(text))
-        scale = sum(target.values()) / sum(raw.values())
-        self.ratio = {b: math.log((target[b] + 1) / (n * scale + 1)) for b, n in raw.items() if n * scale >= 5}
+                self.target.update(self.grams(text))
+        self.all_raw, self.all_target = self.raw.total(), self.target.total()
 
     @staticmethod
     def grams(text):
@@ -54,16 +52,22 @@ class ByHand:
         pairs = [(1 if a == b else (a * 2654435761 + b) % 2**32) * 2246822519 % 2**32 for a, b in zip(h, h[1:])]
         return [x >> 16 for x in ones + pairs]
 
-    def weight(self, text):
-        return sum(self.ratio.get(b, 0) for b in self.grams(text))
+    def weight(self, i, text, prior=5.0, features=40.0, slack=0.25):
+        own, own_target = Counter(self.grams(text)), Counter(self.grams(text)) if i in self.good else Counter()
+        n = own.total()
+        if not n or not self.all_target:
+            return 0.0
+        scale = (self.all_target - own_target.total()) / max(1, self.all_raw - n)
+        logs = (c * math.log((self.target[b] - own_target[b] + prior) / ((self.raw[b] - c) * scale + prior)) for b, c in own.items())
+        return features * min(0.0, sum(logs) / n + slack)
 
 
 def compare_by_hand(scores, rows, labels, k=None):
     """Weights, the default k and the selection; ``labels`` as (doc_id, quality, toxic)."""
-    model = ByHand(rows, {i for i, _, _ in labels}, {i for i, q, t in labels if q == 1 and not t})
+    model = ByHand(rows, {i for i, q, t in labels if q == 1 and not t})
     got = scores.toPandas()
     texts = dict(rows)
-    want = {i: model.weight(t) for i, t in texts.items()}
+    want = {i: model.weight(i, t) for i, t in texts.items()}
     for r in got.itertuples():
         assert r.log_weight == pytest.approx(want[r.doc_id], abs=1e-6)
     k = k or round(sum(min(1.0, math.exp(min(w, 0))) for w in want.values()))
@@ -117,3 +121,19 @@ def test_query(spark):
     compare_by_hand(spark.createDataFrame(got), docs, [tuple(x) for x in labels[["doc_id", "quality", "toxic"]].itertuples(index=False)])
     assert both[(both["quality"] == 1) & (both["toxic"] == 0)]["selected"].mean() > 0.95
     assert both[both["quality"] == 0]["selected"].mean() < 0.1
+
+
+def test_the_raw_model_is_of_all_documents(spark):
+    """Documents without labels change the ratio of others: what they are full of becomes less of the target."""
+    rows, labels = documents(60), [(i, int(i % 5 > 0), 0) for i in range(30)]
+    more = [(1000 + i, "the house was old " * 30) for i in range(200)]
+    a, b = ({r.doc_id: r.log_weight for r in quality.resample(spark.createDataFrame(x, DOCS), spark.createDataFrame(labels, LABELS), k=1)[0].collect()} for x in (rows, rows + more))
+    assert any(a[i] != b[i] for i in a) and all(a[i] >= b[i] for i, t in rows if i % 5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_clean_documents_stay(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    both = quality.resample(docs, labels)[0].toPandas().merge(labels.toPandas(), on="doc_id")
+    assert both[(both["quality"] == 1) & (both["toxic"] == 0)]["selected"].mean() > 0.99
+    assert both[both["quality"] == 0]["selected"].mean() < 0.1
