@@ -11,7 +11,8 @@ and whether it is under the loss mask (roles in ``loss_roles``).
 Nulls: a null text is empty, a null role is an empty role, null parts are none, a null part type is text, an unknown type
 is a document. Turns are ordered by turn (nulls first), then role and parts, so ties and repeated rows have a fixed order.
 Rows with a null conv_id form one conversation. One conversation is one output row by definition: its turns meet in
-one task. Columns other than conv_id, turn, role and parts are ignored.
+one task. Empty texts are empty bodies; very long ones are formatted whole, by functions of linear time. No rows give no
+conversation. Columns other than conv_id, turn, role and parts are ignored.
 """
 
 from __future__ import annotations

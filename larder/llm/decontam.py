@@ -16,7 +16,8 @@ Windows of at most ``most_windows`` rows and ``most_bytes`` are broadcast. Beyon
 prefix words in one shuffle join, in which frequent words are dealt out over salts; both ways give the same rows.
 
 Nulls: a null or wordless text has no words and no hits; null item_ids count as the item ''. Repeated document rows give
-equal output rows; repeated items are one. An empty benchmark gives every document 0 hits. Other columns are ignored.
+equal output rows; repeated items are one. Very long texts are matched whole, a word a row. Words of equal rarity are taken
+by word, then place. An empty benchmark gives every document 0 hits, no documents no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

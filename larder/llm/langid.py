@@ -11,7 +11,8 @@ languages are an error, as their model would not fit the tasks.
 
 Nulls: rows with a null text or label are not learned from. A null text, one without a letter, and every text if nothing
 was learned get ``und`` and score 0. Any length works; documents are handled one at a time. Repeated rows count as often
-as they occur in training. Other columns are ignored or passed on untouched.
+as they occur in training. Of equal proportions the language that is first by name is taken. No documents give no rows.
+Other columns are ignored or passed on untouched.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ is taken. Keys of pairs and triples are mixes of their words' keys and could mee
 ``base`` is the add-one unigram score of the same training counts.
 
 Nulls: a null text is empty: one token, the end. A null doc_id counts as not held out. Repeated rows are scored, and in
-training counted, each. With no training row every count is 0. Any length works; a text is never cut, one that is longer
+training counted, each. With no training row every count is 0, no rows give no
+rows. There is no ranking, so there are no ties. Any length works; a text is never cut, one that is longer
 than a slice is a slice of its own. Other columns are ignored.
 """
 

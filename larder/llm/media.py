@@ -11,8 +11,9 @@ Copies: an aggregate over digests names one row, that of the smallest doc_id, as
 share, so each is stored once and no payload is shuffled. The digests that repeat are broadcast where they are few; beyond
 a checked size they are joined. Only rows of equal doc_id and text may each store theirs, once a task at most; the index, a
 written table, then names one of them for all.
-Nulls: a null text is an empty text (one row of bytes 255); null and repeated ids are rows like any other. No rows give
-no shard. Other columns are ignored.
+Nulls: a null text is an empty text (one row of bytes 255); null and repeated ids are rows like any other. Very long
+texts are one payload, held whole by the task that writes or reads it. Equal payloads are one member, whoever names it. No
+rows give no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,12 +89,26 @@ def features(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]} {samples.mean():.4f} {samples.std():.4f} " + ",".join(f"{x:.4f}" for x in shares)
 
 
-def store(docs: DataFrame, folder: str | None = None, level: int = 6) -> DataFrame:
-    """digest (binary), shard, offset, length: one row for each distinct payload of docs' ``text`` (a written table)."""
+def digest_of(payload: Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, digest (binary) for each row of docs (a written table, so texts are hashed for it once)."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return saved(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded_length(F.col("text")).cast("long").alias("payload_bytes"), digest_of(payload_of(F.col("text"))).alias("digest")), "media-digests")
+
+
+def store(docs: DataFrame, folder: str | None = None, level: int = 6, keys: DataFrame | None = None) -> DataFrame:
+    """digest (binary), shard, offset, length: one row for each distinct payload of docs' ``text`` (a written table).
+
+    ``keys``: the ``digests`` of the same docs, where they are there already.
+    """
     folder = folder or shared_dir(docs.sparkSession, "media")
     payload = payload_of(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", F.unhex(F.sha2(payload, 256)).alias("digest"), payload.alias("payload"))
-    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("_writer"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = docs.select("doc_id", digest_of(payload).alias("digest"), payload.alias("payload"))
+    keys = digests(docs) if keys is None else keys
+    shared = keys.groupBy("digest").agg(F.min("doc_id").alias("_writer"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = broadcast_if_small(saved(shared, "media-shared"))
     rows = rows.join(shared, "digest", "left").where(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_writer"))).select("digest", "payload")
 
@@ -189,14 +204,13 @@ def read_back(index: DataFrame) -> DataFrame:
 
 def media_columns(docs: DataFrame, folder: str | None = None, level: int = 6) -> DataFrame:
     """doc_id, digest, shard, offset, length, width, height, depth: a row for each row of docs (doc_id, text)."""
-    return attach(docs, with_metadata(store(docs, folder, level)))
+    keys = digests(docs)
+    return attach(docs, with_metadata(store(docs, folder, level, keys)), keys=keys)
 
 
-def attach(docs: DataFrame, by_digest: DataFrame, hot: int = 1_000_000) -> DataFrame:
+def attach(docs: DataFrame, by_digest: DataFrame, hot: int = 1_000_000, keys: DataFrame | None = None) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, digest and the columns of ``by_digest`` for each row of docs.
 
-    A payload that more than ``hot`` rows share is dealt out over several tasks.
+    A payload that more than ``hot`` rows share is dealt out over several tasks. ``keys``: as for ``store``.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded_length(F.col("text")).cast("long").alias("payload_bytes"), F.unhex(F.sha2(payload_of(F.col("text")), 256)).alias("digest"))
-    return salted(keys, by_digest, "digest", hot=hot)
+    return salted(digests(docs) if keys is None else keys, by_digest, "digest", hot=hot)

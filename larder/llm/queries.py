@@ -121,8 +121,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    index = media.store(docs)
-    rows = media.attach(docs, media.read_back(index).join(media.with_metadata(index), "digest"))
+    keys = media.digests(docs)
+    index = media.store(docs, keys=keys)
+    rows = media.attach(docs, media.read_back(index).join(media.with_metadata(index), "digest"), keys=keys)
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "shard", "offset", "length")
 
 

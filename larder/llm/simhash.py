@@ -20,7 +20,9 @@ group costs one edge a member. Places of over ``block`` members are dealt out as
 fingerprint and are one row before anything is compared. Only edges that close a cycle are left out.
 
 Nulls: a null text has no words. A null doc_id takes part, and is never the smallest of a component that has another;
-alone it is its own component (null). Repeated rows are linked like any copies. Other columns are ignored.
+alone it is its own component (null). Repeated rows are linked like any copies. Empty
+texts have the fingerprint zero; very long ones are read whole, one at a time. Links have no order, so there are no ties. No
+documents give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

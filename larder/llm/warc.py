@@ -12,7 +12,8 @@ execution splits a digest that very many pages share. Pages too small to be revi
 
 Nulls: a null html is an empty payload; a null url leaves the header out; a null page_id never wins against another, and
 if all of a group are null all are responses. Repeated rows are records of their own (of equal page_ids all that share
-the largest are responses). No pages give no archive and no rows. Other columns are ignored.
+the largest are responses). Empty payloads are
+records of 0 bytes; very long ones are one record, held whole by a task. No pages give no archive and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
