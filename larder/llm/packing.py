@@ -35,12 +35,20 @@ from pyspark.sql import functions as F
 STRETCH = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])|[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others as those from 256 on.
-AS_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173))}
+OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173)]
+CHARS = [chr(256 + OTHERS.index(b)) if b in OTHERS else chr(b) for b in range(256)]
 #: White space beyond ASCII's, and controls that some count as such.
 OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, deal bigint"
 
 
+def in_chars(word: str) -> str:
+    """A word of ``WORD`` as byte-level vocabularies write it."""
+    if word.isascii():
+        return CHARS[32] + word[1:] if word[0] == " " else word
+    return "".join(map(CHARS.__getitem__, word.encode()))
+
+
 class Encoder:
     """Text to ids as unsigned 32-bit little-endian bytes. Of the stretches met before, up to 2 * ``most`` are kept."""
 
@@ -68,7 +76,7 @@ class Encoder:
             if s in older:
                 kept[s] = older[s]
             elif WORD.fullmatch(s):  # one word to the model, as it is
-                ids = [t.id for t in tokenize(s.encode().decode("latin-1").translate(AS_CHARS))]
+                ids = [t.id for t in tokenize(in_chars(s))]
                 kept[s] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 others.append(s)
