@@ -86,10 +86,10 @@ def fit(rows: DataFrame) -> np.ndarray:
         sums, hashes = np.zeros((2, BUCKETS), np.int64), Hashes()
         for b in batches:
             for t, good in zip(b.column("text"), b.column("good").to_pylist(), strict=True):
-                n = np.bincount(grams(t.as_py(), hashes), minlength=BUCKETS)
-                sums[0] += n
+                buckets, n = np.unique(grams(t.as_py(), hashes), return_counts=True)
+                sums[0, buckets] += n
                 if good:
-                    sums[1] += n
+                    sums[1, buckets] += n
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["bucket", "raw", "target"])
 
@@ -100,13 +100,15 @@ def fit(rows: DataFrame) -> np.ndarray:
     return model
 
 
-def mean_ratio(found: np.ndarray, good: bool, model: np.ndarray, prior: float) -> float:
-    """The mean log ratio of a document's features, by the models without the document."""
+def mean_ratio(found: np.ndarray, good: bool, model: np.ndarray, sums: np.ndarray, prior: float) -> float:
+    """The mean log ratio of a document's features, by the models (``sums``: all of each) without the document."""
     buckets, n = np.unique(found, return_counts=True)
-    raw, target = model[0, buckets] - n, model[1, buckets] - n * good
-    all_raw, all_target = model[0].sum() - len(found), model[1].sum() - len(found) * good
-    expected = raw * (all_target / max(all_raw, 1.0))
-    return float(n @ (np.log(target + prior) - np.log(expected + prior))) / len(found)
+    expected, ratio = model[0, buckets] - n, model[1, buckets] - n * good
+    expected *= (sums[1] - len(found) * good) / max(sums[0] - len(found), 1.0)
+    expected += prior
+    ratio += prior
+    ratio /= expected
+    return float(n @ np.log(ratio)) / len(found)
 
 
 def weigher(docs: DataFrame, model: np.ndarray, prior: float, features: float, slack: float):
@@ -116,11 +118,11 @@ def weigher(docs: DataFrame, model: np.ndarray, prior: float, features: float, s
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         table, hashes = shared.value, Hashes()
-        taught = table[1].any()
+        sums = table.sum(1)
 
         def weight(text: bytes | None, good: bool) -> float:
-            found = grams(text, hashes) if text and taught else ()
-            return features * min(0.0, mean_ratio(found, good, table, prior) + slack) if len(found) else 0.0
+            found = grams(text, hashes) if text and sums[1] else ()
+            return features * min(0.0, mean_ratio(found, good, table, sums, prior) + slack) if len(found) else 0.0
 
         for texts, goods in parts:
             yield pd.Series([weight(t, g) for t, g in zip(texts, goods, strict=True)], dtype=float)
